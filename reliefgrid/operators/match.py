@@ -152,12 +152,13 @@ def _classed(scored: DataFrame) -> DataFrame:
     )
 
 
-_BEST_FIRST = [F.col("final_wsm_score").desc(), F.col("c_id").asc()]
+def _best_first() -> list[Column]:
+    return [F.col("final_wsm_score").desc(), F.col("c_id").asc()]
 
 
 def _top_per_class(scored: DataFrame, top_n: int) -> DataFrame:
     """At most ``top_n`` rows per hotspot and class; the row limit prunes before the shuffle."""
-    order = Window.partitionBy("h_id", "_class").orderBy(*_BEST_FIRST)
+    order = Window.partitionBy("h_id", "_class").orderBy(*_best_first())
     return _classed(scored).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_n).drop("_n")
 
 
@@ -182,7 +183,7 @@ def _pick_pool(shortlist: DataFrame, top_n: int) -> DataFrame:
     )
     chosen = shortlist.withColumn("_keep", keep).where("_keep")
     return (
-        chosen.withColumn("candidate_rank", F.row_number().over(hotspot.orderBy(*_BEST_FIRST)))
+        chosen.withColumn("candidate_rank", F.row_number().over(hotspot.orderBy(*_best_first())))
         .where(F.col("candidate_rank") <= top_n)
         .drop("_keep", "_class")
     )
@@ -228,10 +229,12 @@ def match_all(
 
     Three tiers of growing reach, each a grid join: the regional reach for all hotspots, the feasible reach only for
     hotspots the first tier did not fill, and an unbounded search only for those still without a feasible candidate
-    and a full regional list. A tier's shortlist (a few rows per hotspot) is checkpointed, so later tiers and the
-    result read it instead of scoring pairs again. ``weights`` must not let a score exceed 100.
+    and a full regional list. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
+    tables behind the places are read once and no pair is scored twice. ``weights`` must not let a score exceed 100.
     """
-    h, c = _side(hotspots, "h"), _side(candidates, "c")
+    ready = cut_lineage(candidates)
+    c = _side(ready, "c")
+    h = _side(ready if hotspots is candidates else cut_lineage(hotspots), "h")
 
     def score(pairs: DataFrame) -> DataFrame:
         return _top_per_class(score_pairs(pairs, weights, alpha), top_n)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.geo import EARTH_KM, haversine_km
+from reliefgrid.session import cut_lineage
 
 # Rows of one side that may meet in a single join group before it is split.
 GROUP_ROWS = 20_000
@@ -46,10 +47,11 @@ def radius_join(
     left_at: tuple[str, str],
     right_at: tuple[str, str],
     right_key: str,
+    left_key: str,
     radius_km: float | None = None,
     radius_column: str | None = None,
     max_radius_km: float | None = None,
-    left_key: str | None = None,
+    on: list[str] | None = None,
     distance_column: str = "straight_km",
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
@@ -57,12 +59,12 @@ def radius_join(
 
     The right side sits in one grid cell; the left side visits the cells its circle touches, so the match is an
     equi-join on the cell followed by the exact distance test. A crowded cell is split on both sides by key hash into
-    blocks of about ``group_rows`` rows, so no task receives a whole hot cell. With ``radius_column`` (on the right
+    blocks of about ``group_rows`` rows, so no task receives a whole hot cell. ``on`` adds columns both sides must share. With ``radius_column`` (on the right
     side) each right row carries its own radius and ``max_radius_km`` bounds the reach.
     """
     reach = max_radius_km if radius_column else radius_km
     step, around = _steps(reach)
-    left_key = left_key or left_at[0]
+    cell = ["_cell", *(on or [])]
     placed = right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull()).withColumn(
         "_cell", _cell(F.col(right_at[0]), F.col(right_at[1]), step, around)
     )
@@ -70,10 +72,10 @@ def radius_join(
         "_cell", F.explode(_reached_cells(F.col(left_at[0]), F.col(left_at[1]), reach, step, around))
     )
     load = (
-        placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_right_rows"))
-        .join(visiting.groupBy("_cell").agg(F.count(F.lit(1)).alias("_left_rows")), "_cell")
+        placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_right_rows"))
+        .join(visiting.groupBy(*cell).agg(F.count(F.lit(1)).alias("_left_rows")), cell)
         .select(
-            "_cell",
+            *cell,
             F.ceil(F.col("_right_rows") / group_rows).alias("_right_parts"),
             F.ceil(F.col("_left_rows") / group_rows).alias("_left_parts"),
         )
@@ -82,38 +84,56 @@ def radius_join(
     def part(key: str, parts: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key)), F.col(parts))
 
-    split_right = placed.join(load, "_cell").select(
+    split_right = placed.join(load, cell).select(
         *right.columns, "_cell", part(right_key, "_right_parts").alias("_rp"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_left_parts") - 1)).alias("_lp"),
     )
-    split_left = visiting.join(load, "_cell").select(
+    split_left = visiting.join(load, cell).select(
         *left.columns, "_cell", part(left_key, "_left_parts").alias("_lp"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_right_parts") - 1)).alias("_rp"),
     )
     limit = F.col(radius_column) if radius_column else F.lit(float(radius_km))
     return (
-        split_left.join(split_right, ["_cell", "_lp", "_rp"])
+        split_left.join(split_right, [*cell, "_lp", "_rp"])
         .withColumn(distance_column, haversine_km(left_at[0], left_at[1], right_at[0], right_at[1]))
         .where(F.col(distance_column) <= limit)
         .drop("_cell", "_lp", "_rp")
     )
 
 
-def nearest_within(
+def nearest(
     left: DataFrame,
     right: DataFrame,
     left_id: str,
     left_at: tuple[str, str],
     right_id: str,
     right_at: tuple[str, str],
-    radius_km: float,
+    on: list[str] | None = None,
+    radii_km: tuple[float, ...] = (10.0, 80.0, 640.0, 20040.0),
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Closest right point of every left row (lowest id on a tie); nulls when none lies within the radius."""
-    pairs = radius_join(
-        left.select(left_id, *left_at), right.select(right_id, *right_at), left_at, right_at,
-        right_key=right_id, left_key=left_id, radius_km=radius_km,
-    )
-    best = pairs.groupBy(left_id).agg(F.min(F.struct(F.col("straight_km"), F.col(right_id))).alias("_best"))
-    return left.join(best, left_id, "left").select(
-        *left.columns, F.col(f"_best.{right_id}").alias(f"nearest_{right_id}"), F.col("_best.straight_km").alias("nearest_km")
+    """(left_id, nearest_<right_id>, nearest_km): closest right point, lowest id on a tie.
+
+    The circle grows only for left rows that found nothing yet, so dense areas are settled by short joins. The last
+    radius is the limit: left rows with nothing inside it are absent. A left id may repeat with different ``on`` values.
+    """
+    right = right.select(right_id, *right_at, *(on or []))
+    left = cut_lineage(left.select(left_id, *left_at, *(on or [])).distinct())
+    found, waiting = None, left
+    for radius in radii_km:
+        pairs = radius_join(
+            waiting, right, left_at, right_at, right_key=right_id, left_key=left_id, on=on, radius_km=radius,
+            group_rows=group_rows,
+        )
+        best = pairs.groupBy(left_id).agg(F.min(F.struct("straight_km", right_id)).alias("_best"))
+        if radius == radii_km[-1]:
+            found = best if found is None else found.unionByName(best)
+            break
+        best = cut_lineage(best)
+        found = best if found is None else found.unionByName(best)
+        waiting = left.join(found.select(left_id), left_id, "left_anti")
+        if waiting.isEmpty():
+            break
+    return found.select(
+        left_id, F.col(f"_best.{right_id}").alias(f"nearest_{right_id}"), F.col("_best.straight_km").alias("nearest_km")
     )
