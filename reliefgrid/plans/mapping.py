@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.capacity import SUBSYSTEMS
@@ -79,3 +79,79 @@ def full_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_places(full_places(spark, sf_dir), mountain_pattern=MOUNTAIN)
+
+
+def hotel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(state, year, period, average_occupancy_rate_pct) from mean quantity; weak quarters go unreported.
+
+    Lines are added up per supplier before they meet the supplier and nation names.
+    """
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("q"))
+        .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
+    )
+    quarters = (
+        with_nation(spark, sf_dir, lines, "l_suppkey").groupBy("state", "year", "q")
+        .agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
+    )
+    rate = (F.col("qty") / F.col("n") * 2.0).alias("average_occupancy_rate_pct")
+    by_quarter = quarters.select("state", "year", F.concat(F.lit("Q"), F.col("q").cast("string")).alias("period"), rate)
+    by_year = quarters.groupBy("state", "year").agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
+    return by_quarter.where("average_occupancy_rate_pct >= 50").unionByName(
+        by_year.select("state", "year", F.lit("Annual").alias("period"), rate)
+    )
+
+
+def with_nation(spark: SparkSession, sf_dir: str, df: DataFrame, supplier_key: str) -> DataFrame:
+    """Add ``state`` (nation name) to rows keyed by supplier."""
+    names = table(spark, sf_dir, "supplier").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select(F.col("s_suppkey").alias(supplier_key), F.col("n_name").alias("state"))
+    return df.join(names, supplier_key)
+
+
+def customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    ).select("c_custkey", F.col("n_name").alias("market"))
+
+
+def money(column: str) -> Column:
+    """Exact sums of two-digit amounts."""
+    return F.col(column).cast("decimal(18,2)")
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month calendar derived from daily order counts."""
+    orders = table(spark, sf_dir, "orders")
+    days = orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("urgent"),
+        F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("pending"),
+    )
+    months = days.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
+        F.count(F.when(F.col("urgent") >= 3, 1)).alias("cuti_sekolah_days"),
+        F.count(F.when(F.col("pending") >= 5, 1)).alias("public_holidays"),
+        F.count(F.when((F.weekday("day") == 5) & (F.col("n") >= 6), 1)).alias("long_weekends"),
+        F.sum("n").alias("n"),
+    )
+    mean = months.agg(F.avg("n"))
+    return months.select(
+        "month", "cuti_sekolah_days", "public_holidays", "long_weekends", (F.col("n") / mean.scalar()).alias("demand_multiplier"),
+        F.concat(F.lit("Events of "), F.col("month")).alias("event_highlights"),
+    )
+
+
+def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which orders pile up."""
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("holiday_date")).agg(F.count(F.lit(1)).alias("n"))
+    return days.where(F.col("n") > days.agg(F.avg("n")).scalar() * 1.6).select("holiday_date")
+
+
+def daily_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events added up per day and type, in cents so that sums are exact."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy("event_type", F.to_date("ts").alias("day")).agg(
+        F.sum(money("value")).cast("double").alias("total"), F.count(F.lit(1)).alias("n")
+    )

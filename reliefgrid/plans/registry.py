@@ -11,7 +11,19 @@ Plan = Callable[[SparkSession, str], DataFrame]
 
 _PLANS: dict[str, Plan] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["capacity_plans"]
+_MODULES = [
+    "capacity_plans",
+    "rollup_plans",
+    "geo_plans",
+    "similarity_plans",
+    "explain_plans",
+    "panel_plans",
+    "impact_plans",
+    "text_plans",
+    "quality_plans",
+    "traffic_plans",
+    "stream_plans",
+]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:

@@ -185,3 +185,24 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h_id ORDER BY
          WHERE candidate_rank<=3)"""
 
 MATCH = f"WITH {PLACES},{PROFILES},{STOPS},{PLACE_STOP},{SCORED},{BEST}"
+
+# rates: occupancy-like series by state, year and period
+RATES = """
+quarters AS (SELECT n_name AS state, year(l_shipdate)::INTEGER AS year, 'Q'||quarter(l_shipdate) AS period, sum(l_quantity) AS qty, count(*) AS n
+  FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey GROUP BY 1,2,3),
+rates AS (SELECT state, year, period, qty/n*2e0 AS rate FROM quarters WHERE qty/n*2e0>=50e0
+  UNION ALL SELECT state, year, 'Annual', sum(qty)/sum(n)*2e0 FROM quarters GROUP BY state, year)"""
+
+# calendar, holidays: derived from daily order counts
+CALENDAR = """
+days AS (SELECT o_orderdate::DATE AS day, count(*) AS n, count(*) FILTER (WHERE o_orderpriority='1-URGENT') AS urgent,
+  count(*) FILTER (WHERE o_orderstatus='P') AS pending FROM orders GROUP BY 1),
+months AS (SELECT strftime(day,'%Y-%m') AS month, count(*) FILTER (WHERE urgent>=3) AS cuti_sekolah_days,
+  count(*) FILTER (WHERE pending>=5) AS public_holidays, count(*) FILTER (WHERE isodow(day)=6 AND n>=6) AS long_weekends,
+  sum(n)::BIGINT AS n FROM days GROUP BY 1),
+calendar AS (SELECT month, cuti_sekolah_days, public_holidays, long_weekends, n/(SELECT avg(n) FROM months) AS demand_multiplier,
+  'Events of '||month AS event_highlights FROM months),
+holidays AS (SELECT day AS holiday_date FROM days WHERE n>(SELECT avg(n) FROM days)*1.6e0)"""
+
+FEED = """
+feed AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,2))::DOUBLE AS total, count(*) AS n FROM events GROUP BY 1,2)"""

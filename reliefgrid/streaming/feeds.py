@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,7 +53,7 @@ def run_available(stream: DataFrame, folder: str, output_mode: str = "append") -
     """Write everything available to parquet and stop; state and progress live under the shared checkpoint folder."""
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
-    progress = f"{spark.sparkContext.getCheckpointDir()}/stream-{abs(hash(folder))}"
+    progress = f"{spark.sparkContext.getCheckpointDir()}/stream-{zlib.crc32(folder.encode()):08x}"
     return (
         stream.writeStream.format("parquet").outputMode(output_mode).option("path", folder)
         .option("checkpointLocation", progress).trigger(availableNow=True).start()

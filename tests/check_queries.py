@@ -43,10 +43,13 @@ def compare(spark, con, name, plan, sql, sf_dir):
     took = time.time() - start
     if sql is None:
         return len(mine[1]) > 0, took, f"rows={len(mine[1])} (no sql)"
+    kinds = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    names = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date"}
+    odd = [f"{c}:{t}/{kinds.get(c)}" for c, t in df.dtypes if names.get(kinds.get(c)) != t]
     cursor = con.execute(sql)
     theirs = frame([d[0] for d in cursor.description], cursor.fetchall())
     if mine == theirs:
-        return True, took, f"rows={len(mine[1])}"
+        return True, took, f"rows={len(mine[1])}" + (f" TYPES {odd}" if odd else "")
     if mine[0] != theirs[0]:
         return False, took, f"columns {mine[0]} != {theirs[0]}"
     a, b = set(mine[1]), set(theirs[1])
