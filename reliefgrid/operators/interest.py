@@ -28,7 +28,7 @@ def peak_months(calendar: DataFrame) -> DataFrame:
 
 def search_interest(places: DataFrame, calendar: DataFrame, top_n: int = TOP_N) -> DataFrame:
     """Top places by demand with an index to the largest, class, peak month and leading tags."""
-    peaks = peak_months(calendar)
+    peaks = peak_months(calendar).select(F.struct("hotspot_peak", "alternative_peak")).scalar()
     head = places.orderBy(F.desc("daily_demand_peak"), "state_name", "destination_name").limit(top_n)
     listed = Window.partitionBy(F.lit(1))  # over the short list only
     hot = F.col("continuous_pressure") >= 1.0
@@ -38,7 +38,7 @@ def search_interest(places: DataFrame, calendar: DataFrame, top_n: int = TOP_N)
         F.col("state_name").alias("state"),
         F.when(hot, "Hotspot").otherwise("Alternative").alias("category"),
         rnd(F.col("daily_demand_peak") * 100.0 / F.col("_peak"), 1).alias("relative_search_index"),
-        F.when(hot, peaks.select("hotspot_peak").scalar()).otherwise(peaks.select("alternative_peak").scalar()).alias("peak_month"),
+        F.when(hot, peaks["hotspot_peak"]).otherwise(peaks["alternative_peak"]).alias("peak_month"),
         F.when(tags != "", tags).otherwise(F.lower("destination_name")).alias("dominant_query"),
         F.lit(METHOD).alias("method"),
     )

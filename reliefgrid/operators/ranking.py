@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.numeric import known
+from reliefgrid.session import cut_lineage
 
 
 def _average_rank(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
@@ -32,10 +33,11 @@ def _average_rank(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
 def rank_scores(df: DataFrame, scores: dict[str, tuple[str, bool]], ranges: int = 256) -> DataFrame:
     """Add 0-100 rank scores ``{out: (column, high_is_good)}``; ties share the average rank.
 
-    One quantile pass over all columns fixes the value ranges (at most ``ranges`` numbers per column come back).
+    The input is checkpointed, since each score reads it again. One quantile pass over all columns fixes the value
+    ranges (at most ``ranges`` numbers per column come back).
     """
     columns = sorted({c for c, _ in scores.values()})
-    work = df.withColumns({c: known(c) for c in columns})
+    work = cut_lineage(df.withColumns({c: known(c) for c in columns}))
     steps = [i / ranges for i in range(1, ranges)]
     cuts = dict(zip(columns, work.approxQuantile(columns, steps, 1.0 / (2 * ranges))))
     total = work.agg(F.count(F.lit(1))).scalar()

@@ -1 +1,86 @@
-"""Queries."""
+"""Tag sets, vectors and hybrid similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reliefgrid.functions.numeric import rnd
+from reliefgrid.functions.similarity import archetype_vector, cosine, dot, hybrid, jaccard, leading_tags, tag_set
+from reliefgrid.operators.nearby import radius_join
+from reliefgrid.plans.mapping import full_places, profiles, table
+from reliefgrid.plans.registry import query
+from reliefgrid.plans.sqltext import MATCH, PROFILES, r
+
+
+@query(
+    "tag_sets",
+    f"""WITH {PROFILES} SELECT l_suppkey, poi_tags, array_to_string(list_sort(tag_list),',') AS tag_set, len(tag_list)::INTEGER AS tag_count,
+    array_to_string(string_split(poi_tags,' | ')[1:3],', ') AS leading FROM tags""",
+)
+def tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = profiles(spark, sf_dir).select("l_suppkey", "poi_tags").withColumn("t", tag_set("poi_tags"))
+    return tags.select(
+        "l_suppkey", "poi_tags", F.array_join(F.array_sort("t"), ",").alias("tag_set"), F.size("t").alias("tag_count"),
+        leading_tags("poi_tags").alias("leading"),
+    )
+
+
+@query(
+    "tag_set_messy",
+    """SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(
+      CASE WHEN contains(text,'|') THEN string_split(text,'|') WHEN contains(text,';') THEN string_split(text,';') ELSE string_split(text,',') END,
+      lambda x: lower(trim(x))), lambda x: x<>''))),'^') AS tag_set FROM documents WHERE text=trim(text) AND NOT (starts_with(text,'[') AND ends_with(text,']'))""",
+)
+def tag_set_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts read as delimited tag strings."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").where((text == F.trim(text)) & ~(text.startswith("[") & text.endswith("]")))
+    return docs.select("doc_id", F.array_join(F.array_sort(tag_set("text")), "^").alias("tag_set"))
+
+
+@query(
+    "hybrid_similarity",
+    f"""{MATCH} SELECT h_id, c_id, {r('cos_sim',6)} AS cosine_similarity, {r('jaccard_sim',6)} AS jaccard_similarity,
+      {r('least(1e0,greatest(0e0,0.6e0*cos_sim+0.4e0*jaccard_sim))',6)} AS hybrid_similarity FROM pair WHERE straight_km<=120e0""",
+)
+def hybrid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = full_places(spark, sf_dir).select(
+        F.col("destination_id").alias("id"), "lat", "lon", archetype_vector().alias("vec"), F.col("poi_tags").alias("raw"), tag_set("poi_tags").alias("tags")
+    )
+    h = base.select(*[F.col(c).alias(f"h_{c}") for c in base.columns])
+    c = base.select(*[F.col(c).alias(f"c_{c}") for c in base.columns])
+    near = radius_join(h, c, ("h_lat", "h_lon"), ("c_lat", "c_lon"), right_key="c_id", left_key="h_id", radius_km=120.0)
+    cos = cosine(F.col("h_vec"), F.col("c_vec"))
+    return near.where("h_id <> c_id").withColumn("cos", cos).select(
+        "h_id", "c_id", rnd("cos", 6).alias("cosine_similarity"), rnd(jaccard(F.col("h_tags"), F.col("c_tags")), 6).alias("jaccard_similarity"),
+        rnd(hybrid(F.col("cos"), F.col("h_raw"), F.col("c_raw"), F.col("h_tags"), F.col("c_tags")), 6).alias("hybrid_similarity"),
+    )
+
+
+@query(
+    "cosine_to_label",
+    f"""WITH e AS (SELECT vec_id, label, unnest(range(0,len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    m AS (SELECT label, i, {r('avg(v)',6)} AS c FROM e GROUP BY 1,2),
+    d AS (SELECT vec_id, label, sum(v*c) AS dp, sqrt(sum(v*v)) AS nv, sqrt(sum(c*c)) AS nc FROM e JOIN m USING (label, i) GROUP BY 1,2)
+    SELECT vec_id, label, {r('CASE WHEN nv>1e-9 AND nc>1e-9 THEN greatest(0e0,least(1e0,dp/(nv*nc))) ELSE 0e0 END',4)} AS cosine_similarity FROM d""",
+)
+def cosine_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of every vector to the mean vector of its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    entries = vectors.select("label", F.posexplode("embedding").alias("i", "v"))
+    means = entries.groupBy("label", "i").agg(rnd(F.avg(F.col("v").cast("double")), 6).alias("c"))
+    # one entry per dimension
+    centres = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "c")))["c"].alias("centre"))
+    return vectors.join(centres, "label").select(
+        "vec_id", "label", rnd(cosine(F.col("embedding"), F.col("centre")), 4).alias("cosine_similarity")
+    )
+
+
+@query(
+    "vector_norms",
+    f"""SELECT vec_id, {r('sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE)))',6)} AS norm FROM embeddings""",
+)
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", rnd(F.sqrt(dot(e, e)), 6).alias("norm"))
