@@ -100,8 +100,9 @@ def circle_ring(lat: Column | str, lon: Column | str, radius_m: Column | str, se
 
 
 def radius_from_hectares(hectares: Column | str) -> Column:
-    """Radius in metres of the circle with the same area, to the nearest 500 m (half even)."""
-    metres = F.sqrt(as_col(hectares) / 100.0 / F.pi()) * 1000.0
+    """Radius in metres of the circle with the same area, to the nearest 500 m (half even); null for a negative area."""
+    area = as_col(hectares)
+    metres = F.sqrt(F.when(area >= 0, area) / 100.0 / F.pi()) * 1000.0
     return (F.bround(metres / 500.0) * 500).cast("long")
 
 
@@ -114,15 +115,14 @@ def is_east_coast(state: Column | str, lon: Column | str) -> Column:
     return state.isin("Kelantan", "Terengganu") | (state.isin("Pahang", "Johor") & (lon > 102.8))
 
 
-def _station_array(line: str) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(seq).alias("seq"), F.lit(name).alias("name"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon")
-            )
-            for seq, (name, lat, lon) in enumerate(RAIL_LINES[line])
-        ]
-    )
+def _stops(lines: list[str]) -> Column:
+    """Fixed stations as one array literal: struct(ord, name, line, seq, lat, lon)."""
+    stops = [(line, seq, stop) for line in lines for seq, stop in enumerate(RAIL_LINES[line])]
+    structs = [
+        f"named_struct('ord', {ordinal}, 'name', '{name}', 'line', '{line}', 'seq', {seq}, 'lat', {lat}D, 'lon', {lon}D)"
+        for ordinal, (line, seq, (name, lat, lon)) in enumerate(stops)
+    ]
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def nearest_station(lat: Column | str, lon: Column | str, access_km: float = RAIL_ACCESS_KM) -> Column:
@@ -130,34 +130,14 @@ def nearest_station(lat: Column | str, lon: Column | str, access_km: float = RAI
 
     The network is a fixed short list, so it rides in the expression and needs no join.
     """
-    stops, ordinal = [], 0
-    for line, stations in RAIL_LINES.items():
-        for seq, (name, s_lat, s_lon) in enumerate(stations):
-            stops.append(
-                F.struct(
-                    F.lit(ordinal).alias("ord"),
-                    F.lit(name).alias("name"),
-                    F.lit(line).alias("line"),
-                    F.lit(seq).alias("seq"),
-                    F.lit(s_lat).alias("lat"),
-                    F.lit(s_lon).alias("lon"),
-                )
-            )
-            ordinal += 1
+    fields = ["ord", "name", "line", "seq", "lat", "lon"]
     ranked = F.transform(
-        F.array(*stops),
-        lambda s: F.struct(
-            haversine_km(lat, lon, s["lat"], s["lon"]).alias("dist_km"),
-            s["ord"].alias("ord"),
-            s["name"].alias("name"),
-            s["line"].alias("line"),
-            s["seq"].alias("seq"),
-            s["lat"].alias("lat"),
-            s["lon"].alias("lon"),
-        ),
+        _stops(list(RAIL_LINES)),
+        lambda s: F.struct(haversine_km(lat, lon, s["lat"], s["lon"]).alias("dist_km"), *[s[f].alias(f) for f in fields]),
     )
-    best = F.array_min(ranked)
-    return F.when(best["dist_km"] <= access_km, best)
+    # an array of none or one element, so the search is written once in the plan
+    best = F.filter(F.array(F.array_min(ranked)), lambda s: s["dist_km"] <= access_km)
+    return F.get(best, F.lit(0))
 
 
 def road_profile(straight_km: Column, mountain: Column) -> Column:
@@ -211,7 +191,7 @@ def corridor(straight_km: Column, mountain: Column, o_station: Column, d_station
 def _between_stations(line: str, from_seq: Column, to_seq: Column) -> Column:
     """Track points after ``from_seq`` up to and including ``to_seq``, in travel order."""
     low, high = F.least(from_seq, to_seq), F.greatest(from_seq, to_seq)
-    span = F.filter(_station_array(line), lambda s: (s["seq"] >= low) & (s["seq"] <= high) & (s["seq"] != from_seq))
+    span = F.filter(_stops([line]), lambda s: (s["seq"] >= low) & (s["seq"] <= high) & (s["seq"] != from_seq))
     points = F.transform(span, lambda s: F.struct(s["lat"].alias("lat"), s["lon"].alias("lon")))
     return F.when(to_seq < from_seq, F.reverse(points)).otherwise(points)
 

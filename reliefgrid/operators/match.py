@@ -18,7 +18,7 @@ from reliefgrid.functions.capacity import (
 from reliefgrid.functions.geo import MOUNTAIN_PATTERN, corridor, haversine_km, is_mountain, nearest_station
 from reliefgrid.functions.numeric import clip, or_default, rnd
 from reliefgrid.functions.similarity import ARCHETYPES, archetype_vector, cosine_with_norms, dot, hybrid, tag_set
-from reliefgrid.operators.nearby import GROUP_ROWS, radius_join
+from reliefgrid.operators.nearby import GROUP_ROWS, has_at_most, radius_join
 from reliefgrid.session import cut_lineage
 
 # Pillar weights, similarity blend, gates and radii (km by road).
@@ -84,20 +84,16 @@ def same_place() -> Column:
     return F.coalesce(by_id, F.lit(False)) | F.coalesce(by_name, F.lit(False))
 
 
-def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
-    """Corridor, five pillars, weighted score, friction and feasibility of hotspot/candidate pairs.
-
-    ``pairs`` holds two ``prepare_places`` rows side by side (prefixes ``h_`` and ``c_``) and ``straight_km``.
-    """
+def score_steps(weights: dict[str, float] | None = None, alpha: float = ALPHA) -> list[dict[str, Column]]:
+    """Score columns in dependency order; each step reads the columns of the steps before it."""
     w = weights or WEIGHTS
-    way = F.col("_way")
-    prop = proportion_score(F.col("c_gap"))
+    mountain = F.col("h_mountain") | F.col("c_mountain")
+    cos = cosine_with_norms(F.col("h_vec"), F.col("c_vec"), F.col("h_norm"), F.col("c_norm"))
+    similar = hybrid(cos, F.col("h_raw_tags"), F.col("c_raw_tags"), F.col("h_tags"), F.col("c_tags"), alpha)
     absolute = F.coalesce(
         clip_null(rnd(F.col("c_headroom") / F.when(F.col("h_need") > 0, F.col("h_need")) * 100.0, 1)),
         F.when(F.col("c_headroom") > 0, F.lit(100.0)).otherwise(F.col("spare_capacity_score")),
     )
-    cos = cosine_with_norms(F.col("h_vec"), F.col("c_vec"), F.col("h_norm"), F.col("c_norm"))
-    similar = hybrid(cos, F.col("h_raw_tags"), F.col("c_raw_tags"), F.col("h_tags"), F.col("c_tags"), alpha)
     weighted = (
         F.col("match_score") * w["match"]
         + F.col("accessibility_score") * w["accessibility"]
@@ -105,51 +101,49 @@ def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, alpha
         + F.col("community_benefit_score") * w["community_benefit"]
         - F.col("environmental_risk_penalty") * w["environmental_risk"]
     )
-    base = rnd(clip(weighted, 0.0, 100.0), 1)
-    friction = distance_friction(F.col("distance_km"))
-    return (
-        pairs.withColumn(
-            "_way", corridor(F.col("straight_km"), F.col("h_mountain") | F.col("c_mountain"), F.col("h_station"), F.col("c_station"))
-        )
-        .withColumns(
-            {
-                "distance_km": way["distance_km"],
-                "travel_time_mins": way["travel_time_mins"],
-                "transit_mode": way["transit_mode"],
-                "rail_viable": way["rail_viable"],
-                "match_score": rnd(similar * 100.0, 1),
-                "spare_capacity_score": prop,
-                "community_benefit_score": community_score(F.col("c_poverty")),
-                "environmental_risk_penalty": ecological_risk(F.col("c_eco"), F.col("c_demand")),
-            }
-        )
-        .withColumns(
-            {
-                "accessibility_score": access_score(F.col("travel_time_mins"), F.col("rail_viable")),
-                "absolute_headroom_score": absolute,
-                "is_feasible": (F.col("c_gap") > MIN_GAP)
-                & (F.col("c_demand") < F.col("c_eco"))
-                & (F.col("distance_km") <= FEASIBLE_KM),
-            }
-        )
-        .withColumn(
-            "spare_capacity_blended", rnd(F.col("spare_capacity_score") * 0.5 + F.col("absolute_headroom_score") * 0.5, 1)
-        )
-        .withColumn("distance_friction_penalty", rnd(friction, 1))
-        .withColumn("final_wsm_score", rnd(F.greatest(F.lit(0.0), base - friction), 1))
-        .drop("_way")
-    )
+    base, friction = rnd(clip(weighted, 0.0, 100.0), 1), distance_friction(F.col("distance_km"))
+    feasible = (F.col("c_gap") > MIN_GAP) & (F.col("c_demand") < F.col("c_eco")) & (F.col("distance_km") <= FEASIBLE_KM)
+    regional = F.col("distance_km") <= REGIONAL_KM
+    return [
+        {
+            "_way": corridor(F.col("straight_km"), mountain, F.col("h_station"), F.col("c_station")),
+            "match_score": rnd(similar * 100.0, 1),
+            "spare_capacity_score": proportion_score(F.col("c_gap")),
+            "community_benefit_score": community_score(F.col("c_poverty")),
+            "environmental_risk_penalty": ecological_risk(F.col("c_eco"), F.col("c_demand")),
+        },
+        {
+            **{c: F.col(f"_way.{c}") for c in ("distance_km", "travel_time_mins", "transit_mode", "rail_viable")},
+            "accessibility_score": access_score(F.col("_way.travel_time_mins"), F.col("_way.rail_viable")),
+            "absolute_headroom_score": absolute,
+        },
+        {
+            "spare_capacity_blended": rnd(F.col("spare_capacity_score") * 0.5 + F.col("absolute_headroom_score") * 0.5, 1),
+            "is_feasible": feasible,
+            "distance_friction_penalty": rnd(friction, 1),
+        },
+        {
+            "final_wsm_score": rnd(F.greatest(F.lit(0.0), base - friction), 1),
+            "_class": F.when(F.col("is_feasible") & regional, FEASIBLE_REGIONAL)
+            .when(F.col("is_feasible"), FEASIBLE_FAR)
+            .when(regional, REGIONAL_ONLY)
+            .otherwise(OTHER),
+        },
+    ]
+
+
+def _scored(pairs: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    for step in steps:
+        pairs = pairs.withColumns(step)
+    return pairs.drop("_way")
 
 
-def _classed(scored: DataFrame) -> DataFrame:
-    regional = F.col("distance_km") <= REGIONAL_KM
-    return scored.withColumn(
-        "_class",
-        F.when(F.col("is_feasible") & regional, FEASIBLE_REGIONAL)
-        .when(F.col("is_feasible"), FEASIBLE_FAR)
-        .when(regional, REGIONAL_ONLY)
-        .otherwise(OTHER),
-    )
+def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
+    """Corridor, five pillars, weighted score, friction and feasibility of hotspot/candidate pairs.
+
+    ``pairs`` holds two ``prepare_places`` rows side by side (prefixes ``h_`` and ``c_``) and ``straight_km``.
+    """
+    return _scored(pairs, score_steps(weights, alpha)).drop("_class")
 
 
 def _best_first() -> list[Column]:
@@ -159,7 +153,7 @@ def _best_first() -> list[Column]:
 def _top_per_class(scored: DataFrame, top_n: int) -> DataFrame:
     """At most ``top_n`` rows per hotspot and class; the row limit prunes before the shuffle."""
     order = Window.partitionBy("h_id", "_class").orderBy(*_best_first())
-    return _classed(scored).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_n).drop("_n")
+    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_n).drop("_n")
 
 
 def _pick_pool(shortlist: DataFrame, top_n: int) -> DataFrame:
@@ -189,10 +183,10 @@ def _pick_pool(shortlist: DataFrame, top_n: int) -> DataFrame:
     )
 
 
-def _near_pairs(hotspots: DataFrame, candidates: DataFrame, road_km: float, group_rows: int) -> DataFrame:
+def _near_pairs(hotspots: DataFrame, candidates: DataFrame, road_km: float, group_rows: int, small: bool) -> DataFrame:
     return radius_join(
         hotspots, candidates, ("h_lat", "h_lon"), ("c_lat", "c_lon"), right_key="c_id", left_key="h_id",
-        radius_km=road_km / ROAD_FACTOR_MIN + 0.1, group_rows=group_rows,
+        radius_km=road_km / ROAD_FACTOR_MIN + 0.1, group_rows=group_rows, small_right=small,
     ).where(~same_place())
 
 
@@ -236,8 +230,11 @@ def match_all(
     c = _side(ready, "c")
     h = _side(ready if hotspots is candidates else cut_lineage(hotspots), "h")
 
+    small = has_at_most(ready, group_rows)
+    steps = score_steps(weights, alpha)
+
     def score(pairs: DataFrame) -> DataFrame:
-        return _top_per_class(score_pairs(pairs, weights, alpha), top_n)
+        return _top_per_class(_scored(pairs, steps), top_n)
 
     def lacking(shortlist: DataFrame, done: Column) -> DataFrame:
         filled = shortlist.groupBy("h_id").agg(done.alias("_done")).where("_done").select("h_id")
@@ -246,18 +243,21 @@ def match_all(
     def count_of(*groups: int) -> Column:
         return F.sum(F.when(F.col("_class").isin(*groups), 1).otherwise(0))
 
-    shortlist = cut_lineage(score(_near_pairs(h, c, REGIONAL_KM, group_rows)))
-    unfilled = lacking(shortlist, count_of(FEASIBLE_REGIONAL) >= top_n)
-    if not unfilled.isEmpty():
-        wider = score(_near_pairs(unfilled, c, FEASIBLE_KM, group_rows))
-        done = shortlist.join(unfilled.select("h_id"), "h_id", "left_anti")
-        shortlist = cut_lineage(done.unionByName(wider))
-        rule = (count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0) | (count_of(REGIONAL_ONLY) >= top_n)
-        stranded = lacking(shortlist, rule)
-        if not stranded.isEmpty():
-            anywhere = _near_pairs(stranded, c, ZERO_SCORE_KM, group_rows).unionByName(
-                _zero_score_fill(stranded, c, top_n)
-            )
-            done = shortlist.join(stranded.select("h_id"), "h_id", "left_anti")
-            shortlist = done.unionByName(score(anywhere.dropDuplicates(["h_id", "c_id"])))
+    # two small tables take the wide reach at once: fewer passes cost more than the extra pairs
+    both_small = small and (hotspots is candidates or has_at_most(h, group_rows))
+    shortlist = cut_lineage(score(_near_pairs(h, c, FEASIBLE_KM if both_small else REGIONAL_KM, group_rows, small)))
+    if not both_small:
+        unfilled = lacking(shortlist, count_of(FEASIBLE_REGIONAL) >= top_n)
+        if not unfilled.isEmpty():
+            wider = score(_near_pairs(unfilled, c, FEASIBLE_KM, group_rows, small))
+            done = shortlist.join(unfilled.select("h_id"), "h_id", "left_anti")
+            shortlist = cut_lineage(done.unionByName(wider))
+    settled = (count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0) | (count_of(REGIONAL_ONLY) >= top_n)
+    stranded = lacking(shortlist, settled)
+    if not stranded.isEmpty():
+        anywhere = _near_pairs(stranded, c, ZERO_SCORE_KM, group_rows, small).unionByName(
+            _zero_score_fill(stranded, c, top_n)
+        )
+        done = shortlist.join(stranded.select("h_id"), "h_id", "left_anti")
+        shortlist = done.unionByName(score(anywhere.dropDuplicates(["h_id", "c_id"])))
     return _pick_pool(shortlist, top_n)

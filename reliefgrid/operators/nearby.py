@@ -14,6 +14,11 @@ from reliefgrid.session import cut_lineage
 GROUP_ROWS = 20_000
 
 
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Size check before a broadcast; counts no further than ``rows`` + 1."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def _steps(radius_km: float) -> tuple[float, int]:
     """Cell edge in degrees (360 is a whole multiple of it) and the number of cells around the globe."""
     around = max(1, math.floor(360.0 / max(math.degrees(radius_km / EARTH_KM), 1e-3)))
@@ -54,6 +59,7 @@ def radius_join(
     on: list[str] | None = None,
     distance_column: str = "straight_km",
     group_rows: int = GROUP_ROWS,
+    small_right: bool = False,
 ) -> DataFrame:
     """Every left/right pair within the radius, once, with its distance.
 
@@ -61,6 +67,9 @@ def radius_join(
     equi-join on the cell followed by the exact distance test. A crowded cell is split on both sides by key hash into
     blocks of about ``group_rows`` rows, so no task receives a whole hot cell. ``on`` adds columns both sides must share. With ``radius_column`` (on the right
     side) each right row carries its own radius and ``max_radius_km`` bounds the reach.
+
+    ``small_right`` says the right side was counted and has at most ``group_rows`` rows (see ``has_at_most``): it is
+    then broadcast, nothing is shuffled and no cell can be crowded.
     """
     reach = max_radius_km if radius_column else radius_km
     step, around = _steps(reach)
@@ -71,6 +80,15 @@ def radius_join(
     visiting = left.where(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull()).withColumn(
         "_cell", F.explode(_reached_cells(F.col(left_at[0]), F.col(left_at[1]), reach, step, around))
     )
+    limit = F.col(radius_column) if radius_column else F.lit(float(radius_km))
+
+    def within(pairs: DataFrame) -> DataFrame:
+        distance = haversine_km(left_at[0], left_at[1], right_at[0], right_at[1])
+        kept = pairs.withColumn(distance_column, distance).where(F.col(distance_column) <= limit)
+        return kept.drop("_cell", "_lp", "_rp")
+
+    if small_right:
+        return within(visiting.join(F.broadcast(placed), cell))
     load = (
         placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_right_rows"))
         .join(visiting.groupBy(*cell).agg(F.count(F.lit(1)).alias("_left_rows")), cell)
@@ -92,13 +110,7 @@ def radius_join(
         *left.columns, "_cell", part(left_key, "_left_parts").alias("_lp"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_right_parts") - 1)).alias("_rp"),
     )
-    limit = F.col(radius_column) if radius_column else F.lit(float(radius_km))
-    return (
-        split_left.join(split_right, [*cell, "_lp", "_rp"])
-        .withColumn(distance_column, haversine_km(left_at[0], left_at[1], right_at[0], right_at[1]))
-        .where(F.col(distance_column) <= limit)
-        .drop("_cell", "_lp", "_rp")
-    )
+    return within(split_left.join(split_right, [*cell, "_lp", "_rp"]))
 
 
 def nearest(
@@ -114,16 +126,17 @@ def nearest(
 ) -> DataFrame:
     """(left_id, nearest_<right_id>, nearest_km): closest right point, lowest id on a tie.
 
-    The circle grows only for left rows that found nothing yet, so dense areas are settled by short joins. The last
-    radius is the limit: left rows with nothing inside it are absent. A left id may repeat with different ``on`` values.
+    The circle grows only for left rows that found nothing yet, so dense areas are settled by short joins; both sides
+    are checkpointed, as every circle reads them. The last radius is the limit: left rows with nothing inside it are absent. A left id may repeat with different ``on`` values.
     """
-    right = right.select(right_id, *right_at, *(on or []))
+    right = cut_lineage(right.select(right_id, *right_at, *(on or [])))
+    small = has_at_most(right, group_rows)
     left = cut_lineage(left.select(left_id, *left_at, *(on or [])).distinct())
     found, waiting = None, left
     for radius in radii_km:
         pairs = radius_join(
             waiting, right, left_at, right_at, right_key=right_id, left_key=left_id, on=on, radius_km=radius,
-            group_rows=group_rows,
+            group_rows=group_rows, small_right=small,
         )
         best = pairs.groupBy(left_id).agg(F.min(F.struct("straight_km", right_id)).alias("_best"))
         if radius == radii_km[-1]:

@@ -33,7 +33,8 @@ def rolling_mean(
 
 
 def _windowed(events: DataFrame, keys: list[str], value: str, ts: str, late: str, length: str, step: str) -> DataFrame:
-    bounded = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    bounded = timed.withWatermark(ts, late) if events.isStreaming else timed
     grouped = bounded.groupBy(F.window(ts, length, step), *keys).agg(
         F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("row_count")
     )
@@ -44,7 +45,8 @@ def live_status(
     demand: DataFrame, capacities: DataFrame, key: str = "destination_id", ts: str = "ts", late: str = "1 day", length: str = "1 day"
 ) -> DataFrame:
     """Latest demand of each place per window, joined to its static capacities and diagnosed."""
-    bounded = demand.withWatermark(ts, late) if demand.isStreaming else demand
+    timed = demand.withColumn(ts, F.col(ts).cast("timestamp"))
+    bounded = timed.withWatermark(ts, late) if demand.isStreaming else timed
     latest = bounded.groupBy(F.window(ts, length), key).agg(F.max_by("demand", ts).alias("daily_demand_peak"))
     return diagnose(latest.join(capacities, key)).withColumn("window_start", F.col("window.start")).drop("window")
 
