@@ -147,9 +147,9 @@ def state_key(raw: Column | str) -> Column:
 
 
 def has_word(line: Column | str, phrase: str) -> Column:
-    """Case-insensitive whole-word match, spelled with explicit non-word edges."""
+    """Case-insensitive whole-word match; the plain substring test spares most lines the pattern."""
     escaped = phrase.replace(".", r"\.")
-    return as_col(line).rlike(rf"(?i)(^|\W){escaped}(\W|$)")
+    return F.lower(as_col(line)).contains(phrase.lower()) & as_col(line).rlike(rf"(?i)(^|\W){escaped}(\W|$)")
 
 
 def first_alias(line: Column | str, aliases: list[tuple[str, str]]) -> Column:
@@ -174,8 +174,10 @@ def line_counts(line: Column | str, above: int | None = None) -> Column:
 
 def rejoin_split_name(text: Column | str, first: str = "NEGERI", second: str = "SEMBILAN") -> Column:
     """Put a two-word name that the report broke over lines back on one line."""
-    around = F.regexp_replace(as_col(text), rf"(?i){first}\s*\n\s*([\d.\s-]+)\n\s*{second}", f"{first} {second} $1")
-    return F.regexp_replace(around, rf"(?i){first}\s*\n\s*{second}", f"{first} {second}")
+    whole = as_col(text)
+    around = F.regexp_replace(whole, rf"(?i){first}\s*\n\s*([\d.\s-]+)\n\s*{second}", f"{first} {second} $1")
+    joined = F.regexp_replace(around, rf"(?i){first}\s*\n\s*{second}", f"{first} {second}")
+    return F.when(F.lower(whole).contains(first.lower()), joined).otherwise(whole)
 
 
 def file_year(name: Column | str) -> Column:

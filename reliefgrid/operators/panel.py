@@ -9,6 +9,7 @@ from reliefgrid.functions.calendar import long_weekend, month_angle, month_start
 from reliefgrid.functions.numeric import known
 from reliefgrid.functions.text import state_key
 from reliefgrid.operators.rollup import DEFAULT_OCCUPANCY
+from reliefgrid.session import cut_lineage
 
 # Calendar numbers used when a month is unknown, in training and in scoring.
 TRAINING_DEFAULT = (5.0, 2.0, 1.0)
@@ -102,7 +103,8 @@ def occupancy_panel(rates: DataFrame, months: DataFrame, value: str = "average_o
     a ``month`` column of "YYYY-MM" keys. Of repeated source rows the highest rate counts.
     """
     clean = rates.select(state_key("state").alias("state_key"), "year", "period", known(value).alias("aor"))
-    one = clean.groupBy("state_key", "year", "period").agg(F.max("aor").alias("aor"))
+    # state x year x period: small, and read four times below
+    one = cut_lineage(clean.groupBy("state_key", "year", "period").agg(F.max("aor").alias("aor")))
     national = F.coalesce(one.agg(F.avg("aor")).scalar(), F.lit(DEFAULT_OCCUPANCY))
     calendar = months.select(month_start("month").alias("month_start")).distinct()
     # the calendar is a list of months, so it travels as one array

@@ -72,15 +72,27 @@ def key_violations(df: DataFrame, key: str) -> DataFrame:
     return repeated_keys(df, [key]).select(F.col(key).cast("string").alias("key"), F.lit("unique key").alias("rule"))
 
 
+def _read_zones(zones: DataFrame) -> DataFrame:
+    """Parsed code, class, area and radius, each worked out once for all rules."""
+    return zones.withColumns(
+        {
+            "_type": zone_type_number("ksas_code"),
+            "_class": protection_class("tahap"),
+            "_area": F.col("luas_h").try_cast("double"),
+            "_radius": F.col("radius_m").try_cast("double"),
+        }
+    ).withColumn("_expected", F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONE_TYPES.items() for x in kv]), "_type"))
+
+
 def zone_rules() -> dict[str, Column]:
-    number, cls = zone_type_number("ksas_code"), protection_class("tahap")
-    expected = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONE_TYPES.items() for x in kv]), number)
+    """Conditions over ``_read_zones`` rows."""
+    number, cls, expected = F.col("_type"), F.col("_class"), F.col("_expected")
     given = F.trim("jenis_ksas")
     stem = F.lower(F.trim(F.substring_index(expected, "(", 1)))
     legal = F.lit(False)
     for zone_type, classes in LEGAL_CLASSES.items():
         legal = F.when(number == zone_type, cls.isin(*classes)).otherwise(legal)
-    area, radius = F.col("luas_h").try_cast("double"), F.col("radius_m").try_cast("double")
+    area, radius = F.col("_area"), F.col("_radius")
     derived = F.lower(F.trim(F.col("area_derived").cast("string"))) == "true"
     return {
         "type code": number.isNotNull(),
@@ -100,7 +112,7 @@ def zone_rules() -> dict[str, Column]:
 
 def zone_violations(zones: DataFrame) -> DataFrame:
     require_columns(zones, ZONE_COLUMNS)
-    return row_violations(zones, "key", zone_rules()).unionByName(key_violations(zones, "key"))
+    return row_violations(_read_zones(zones), "key", zone_rules()).unionByName(key_violations(zones, "key"))
 
 
 def uncovered_types(zones: DataFrame) -> DataFrame:

@@ -62,14 +62,23 @@ def congestion(
 
 
 def pair_corridors(
-    pairs: DataFrame, o_at: tuple[str, str], d_at: tuple[str, str], o_name: str, d_name: str, mountain_pattern: str | None = None
+    pairs: DataFrame,
+    o_at: tuple[str, str],
+    d_at: tuple[str, str],
+    o_name: str,
+    d_name: str,
+    mountain_pattern: str | None = None,
+    stations: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Add straight_km, distance_km, travel_time_mins, transit_mode and rail_viable to origin/destination rows."""
+    """Add straight_km, distance_km, travel_time_mins, transit_mode and rail_viable to origin/destination rows.
+
+    ``stations`` names columns that already hold the ``nearest_station`` of both ends: work them out once per place
+    where places repeat over many pairs.
+    """
     pattern = {} if mountain_pattern is None else {"pattern": mountain_pattern}
+    o_stop, d_stop = (F.col(c) for c in stations) if stations else (nearest_station(*o_at), nearest_station(*d_at))
     return (
-        pairs.withColumns(
-            {"_o": nearest_station(*o_at), "_d": nearest_station(*d_at), "straight_km": haversine_km(*o_at, *d_at)}
-        )
+        pairs.withColumns({"_o": o_stop, "_d": d_stop, "straight_km": haversine_km(*o_at, *d_at)})
         .withColumn(
             "_way",
             corridor(F.col("straight_km"), is_mountain(o_name, **pattern) | is_mountain(d_name, **pattern), F.col("_o"), F.col("_d")),

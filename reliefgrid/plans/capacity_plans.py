@@ -27,7 +27,7 @@ _BEST = (
 )
 
 
-@query("match_top3", f"{MATCH} SELECT {_BEST} FROM best")
+@query("match_top3", f"{MATCH} SELECT {_BEST.replace('candidate_rank', 'candidate_rank::INTEGER AS candidate_rank')} FROM best")
 def match_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = match_places(spark, sf_dir)
     return match_all(ready, ready, top_n=3).select(*_BEST.split(", "))

@@ -90,7 +90,10 @@ def flow_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "c_nationkey").agg(
         F.sum("l_quantity").alias("qty")
     )
-    spots = places(spark, sf_dir).select(F.col("destination_id").alias("l_suppkey"), "destination_name", "lat", "lon")
+    spots = places(spark, sf_dir).select(
+        F.col("destination_id").alias("l_suppkey"), "destination_name", "lat", "lon", nearest_station("lat", "lon").alias("o_stop")
+    )
+    hubs = hubs.withColumn("d_stop", nearest_station("h_lat", "h_lon"))
     return flows.join(spots, "l_suppkey").join(hubs, "c_nationkey")
 
 
@@ -123,7 +126,8 @@ def road_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def corridor_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = traffic.pair_corridors(
-        flow_pairs(spark, sf_dir), ("lat", "lon"), ("h_lat", "h_lon"), "destination_name", "hub_name", "supplier.*[37]$"
+        flow_pairs(spark, sf_dir), ("lat", "lon"), ("h_lat", "h_lon"), "destination_name", "hub_name", "supplier.*[37]$",
+        ("o_stop", "d_stop"),
     )
     return out.select(
         "l_suppkey", "hub_name", "qty", rnd("straight_km", 6).alias("straight_km"), "distance_km", "travel_time_mins", "transit_mode", "rail_viable"

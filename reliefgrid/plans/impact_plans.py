@@ -11,6 +11,7 @@ from reliefgrid.operators import impact, market, multipliers
 from reliefgrid.plans.mapping import customer_nation, money, places, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import PLACES, r
+from reliefgrid.session import cut_lineage
 
 # raw: long spending table; markets are customer nations, categories are order priorities
 CATEGORY_NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -37,6 +38,8 @@ def raw_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = per.join(customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).groupBy("year", "market", "audience", "category").agg(
         (F.sum("v").cast("double") / 1e6).alias("v")
     ).where("NOT (audience = 'Visitors' AND year = 1996)")
+    # years x nations x audiences x categories: small, and read by totals and shares
+    cells = cut_lineage(cells)
     with_overall = cells.withColumn("market", F.explode(F.array(F.col("market"), F.lit("Overall"))))
     totals = with_overall.groupBy("year", "market", "audience").agg(F.sum("v").alias("total"))
     shares = with_overall.groupBy("year", "market", "audience", "category").agg(F.sum("v").alias("v")).join(totals, ["year", "market", "audience"])

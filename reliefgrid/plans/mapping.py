@@ -9,18 +9,21 @@ from reliefgrid.functions.capacity import SUBSYSTEMS
 from reliefgrid.operators.capacity import diagnose
 from reliefgrid.operators.match import prepare_places
 from reliefgrid.plans.sqltext import ARCH_TYPES, MOUNTAIN, PLACE_FACTORS
+from reliefgrid.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def place_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def place_base(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
     """Suppliers with demand (summed sales), formula coordinates and six capacities."""
-    sales = (
-        table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
-        .agg(F.sum("l_quantity").alias("demand"), F.count(F.lit(1)).alias("line_count"))
-    )
+    if sales is None:
+        sales = (
+            table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
+            .agg(F.sum("l_quantity").alias("demand"), F.count(F.lit(1)).alias("line_count"))
+        )
+    kept = [F.col(c) for c in sales.columns if c not in ("l_suppkey", "demand", "line_count")]
     key = F.col("s_suppkey")
     places = (
         table(spark, sf_dir, "supplier").join(sales, key == F.col("l_suppkey"))
@@ -41,6 +44,7 @@ def place_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 29 % 400) / 10.0 + 40.0).alias("latest_aor_pct"),
         F.col("demand").alias("daily_demand_peak"),
         *capacities,
+        *kept,
     )
 
 
@@ -54,14 +58,15 @@ def brand_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_suppkey", "p_brand", "p_type").agg(F.sum("l_quantity").alias("qty"))
+        .groupBy("l_suppkey", "p_brand", "p_type").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
     )
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archetype measures (type shares) and tags (five best brands) of every supplier."""
+    """Archetype measures (type shares), tags (five best brands) and sales of every supplier."""
     by_brand = brand_mix(spark, sf_dir).groupBy("l_suppkey", "p_brand").agg(
         F.sum("qty").alias("qty"),
+        F.sum("n").alias("n"),
         *[F.sum(F.when(F.col("p_type") == t, F.col("qty")).otherwise(0.0)).alias(n) for n, t in ARCH_TYPES],
     )
     # a supplier has at most one row per brand here, so the list is short
@@ -70,11 +75,14 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_brand.groupBy("l_suppkey").agg(
         *[F.least(F.lit(1.0), F.sum(n) * 2.5 / total).alias(n) for n, _ in ARCH_TYPES],
         F.array_join(F.slice(ranked, 1, 5)["p_brand"], " | ").alias("poi_tags"),
+        total.alias("demand"),
+        F.sum("n").alias("line_count"),
     )
 
 
 def full_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places(spark, sf_dir).join(profiles(spark, sf_dir), F.col("destination_id") == F.col("l_suppkey")).drop("l_suppkey")
+    """Places with archetypes and tags, from one pass over the sales."""
+    return diagnose(place_base(spark, sf_dir, profiles(spark, sf_dir)))
 
 
 def match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +99,8 @@ def hotel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_suppkey", F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("q"))
         .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
     )
-    quarters = (
+    # nations x years x quarters: small, and read twice below
+    quarters = cut_lineage(
         with_nation(spark, sf_dir, lines, "l_suppkey").groupBy("state", "year", "q")
         .agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
     )
@@ -130,12 +139,14 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("urgent"),
         F.count(F.when(F.col("o_orderstatus") == "P", 1)).alias("pending"),
     )
+    # one row per month
     months = days.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
         F.count(F.when(F.col("urgent") >= 3, 1)).alias("cuti_sekolah_days"),
         F.count(F.when(F.col("pending") >= 5, 1)).alias("public_holidays"),
         F.count(F.when((F.weekday("day") == 5) & (F.col("n") >= 6), 1)).alias("long_weekends"),
         F.sum("n").alias("n"),
     )
+    months = cut_lineage(months)
     mean = months.agg(F.avg("n"))
     return months.select(
         "month", "cuti_sekolah_days", "public_holidays", "long_weekends", (F.col("n") / mean.scalar()).alias("demand_multiplier"),
@@ -145,7 +156,8 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which orders pile up."""
-    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("holiday_date")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per day
+    days = cut_lineage(table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("holiday_date")).agg(F.count(F.lit(1)).alias("n")))
     return days.where(F.col("n") > days.agg(F.avg("n")).scalar() * 1.6).select("holiday_date")
 
 

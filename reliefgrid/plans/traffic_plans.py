@@ -71,7 +71,7 @@ def route_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_suppkey, hub_name, transit_mode AS display_mode, travel_time_mins AS display_mins, rail_viable AS is_rail, (coalesce(claimed,'Road')='KTM Train' AND NOT rail_viable) AS claim_refuted FROM w""",
 )
 def display_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    way = traffic.pair_corridors(flow_pairs(spark, sf_dir), ("lat", "lon"), ("h_lat", "h_lon"), "destination_name", "hub_name", "no such place")
+    way = traffic.pair_corridors(flow_pairs(spark, sf_dir), ("lat", "lon"), ("h_lat", "h_lon"), "destination_name", "hub_name", "no such place", ("o_stop", "d_stop"))
     key = F.col("l_suppkey") % 3
     claimed = way.withColumns({"claimed_mode": F.when(key == 0, "KTM Train").when(key == 1, "Road"), "claimed_mins": F.lit(55.0)})
     out = traffic.display_corridor(claimed, "claimed_mode", "claimed_mins")
