@@ -59,7 +59,7 @@ def radius_join(
     on: list[str] | None = None,
     distance_column: str = "straight_km",
     group_rows: int = GROUP_ROWS,
-    small_right: bool = False,
+    small_right: bool | None = None,
 ) -> DataFrame:
     """Every left/right pair within the radius, once, with its distance.
 
@@ -68,9 +68,14 @@ def radius_join(
     blocks of about ``group_rows`` rows, so no task receives a whole hot cell. ``on`` adds columns both sides must share. With ``radius_column`` (on the right
     side) each right row carries its own radius and ``max_radius_km`` bounds the reach.
 
-    ``small_right`` says the right side was counted and has at most ``group_rows`` rows (see ``has_at_most``): it is
-    then broadcast, nothing is shuffled and no cell can be crowded.
+    A right side of at most ``group_rows`` rows is broadcast instead: nothing is shuffled and no cell can be crowded.
+    Callers that hold checkpointed sides and have counted the right one say so in ``small_right``; otherwise the right
+    side is checkpointed and counted here, and the left side is checkpointed if it has to be read twice.
     """
+    if small_right is None:
+        right = cut_lineage(right)
+        small_right = has_at_most(right, group_rows)
+        left = left if small_right else cut_lineage(left)
     reach = max_radius_km if radius_column else radius_km
     step, around = _steps(reach)
     cell = ["_cell", *(on or [])]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.numeric import known, rnd
+from reliefgrid.session import cut_lineage
 
 NATIONAL_LABEL = "National Mean Baseline"
 DEFAULT_OCCUPANCY = 47.5
@@ -75,6 +76,7 @@ def max_per_key(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
 def share_of_total(df: DataFrame, value: str, total_key: Column, out: str = "share_percent") -> DataFrame:
     """Percent of the row that ``total_key`` marks, or of the sum of the others when no such row exists."""
+    df = cut_lineage(df)  # read by both totals and by the rows
     stated = df.where(total_key).agg(F.max(value))
     parts = df.where(~total_key)
     whole = F.coalesce(stated.scalar(), parts.agg(F.sum(value)).scalar())
@@ -89,7 +91,7 @@ def allocate(
     The weight sum is a grouped aggregate joined back, not a window, so one key with a third of the rows still
     aggregates in parallel.
     """
-    weighted = df.withColumn("_w", weight)
+    weighted = cut_lineage(df.withColumn("_w", weight))  # read by the sums and by the split
     sums = weighted.groupBy(key).agg(F.sum("_w").alias("_sum")).join(totals.select(key, total), key)
     return (
         weighted.join(sums, key)
@@ -112,6 +114,7 @@ def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, rows:
 
 def top_share(df: DataFrame, group: str, value: str, tie: str, n: int = 5) -> DataFrame:
     """Share of each group's total held by its ``n`` largest rows."""
+    df = cut_lineage(df)  # read by the totals and by the leaders
     order = Window.partitionBy(group).orderBy(F.desc(value), tie)
     head = (
         df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.functions.numeric import parse_number
 from reliefgrid.functions.text import first_line
+from reliefgrid.session import cut_lineage
 
 # Header and note words, component keywords and state words of the survey sheets.
 HEADER_PATTERN = r"^\s*(negeri|state|jumlah|total)\s*(/.*)?$|table|jadual|nota"
@@ -72,7 +73,7 @@ def origin_destination(
     The header is the first row that holds both anchor names; its state cells name the columns. Origins are the first
     state word within the first four columns of the rows below; total rows are skipped.
     """
-    rows = cells.where((F.col("sheet") == sheet) & F.col("value").isNotNull())
+    rows = cut_lineage(cells.where((F.col("sheet") == sheet) & F.col("value").isNotNull()))  # header, columns, origins, body
     low = F.lower("value")
     is_state = low.rlike("|".join(state_words or STATE_WORDS))
     anchored = rows.where(F.col("row") < header_rows).groupBy("year", "row").agg(
@@ -98,7 +99,7 @@ def year_header_series(
     cells: DataFrame, sheet: str, value_name: str, name_col: int = 0, drop_pattern: str = HEADER_PATTERN
 ) -> DataFrame:
     """(state, year, value) from a sheet whose header row holds years."""
-    rows = cells.where(F.col("sheet") == sheet).select("row", "col", "value")
+    rows = cut_lineage(cells.where(F.col("sheet") == sheet).select("row", "col", "value"))  # header, columns, names, body
     year = F.regexp_extract("value", r"^\s*((?:19|20)\d{2})(?:\.0)?\s*$", 1).try_cast("int")
     years = rows.withColumn("year", year).where(F.col("year").isNotNull())
     header = years.groupBy("row").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2).agg(F.min("row")).scalar()

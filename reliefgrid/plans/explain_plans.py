@@ -13,6 +13,7 @@ from reliefgrid.operators.capacity import capacity_stages
 from reliefgrid.plans.mapping import match_places, places, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import MATCH, PLACES, clip, r
+from reliefgrid.session import cut_lineage
 
 
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +169,7 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def vacancy_cushion(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = shortlist(spark, sf_dir).where("candidate_rank = 1").select("h_id", "c_id")
-    rates = places(spark, sf_dir).select("destination_id", "latest_aor_pct")
+    rates = cut_lineage(places(spark, sf_dir).select("destination_id", "latest_aor_pct"))
     joined = first.join(rates.toDF("h_id", "h_aor"), "h_id").join(rates.toDF("c_id", "c_aor"), "c_id")
     out = explain.vacancy_cushion(joined)
     return out.select("h_id", "c_id", *[rnd(c, 4).alias(c) for c in ("hotspot_vacancy", "relief_vacancy", "vacancy_cushion")])

@@ -208,7 +208,7 @@ def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     makers = table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("i")
     )
-    edges = sold.join(makers, "l_suppkey").groupBy("year", "i", "j").agg(F.sum("z").alias("z"))
+    edges = cut_lineage(sold.join(makers, "l_suppkey").groupBy("year", "i", "j").agg(F.sum("z").alias("z")))  # years x nations x nations
     bought = F.sum("z")
     sectors = edges.groupBy("year", "j").agg(
         (bought * 2.5).alias("x"), (bought * 0.9).alias("gva"), (bought * 0.6).alias("wages"), (bought * 0.5).alias("consumption")
@@ -232,6 +232,6 @@ def composite_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, sectors = _trade(spark, sf_dir)
     sector_table = multipliers.multipliers(edges, sectors, rounds=ROUNDS, tolerance=None)
     weights = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("j"), (F.col("n_nationkey") + 1.0).alias("weight"))
-    yearly = multipliers.composite(sector_table, weights)
+    yearly = cut_lineage(multipliers.composite(sector_table, weights))  # one row per year
     asked = yearly.agg(F.array(F.lit(1999), F.lit(2000), F.lit(2030)).alias("q")).select(F.explode("q").alias("year"))
     return multipliers.for_years(asked, yearly)

@@ -9,7 +9,7 @@ from reliefgrid.functions.calendar import month_start, month_label, month_year_l
 from reliefgrid.functions.numeric import rnd
 from reliefgrid.operators import explain, forecast, panel
 from reliefgrid.operators.rollup import DEFAULT_OCCUPANCY, seasonal_index
-from reliefgrid.plans.mapping import calendar, full_places, holidays, hotel_rates
+from reliefgrid.plans.mapping import calendar, full_places, holidays, hotel_rates, places
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import CALENDAR, PLACES, PROFILES, RATES, r
 from reliefgrid.session import cut_lineage
@@ -190,7 +190,7 @@ def spike_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = _fixed_model_risk(spark, sf_dir)
-    hot = full_places(spark, sf_dir).where("excess_demand > 0 AND continuous_pressure >= 1.3").select("destination_name", F.col("excess_demand").alias("diverted"))
+    hot = places(spark, sf_dir).where("excess_demand > 0 AND continuous_pressure >= 1.3").select("destination_name", F.col("excess_demand").alias("diverted"))
     out = forecast.rank_at_risk(risk, hot, top_n=10, group=["month"])
     return out.select(
         "month", "risk_rank", "destination_id", rnd("predicted_demand", 1).alias("predicted_demand"), "stress_pct", "spike_prob_pct",
@@ -204,7 +204,7 @@ def risk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT destination_id, strftime((month||'-01')::DATE,'%b %Y') AS month_name, v AS predicted_daily_demand, {r('m',2)} AS mitigated_daily_demand, {r('m/greatest(1e0,sustainable_capacity)*100e0',2)} AS mitigated_stress_pct FROM c""",
 )
 def mitigated_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    risk = _fixed_model_risk(spark, sf_dir)
+    risk = cut_lineage(_fixed_model_risk(spark, sf_dir))
     half = risk.select("destination_id", "month", (F.col("excess_demand") * 0.5).alias("diverted"))
     curve = forecast.forward_curve(risk).join(half, ["destination_id", "month"])
     out = explain.mitigated_curve(curve)
@@ -215,7 +215,8 @@ def mitigated_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = panel.holiday_proximity(_place_months(spark, sf_dir), holidays(spark, sf_dir))
+    months = cut_lineage(_place_months(spark, sf_dir))  # read by each feature join
+    months = panel.holiday_proximity(months, holidays(spark, sf_dir))
     return forecast.feature_table(panel.lag_features(months, _panel(spark, sf_dir), F.lit(DEFAULT_OCCUPANCY)))
 
 

@@ -9,6 +9,7 @@ from reliefgrid.operators import quality
 from reliefgrid.plans.mapping import full_places, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import PLACES, PROFILES
+from reliefgrid.session import cut_lineage
 
 # zones: customers as zone records, with faults that come from their numbers
 ZONES = """zrow AS (SELECT c_custkey, 'k'||(CASE WHEN c_custkey%97=0 THEN 1 ELSE c_custkey END) AS key, c_custkey%17 AS t, c_custkey%5 AS cls,
@@ -83,7 +84,7 @@ def uncovered_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def interest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("destination_id")
-    spots = full_places(spark, sf_dir)
+    spots = cut_lineage(full_places(spark, sf_dir).select("destination_id", "destination_name", "continuous_pressure", "poi_tags"))
     listed = spots.select(
         F.when(key % 11 == 0, F.concat(F.lit("Nowhere "), (key % 2).cast("string"))).otherwise(F.col("destination_name")).alias("destination"),
         F.when(key % 9 == 0, "Other").otherwise("Hotspot").alias("category"), (F.col("continuous_pressure") * 80.0).alias("relative_search_index"),

@@ -21,6 +21,7 @@ from reliefgrid.plans.mapping import (
 )
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import CALENDAR, FEED, PLACES, PROFILES, RATES, r
+from reliefgrid.session import cut_lineage
 
 RATE = "average_occupancy_rate_pct"
 
@@ -100,7 +101,7 @@ def state_rollup_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT destination_id, state_name, greatest(350e0, {r('pool*w/sum(w) OVER (PARTITION BY state_name)')}) AS allocated FROM w JOIN t USING (state_name)""",
 )
 def proportional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = places(spark, sf_dir)
+    base = cut_lineage(places(spark, sf_dir).select("destination_id", "state_name", "total_rooms", "latest_aor_pct"))
     totals = base.groupBy("state_name").agg((F.sum("total_rooms") * 0.5).alias("pool"))
     weight = F.col("total_rooms") * (F.col("latest_aor_pct") * 0.08 + 1.0)
     return rollup.allocate(base, totals, "state_name", weight, "pool").select("destination_id", "state_name", "allocated")

@@ -11,6 +11,7 @@ from reliefgrid.operators.nearby import radius_join
 from reliefgrid.plans.mapping import full_places, profiles, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import MATCH, PROFILES, r
+from reliefgrid.session import cut_lineage
 
 
 @query(
@@ -48,6 +49,7 @@ def hybrid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = full_places(spark, sf_dir).select(
         F.col("destination_id").alias("id"), "lat", "lon", archetype_vector().alias("vec"), F.col("poi_tags").alias("raw"), tag_set("poi_tags").alias("tags")
     )
+    base = cut_lineage(base)
     h = base.select(*[F.col(c).alias(f"h_{c}") for c in base.columns])
     c = base.select(*[F.col(c).alias(f"c_{c}") for c in base.columns])
     near = radius_join(h, c, ("h_lat", "h_lon"), ("c_lat", "c_lon"), right_key="c_id", left_key="h_id", radius_km=120.0)

@@ -12,6 +12,7 @@ from reliefgrid.operators import lookup, reports, survey
 from reliefgrid.plans.mapping import customer_nation, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import r
+from reliefgrid.session import cut_lineage
 
 # words searched in the documents, in order, with the group they stand for
 ALIASES = [("license", "License"), ("token", "Token"), ("the", "English"), ("la", "French"), ("der", "German"), ("el", "Spanish")]
@@ -138,6 +139,7 @@ def origin_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sold = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("year", "c_nationkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
     flows = sold.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("year", "c_nationkey", "s_nationkey").agg(F.sum("q").alias("q"))
+    flows = cut_lineage(flows)  # years x nations x nations
     years = flows.select("year").distinct()
     keys = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k")
     heads = years.select("year", keys).select("year", "k", F.concat(F.lit("state "), F.col("k").cast("string")).alias("name"))
@@ -198,6 +200,7 @@ def year_series_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     home = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     counts = per.join(home, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_nationkey", "n_name", "year").agg(F.sum("n").alias("n"))
+    counts = cut_lineage(counts)  # nations x years
 
     def cell(df, row, col, value):
         return df.select(F.lit("1").alias("sheet"), row.cast("int").alias("row"), col.cast("int").alias("col"), value.cast("string").alias("value"))
