@@ -55,7 +55,7 @@ def read_available(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[st
 
 def report_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, text): one row per report file, read whole."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
 
 
@@ -65,14 +65,14 @@ def cell_table(spark: SparkSession, path: str) -> DataFrame:
 
 def multiplier_json(spark: SparkSession, path: str) -> DataFrame:
     """One row with ``tables``: map(year -> struct(composite_tourism, sectors))."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     tables = F.from_json("value", schemas.MULTIPLIER_TABLES)
     return text.select(F.map_filter(tables, lambda k, v: k != "metadata").alias("tables"))
 
 
 def route_json(spark: SparkSession, path: str) -> DataFrame:
     """(route, corridor_name, mode, travel_time_mins, fare_rm, waypoints)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", schemas.ROUTES)).alias("route", "r")).select(
         "route", "r.corridor_name", "r.mode", "r.travel_time_mins", "r.fare_rm",
         F.transform("r.waypoints", lambda p: F.struct(F.get(p, F.lit(0)).alias("lat"), F.get(p, F.lit(1)).alias("lon"))).alias("waypoints"),
