@@ -151,9 +151,13 @@ def _best_first() -> list[Column]:
 
 
 def _top_per_class(scored: DataFrame, top_n: int) -> DataFrame:
-    """At most ``top_n`` rows per hotspot and class; the row limit prunes before the shuffle."""
+    """(h_id, c_id, _class, score), at most ``top_n`` rows per hotspot and class.
+
+    Only these four columns are sorted, and the row limit cuts each task's pairs before the shuffle.
+    """
     order = Window.partitionBy("h_id", "_class").orderBy(*_best_first())
-    return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_n).drop("_n")
+    narrow = scored.select("h_id", "c_id", "_class", "final_wsm_score")
+    return narrow.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top_n).drop("_n")
 
 
 def _pick_pool(shortlist: DataFrame, top_n: int) -> DataFrame:
@@ -224,7 +228,8 @@ def match_all(
     Three tiers of growing reach, each a grid join: the regional reach for all hotspots, the feasible reach only for
     hotspots the first tier did not fill, and an unbounded search only for those still without a feasible candidate
     and a full regional list. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
-    tables behind the places are read once and no pair is scored twice. ``weights`` must not let a score exceed 100.
+    tables behind the places are read once. Shortlists carry ids and scores only; the columns of the chosen pairs are
+    worked out at the end. Ids must be unique.
     """
     ready = cut_lineage(candidates)
     c = _side(ready, "c")
@@ -260,4 +265,6 @@ def match_all(
         )
         done = shortlist.join(stranded.select("h_id"), "h_id", "left_anti")
         shortlist = done.unionByName(score(anywhere.dropDuplicates(["h_id", "c_id"])))
-    return _pick_pool(shortlist, top_n)
+    chosen = _pick_pool(shortlist, top_n).drop("final_wsm_score")
+    sides = chosen.join(h, "h_id").join(F.broadcast(c) if small else c, "c_id")
+    return _scored(sides.withColumn("straight_km", haversine_km("h_lat", "h_lon", "c_lat", "c_lon")), steps).drop("_class")
