@@ -42,13 +42,15 @@ def share(part: Column | str, total: Column | str) -> Column:
 
 
 def parse_number(token: Column | str) -> Column:
-    """'1,234' -> 1234, '56.1%' -> 56.1, '(7)' -> -7, anything else null."""
-    bare = F.trim(F.regexp_replace(as_col(token), "[,%]", ""))
-    signed = F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
-    return F.when(signed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), signed.try_cast("double"))
+    """'1,234' -> 1234, '56.1%' -> 56.1, '(7)' -> -7, anything else null; most words fail the digit test at once."""
+    bare = F.trim(F.translate(as_col(token), ",%", ""))
+    bracketed = bare.startswith("(") & bare.endswith(")")
+    signed = F.when(bracketed, F.concat(F.lit("-"), F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
+    number = as_col(token).rlike("[0-9]") & signed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return F.when(number, signed.try_cast("double"))
 
 
 def parse_count(token: Column | str) -> Column:
     """Digits with thousands commas -> long, anything else null."""
-    bare = F.trim(F.regexp_replace(as_col(token), ",", ""))
+    bare = F.trim(F.translate(as_col(token), ",", ""))
     return F.when(bare.rlike(r"^\d{1,18}$"), bare.try_cast("bigint"))

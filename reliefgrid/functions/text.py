@@ -161,14 +161,19 @@ def words(line: Column | str) -> Column:
     return F.filter(F.split(as_col(line), r"\s+"), lambda w: w != "")
 
 
+def _digit_words(line: Column | str) -> Column:
+    """Tokens of lines that hold any digit; other lines are not split."""
+    return F.when(as_col(line).rlike("[0-9]"), words(line)).otherwise(F.array().cast("array<string>"))
+
+
 def line_numbers(line: Column | str) -> Column:
     """All tokens that read as numbers, in order."""
-    return F.filter(F.transform(words(line), parse_number), lambda n: n.isNotNull())
+    return F.filter(F.transform(_digit_words(line), parse_number), lambda n: n.isNotNull())
 
 
 def line_counts(line: Column | str, above: int | None = None) -> Column:
     """All tokens that read as whole counts, in order, optionally only those above a bound."""
-    counts = F.filter(F.transform(words(line), parse_count), lambda n: n.isNotNull())
+    counts = F.filter(F.transform(_digit_words(line), parse_count), lambda n: n.isNotNull())
     return counts if above is None else F.filter(counts, lambda n: n > above)
 
 

@@ -202,12 +202,12 @@ def zone_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rail_path_length",
     f"""WITH {HOMES},{STOPS}, near AS (SELECT * FROM (SELECT c_custkey, ord, line, seq, row_number() OVER (PARTITION BY c_custkey ORDER BY d, ord) AS n, d FROM (SELECT c_custkey, stops.*, {km('c_lat','c_lon','stop_lat','stop_lon')} AS d FROM homes, stops) y) x WHERE n=1 AND d<=25e0)
-    SELECT c_custkey, line, abs(20-seq)+1 AS stops_to_interchange FROM near WHERE line='ets'""",
+    SELECT c_custkey, line, abs(20-seq)+1 AS stops_to_interchange FROM near JOIN homes USING (c_custkey) WHERE line='ets' AND {km('c_lat','c_lon','2.58e0','102.61e0')}>=15e0""",
 )
 def rail_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations passed from every home with access to the western line down to the interchange."""
+    """Stations passed from every home with a viable western-line trip down to the interchange."""
     target = homes(spark, sf_dir).withColumns({"t_lat": F.lit(2.58), "t_lon": F.lit(102.61)})
     with_stop = target.withColumn("s", nearest_station("c_lat", "c_lon")).where(F.col("s.line") == "ets")
     paths = traffic.rail_paths(with_stop, ("c_lat", "c_lon"), ("t_lat", "t_lon"))
     # origin, its station, the stations after it, destination (merged with the last station)
-    return paths.select("c_custkey", F.col("s.line").alias("line"), (F.size("rail_path") - 1).alias("stops_to_interchange"))
+    return paths.where(F.col("rail_path").isNotNull()).select("c_custkey", F.col("s.line").alias("line"), (F.size("rail_path") - 1).alias("stops_to_interchange"))

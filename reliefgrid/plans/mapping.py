@@ -158,7 +158,7 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which orders pile up."""
     # one row per day
     days = cut_lineage(table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("holiday_date")).agg(F.count(F.lit(1)).alias("n")))
-    return days.where(F.col("n") > days.agg(F.avg("n")).scalar() * 1.6).select("holiday_date")
+    return days.where(F.col("n") > days.agg(F.avg("n")).scalar() * 1.25).select("holiday_date")
 
 
 def daily_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

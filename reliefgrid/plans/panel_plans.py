@@ -43,7 +43,7 @@ def upcoming_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PROXIMITY = """mid AS (SELECT month, (month||'-01')::DATE+14 AS m FROM calendar),
 prox AS (SELECT month, coalesce(min(holiday_date-m) FILTER (WHERE holiday_date>=m), 365) AS days_to_next,
-    (count(*) FILTER (WHERE abs(holiday_date-m)<=15))*1e0 AS near_count FROM mid, holidays GROUP BY month)"""
+    (count(*) FILTER (WHERE abs(holiday_date-m)<=15))*1e0 AS near_count FROM mid LEFT JOIN holidays ON true GROUP BY month)"""
 
 
 @query(

@@ -202,7 +202,7 @@ months AS (SELECT strftime(day,'%Y-%m') AS month, count(*) FILTER (WHERE urgent>
   sum(n)::BIGINT AS n FROM days GROUP BY 1),
 calendar AS (SELECT month, cuti_sekolah_days, public_holidays, long_weekends, n/(SELECT avg(n) FROM months) AS demand_multiplier,
   'Events of '||month AS event_highlights FROM months),
-holidays AS (SELECT day AS holiday_date FROM days WHERE n>(SELECT avg(n) FROM days)*1.6e0)"""
+holidays AS (SELECT day AS holiday_date FROM days WHERE n>(SELECT avg(n) FROM days)*1.25e0)"""
 
 FEED = """
 feed AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,2))::DOUBLE AS total, count(*) AS n FROM events GROUP BY 1,2)"""
