@@ -160,7 +160,7 @@ def fit_volume(training: DataFrame, alpha: float = 0.5) -> LinearRegressionModel
     ).fit(_assembled(training))
 
 
-def fit_spike(training: DataFrame, iterations: int = 40) -> LogisticRegressionModel:
+def fit_spike(training: DataFrame, iterations: int = 25) -> LogisticRegressionModel:
     """Logistic fit; a quasi-Newton step goes much further than a plain gradient step, so few are enough."""
     return LogisticRegression(
         featuresCol="features", labelCol="is_spike", probabilityCol="probability", predictionCol="spike_class",

@@ -106,3 +106,32 @@ def market_series(matrix: DataFrame, market: str) -> DataFrame:
 
 def blended_share(domestic: Column, inbound: Column) -> Column:
     return rnd(domestic * 0.5 + inbound * 0.5, 4)
+
+
+def top_markets_raw(raw: DataFrame, year: int = 2024, n: int = 10) -> DataFrame:
+    """Largest markets straight from the raw table: full-year visitor totals, or all totals of the year without any."""
+    rows = raw.where(
+        (F.col("year") == year) & (F.col("metric_group") == "Total expenditure") & (F.col("market") != OVERALL) & F.col("market").isNotNull()
+    )
+    strict = F.coalesce((F.col("period_type") == "Full year") & (F.col("audience") == "Visitors"), F.lit(False))
+    best = rows.groupBy("market").agg(
+        F.max(F.when(strict, F.col("value_rm_million"))).alias("_strict"), F.max("value_rm_million").alias("_any")
+    )
+    any_strict = rows.agg(F.coalesce(F.max(strict), F.lit(False))).scalar()
+    value = F.when(any_strict, F.col("_strict")).otherwise(F.col("_any"))
+    ranked = best.select("market", value.alias("value_rm_million")).where(F.col("value_rm_million").isNotNull())
+    return top_by_value(ranked, "value_rm_million", ["market"], n)
+
+
+def or_reference(breakdown: DataFrame, shares: list[float], total_rm_million: float) -> DataFrame:
+    """``breakdown`` of one market, or the reference shares of the twelve categories when it has no rows."""
+    names = ["spending_category", "percentage_share", "value_rm_million"]
+    fixed = F.array(
+        *[
+            F.struct(F.lit(c).alias(names[0]), rnd(F.lit(s) * 100.0, 2).alias(names[1]), rnd(F.lit(s) * total_rm_million, 3).alias(names[2]))
+            for c, s in zip(CATEGORIES, shares)
+        ]
+    )
+    rows = breakdown.select(*names)
+    spare = rows.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 0).select(F.inline(fixed))
+    return rows.unionByName(spare)

@@ -115,3 +115,9 @@ def from_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sectors = years.select(F.col("year").cast("int").alias("year"), F.explode("t.sectors").alias("j", "s")).select("year", "j", "s.*")
     total = years.select(F.col("year").cast("int").alias("year"), "t.composite_tourism.*")
     return sectors, total
+
+
+def sector_rows(table: DataFrame, year: int, sector: str | None = None) -> DataFrame:
+    """Multipliers of one year, or of one sector of it."""
+    rows = table.where(F.col("year") == year)
+    return rows if sector is None else rows.where(F.col("j") == sector)

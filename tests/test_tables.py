@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid import schemas
 from reliefgrid.operators import baseline, capacity, lookup, market, master, quality, ranking, reports, rollup, survey, zones
+from reliefgrid.operators.impact import INBOUND_SHARES
 from reliefgrid.operators.interest import peak_months
 
 # name, demand, six capacities, expected pressure and capacity
@@ -122,6 +123,20 @@ def test_market_matrix(spark):
     assert market.market_breakdown(out, asked).where("requested = 'a'").count() == 2
 
 
+def test_market_fallbacks(spark):
+    columns = "year int, metric_group string, market string, period_type string, audience string, value_rm_million double"
+    total = "Total expenditure"
+    raw = spark.createDataFrame([(2024, total, "A", "Full year", "Visitors", 5.0), (2024, total, "A", "Part", "Visitors", 9.0), (2024, total, "B", "Part", "Visitors", 7.0),
+                                 (2023, total, "B", "Part", "Tourists", 7.0), (2023, total, "Overall", "Full year", "Visitors", 99.0)], columns)
+    assert [tuple(r) for r in market.top_markets_raw(raw, 2024).collect()] == [("A", 5.0)]
+    assert [tuple(r) for r in market.top_markets_raw(raw, 2023).collect()] == [("B", 7.0)]
+    none = spark.createDataFrame([], "spending_category string, percentage_share double, value_rm_million double")
+    rows = {r.spending_category: r.value_rm_million for r in market.or_reference(none, INBOUND_SHARES, 106780.0).collect()}
+    assert len(rows) == 12 and rows["Shopping"] == pytest.approx(0.3736 * 106780.0, abs=1e-3)
+    one = spark.createDataFrame([("Fuel", 100.0, 1.0)], none.schema)
+    assert market.or_reference(one, INBOUND_SHARES, 106780.0).count() == 1
+
+
 def test_reports(spark):
     texts = spark.createDataFrame([
         ("AOR_2019.pdf", "head\nPENANG 61.2 63.4 2.2\nNEGERI\n 40.1 44.0 3.9\nSEMBILAN\nPulau Pinang 1 2 3"),
