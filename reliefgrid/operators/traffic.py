@@ -119,7 +119,3 @@ def route_profile(pairs: DataFrame, routes: DataFrame, keys: list[str], minutes:
         }
     )
     return congestion(based, origin, dest, "base_mins", at).drop("routed_mins", "route_source")
-
-
-def label_of(status: Column) -> Column:
-    return F.when(status == "Severe Gridlock", 2).when(status == "Moderate Congestion", 1).otherwise(0)
