@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +24,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run to the end of the available data into a fresh folder beside the checkpoints, and read the result."""
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    if base.startswith("file:"):
-        folder = tempfile.mkdtemp(prefix="feed-", dir=base[len("file:"):])
-    else:
-        folder = f"{base}/feed-{next(tempfile._get_candidate_names())}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/feed-{uuid.uuid4().hex}"
     run_available(stream, f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 

@@ -41,12 +41,17 @@ def literal_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: li
     return spark.createDataFrame(pa.table(data))
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, stable over applications; None when it names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one only on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = shared_folder(spark)
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from reliefgrid.operators.capacity import diagnose
-from reliefgrid.session import ensure_checkpoint_dir
+from reliefgrid.session import ensure_checkpoint_dir, shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -52,10 +52,15 @@ def live_status(
 
 
 def run_available(stream: DataFrame, folder: str, output_mode: str = "append") -> StreamingQuery:
-    """Write everything available to parquet and stop; state and progress live under the shared checkpoint folder."""
+    """Write everything available to parquet and stop.
+
+    State and progress live under the shared checkpoint folder in a place that depends on the output only, so the next
+    application goes on where this one stopped.
+    """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
-    progress = f"{spark.sparkContext.getCheckpointDir()}/stream-{zlib.crc32(folder.encode()):08x}"
+    base = shared_folder(spark) or spark.sparkContext.getCheckpointDir()
+    progress = f"{base}/stream-{zlib.crc32(folder.encode()):08x}"
     return (
         stream.writeStream.format("parquet").outputMode(output_mode).option("path", folder)
         .option("checkpointLocation", progress).trigger(availableNow=True).start()
