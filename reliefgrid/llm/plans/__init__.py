@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ["quality_lines", "bpe_count"]
+_MODULES = ["quality_lines", "url_filter", "packing", "bpe_count"]
 
 
 def _modules():
