@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ["quality_lines", "url_filter", "packing", "bpe_count", "minmax_dedup", "mixing", "ball_tree"]
+_MODULES = [
+    "quality_lines", "url_filter", "packing", "bpe_count", "minmax_dedup", "mixing", "ball_tree", "suffix_repeats",
+]
 
 
 def _modules():
