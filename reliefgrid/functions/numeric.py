@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Whole numbers below are exact in a double.
+EXACT_WHOLE = float(2**53)
+
+
 def as_col(value: Column | str | int | float) -> Column:
     if isinstance(value, Column):
         return value
@@ -13,9 +17,14 @@ def as_col(value: Column | str | int | float) -> Column:
 
 
 def rnd(value: Column | str | float, digits: int = 0) -> Column:
-    """Round half up on the binary value; the same form works in any SQL engine."""
+    """Round half up on the binary value; the same form works in any SQL engine.
+
+    NaN stays NaN, and numbers so large that they are whole already stay as they are.
+    """
     scale = float(10**digits)
-    return F.floor(as_col(value) * scale + 0.5) / F.lit(scale)
+    scaled = as_col(value) * scale + 0.5
+    # ``floor`` makes a 64-bit integer
+    return F.when(F.abs(scaled) < EXACT_WHOLE, F.floor(scaled) / F.lit(scale)).otherwise(as_col(value).cast("double"))
 
 
 def known(value: Column | str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+import math
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,39 +143,90 @@ def training_table(features: DataFrame, noise: tuple[float, ...] = (0.96, 1.0, 1
     ).withColumn("is_spike", F.when(F.col("actual_demand") >= F.col("base_capacity") * 1.05, 1.0).otherwise(0.0))
 
 
-def _assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-        df.withColumns({c: F.col(c).cast("double") for c in FEATURES})
-    )
+@dataclass(frozen=True)
+class Fitted:
+    """Weights of the features as plain numbers, so that scoring is column arithmetic and no model goes into a plan."""
+
+    weights: dict[str, float]
+    intercept: float
+
+    def margin(self) -> Column:
+        return sum((_feature(f) * w for f, w in self.weights.items()), start=F.lit(self.intercept))
+
 
+def _feature(name: str) -> Column:
+    return F.col(name).cast("double")
 
-def fit_volume(training: DataFrame, alpha: float = 0.5) -> LinearRegressionModel:
-    """Ridge on standardised features with a free intercept.
 
-    The normal-equation solver is one aggregation pass. Its penalty is scaled by the label deviation, so ``alpha / n *
-    stddev`` equals adding ``alpha`` to the diagonal of the standardised normal matrix.
+def fit_volume(training: DataFrame, alpha: float = 0.5) -> Fitted:
+    """Ridge on standardised features with a free intercept: ``alpha`` on the diagonal of the normal matrix.
+
+    One aggregate gives the means and covariances; the system has as many unknowns as there are features.
+    """
+    label = F.col("actual_demand")
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+    row = training.agg(
+        F.count(F.lit(1)), F.avg(label), *[F.avg(_feature(f)) for f in FEATURES], *[F.covar_pop(_feature(f), label) for f in FEATURES],
+        *[F.covar_pop(_feature(FEATURES[i]), _feature(FEATURES[j])) for i, j in pairs],
+    ).first()
+    p, n = len(FEATURES), row[0]
+    if not n:
+        return Fitted(dict.fromkeys(FEATURES, 0.0), 0.0)
+    means, to_label = np.array(row[2 : 2 + p]), np.array(row[2 + p : 2 + 2 * p])
+    square = np.zeros((p, p))
+    for (i, j), value in zip(pairs, row[2 + 2 * p :], strict=True):
+        square[i, j] = square[j, i] = value
+    spread = np.sqrt(np.where(np.diag(square) > 0, np.diag(square), 1.0))
+    weights = np.linalg.solve(n * square / np.outer(spread, spread) + alpha * np.eye(p), n * to_label / spread) / spread
+    return Fitted(dict(zip(FEATURES, weights.tolist(), strict=True)), float(row[1] - weights @ means))
+
+
+def fit_spike(training: DataFrame, alpha: float = 0.5, iterations: int = 1000) -> Fitted:
+    """Logistic fit with the same penalty on standardised features, which also keeps separable samples finite.
+
+    A fit that ends on the limit of ``iterations`` has not converged and is an error. One class alone gives its share.
     """
-    n, spread = training.agg(F.count(F.lit(1)), F.stddev_pop("actual_demand")).first()
-    return LinearRegression(
-        featuresCol="features", labelCol="actual_demand", predictionCol="volume", solver="normal",
-        elasticNetParam=0.0, standardization=True, regParam=alpha / n * (spread or 0.0),
-    ).fit(_assembled(training))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
+        training.select("is_spike", *[_feature(f).alias(f) for f in FEATURES])
+    ).select("is_spike", "features")
+    n, spikes = training.agg(F.count(F.lit(1)), F.sum("is_spike")).first()
+    if not n or spikes in (0, n):
+        share = min(max((spikes or 0.0) / max(n, 1), 1e-6), 1 - 1e-6)
+        return Fitted(dict.fromkeys(FEATURES, 0.0), math.log(share / (1 - share)))
+    model = LogisticRegression(
+        featuresCol="features", labelCol="is_spike", maxIter=iterations, regParam=alpha / n, elasticNetParam=0.0, standardization=True, tol=1e-12
+    ).fit(vectors)
+    if model.summary.totalIterations >= iterations:
+        raise ValueError(f"the spike model has not converged after {iterations} iterations")
+    return Fitted(dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept))
+
+
+def chance(margin: Column) -> Column:
+    return F.lit(1.0) / (F.exp(-margin) + 1.0)
+
+
+def optimality(training: DataFrame, model: Fitted, label: str, predicted: Column, alpha: float = 0.5) -> DataFrame:
+    """feature, gradient: slope of the penalised objective at the fitted point, over rows and the label's deviation; 0 at the optimum."""
+    rest = F.col(label) - predicted
+    row = training.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg(rest).alias("intercept"), F.stddev_pop(label).alias("spread"), *[
+            F.struct(F.avg(_feature(f) * rest).alias("xr"), F.avg(_feature(f)).alias("m"), F.stddev_pop(_feature(f)).alias("s")).alias(f)
+            for f in FEATURES
+        ]).alias("t")
+    )
 
+    def slope(f: str) -> Column:
+        x, s = F.col(f"t.{f}"), F.when(F.col(f"t.{f}.s") > 0, F.col(f"t.{f}.s")).otherwise(1.0)
+        return ((x["xr"] - x["m"] * F.col("t.intercept")) / s - s * model.weights[f] * alpha / F.col("t.n")) / F.col("t.spread")
 
-def fit_spike(training: DataFrame, iterations: int = 25) -> LogisticRegressionModel:
-    """Logistic fit; a quasi-Newton step goes much further than a plain gradient step, so few are enough."""
-    return LogisticRegression(
-        featuresCol="features", labelCol="is_spike", probabilityCol="probability", predictionCol="spike_class",
-        rawPredictionCol="spike_raw", maxIter=iterations,
-    ).fit(_assembled(training))
+    entries = [F.struct(F.lit(f).alias("feature"), slope(f).alias("gradient")) for f in FEATURES]
+    entries.append(F.struct(F.lit("intercept").alias("feature"), (F.col("t.intercept") / F.col("t.spread")).alias("gradient")))
+    return row.select(F.inline(F.array(*entries)))
 
 
-def model_scores(features: DataFrame, volume: LinearRegressionModel, spike: LogisticRegressionModel) -> DataFrame:
+def model_scores(features: DataFrame, volume: Fitted, spike: Fitted) -> DataFrame:
     """Add the raw model outputs ``volume`` and ``spike_raw_prob``."""
-    both = spike.transform(volume.transform(_assembled(features)))
-    return both.withColumn("spike_raw_prob", F.get(vector_to_array("probability"), F.lit(1))).drop(
-        "features", "spike_raw", "probability", "spike_class"
-    )
+    return features.withColumns({"volume": volume.margin(), "spike_raw_prob": chance(spike.margin())})
 
 
 def risk_level(stress: Column) -> Column:

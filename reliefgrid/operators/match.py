@@ -248,15 +248,12 @@ def match_all(
     def count_of(*groups: int) -> Column:
         return F.sum(F.when(F.col("_class").isin(*groups), 1).otherwise(0))
 
-    # two small tables take the wide reach at once: fewer passes cost more than the extra pairs
-    both_small = small and (hotspots is candidates or has_at_most(h, group_rows))
-    shortlist = cut_lineage(score(_near_pairs(h, c, FEASIBLE_KM if both_small else REGIONAL_KM, group_rows, small)))
-    if not both_small:
-        unfilled = lacking(shortlist, count_of(FEASIBLE_REGIONAL) >= top_n)
-        if not unfilled.isEmpty():
-            wider = score(_near_pairs(unfilled, c, FEASIBLE_KM, group_rows, small))
-            done = shortlist.join(unfilled.select("h_id"), "h_id", "left_anti")
-            shortlist = cut_lineage(done.unionByName(wider))
+    shortlist = cut_lineage(score(_near_pairs(h, c, REGIONAL_KM, group_rows, small)))
+    unfilled = lacking(shortlist, count_of(FEASIBLE_REGIONAL) >= top_n)
+    if not unfilled.isEmpty():
+        wider = score(_near_pairs(unfilled, c, FEASIBLE_KM, group_rows, small))
+        done = shortlist.join(unfilled.select("h_id"), "h_id", "left_anti")
+        shortlist = cut_lineage(done.unionByName(wider))
     settled = (count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0) | (count_of(REGIONAL_ONLY) >= top_n)
     stranded = lacking(shortlist, settled)
     if not stranded.isEmpty():

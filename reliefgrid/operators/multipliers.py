@@ -39,14 +39,12 @@ def coefficients(edges: DataFrame, sectors: DataFrame) -> tuple[DataFrame, DataF
     return links, nodes
 
 
-def iterate(
-    links: DataFrame, nodes: DataFrame, rounds: int = 40, tolerance: float | None = 1e-9, checkpoint_every: int = 5
-) -> DataFrame:
+def iterate(links: DataFrame, nodes: DataFrame, rounds: int = 200, tolerance: float = 1e-9, checkpoint_every: int = 5) -> DataFrame:
     """(year, j, r, g, h): the row vectors 1'L, v'L and w'L, as the limit of x <- b + A'x.
 
     Each round is one join on the supplying sector and one aggregate by the buying sector for all three vectors and
     all tables together. Every few rounds the vectors are checkpointed; there the largest change is read and the loop
-    ends once it is below ``tolerance`` (None: run all rounds).
+    ends once it is below ``tolerance``. Tables that have not converged after ``rounds`` are an error.
     """
     base = nodes.select("year", "j", F.lit(1.0).alias("b_r"), F.col("v").alias("b_g"), F.col("w").alias("b_h"))
     current = base.select("year", "j", F.col("b_r").alias("r"), F.col("b_g").alias("g"), F.col("b_h").alias("h"))
@@ -58,20 +56,17 @@ def iterate(
         following = base.join(pulled, ["year", "j"], "left").select(
             "year", "j", *[(F.col(f"b_{x}") + F.coalesce(F.col(f"p_{x}"), F.lit(0.0))).alias(x) for x in "rgh"]
         )
-        if step % checkpoint_every == 0 and step < rounds:
+        if step % checkpoint_every == 0 or step == rounds:
             following = cut_lineage(following)
-            if tolerance is not None:
-                old = current.select("year", "j", *[F.col(x).alias(f"o_{x}") for x in "rgh"])
-                moved = F.greatest(*[F.abs(F.col(x) - F.col(f"o_{x}")) for x in "rgh"])
-                if (following.join(old, ["year", "j"]).agg(F.max(moved)).first()[0] or 0.0) < tolerance:
-                    return following
+            old = current.select("year", "j", *[F.col(x).alias(f"o_{x}") for x in "rgh"])
+            moved = F.greatest(*[F.abs(F.col(x) - F.col(f"o_{x}")) for x in "rgh"])
+            if (following.join(old, ["year", "j"]).agg(F.max(moved)).first()[0] or 0.0) < tolerance:
+                return following
         current = following
-    return current
+    raise ValueError(f"multipliers have not converged to {tolerance} after {rounds} rounds")
 
 
-def multipliers(
-    edges: DataFrame, sectors: DataFrame, rounds: int = 40, tolerance: float | None = 1e-9
-) -> DataFrame:
+def multipliers(edges: DataFrame, sectors: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """Type I and Type II output and value-added multipliers of every sector of every table.
 
     Households close the table: with hc = h.c the Type II rows are r + (r.c) h / (1 - hc) and g + (g.c) h / (1 - hc).
@@ -79,8 +74,6 @@ def multipliers(
     links, nodes = coefficients(edges, sectors)
     links, nodes = cut_lineage(links), cut_lineage(nodes)
     limit = iterate(links, nodes, rounds, tolerance).join(nodes.select("year", "j", "c"), ["year", "j"])
-    if tolerance is None or rounds > 5:
-        limit = cut_lineage(limit)
     closed = limit.groupBy("year").agg(*[F.sum(F.col(x) * F.col("c")).alias(f"{x}c") for x in "rgh"])
     lift = F.col("h") / (1.0 - F.col("hc"))
     return limit.join(closed, "year").select(
@@ -99,14 +92,14 @@ def composite(table: DataFrame, weights: DataFrame, sector: str = "j") -> DataFr
 
 
 def for_years(requests: DataFrame, table: DataFrame, year: str = "year") -> DataFrame:
-    """Rows of the requested year, else of the preferred fallback year that exists."""
+    """Rows of the requested year, else of the preferred fallback year that exists; nulls where neither does."""
     years = table.select(F.col("year").alias("_have")).distinct()
     listed = years.agg(F.collect_list("_have")).scalar()  # one entry per table year
     chosen = F.when(F.array_contains(listed, F.col(year)), F.col(year))
     for fallback in FALLBACK_YEARS:
         chosen = F.coalesce(chosen, F.when(F.array_contains(listed, F.lit(fallback)), F.lit(fallback)))
     picked = requests.select(F.col(year).alias("requested_year"), chosen.alias("_year"))
-    return picked.join(table.withColumnRenamed("year", "used_year"), F.col("_year") == F.col("used_year")).drop("_year")
+    return picked.join(table.withColumnRenamed("year", "used_year"), F.col("_year") == F.col("used_year"), "left").drop("_year")
 
 
 def from_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

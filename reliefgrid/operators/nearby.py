@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from reliefgrid.session import cut_lineage
 
 # Rows of one side that may meet in a single join group before it is split.
 GROUP_ROWS = 20_000
+BROADCAST_CELLS = 500_000
+# Upper ends of the radius classes; the last covers the globe.
+RADIUS_CLASSES_KM = [1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 20040.0]
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -55,7 +59,6 @@ def radius_join(
     left_key: str,
     radius_km: float | None = None,
     radius_column: str | None = None,
-    max_radius_km: float | None = None,
     on: list[str] | None = None,
     distance_column: str = "straight_km",
     group_rows: int = GROUP_ROWS,
@@ -65,8 +68,9 @@ def radius_join(
 
     The right side sits in one grid cell; the left side visits the cells its circle touches, so the match is an
     equi-join on the cell followed by the exact distance test. A crowded cell is split on both sides by key hash into
-    blocks of about ``group_rows`` rows, so no task receives a whole hot cell. ``on`` adds columns both sides must share. With ``radius_column`` (on the right
-    side) each right row carries its own radius and ``max_radius_km`` bounds the reach.
+    blocks, so no task receives a whole hot cell. ``on`` adds columns both sides must share. With ``radius_column`` (on the
+    right side) each right row carries its own radius, however wide: rows are joined by radius class, each class on a grid
+    of its own, and the classes are those that the data hold. A null radius holds nothing.
 
     A right side of at most ``group_rows`` rows is broadcast instead: nothing is shuffled and no cell can be crowded.
     Callers that hold checkpointed sides and have counted the right one say so in ``small_right``; otherwise the right
@@ -76,7 +80,33 @@ def radius_join(
         right = cut_lineage(right)
         small_right = has_at_most(right, group_rows)
         left = left if small_right else cut_lineage(left)
-    reach = max_radius_km if radius_column else radius_km
+    if radius_column:
+        classes = _radius_classes(right, radius_column)
+        left = left if len(classes) < 2 else cut_lineage(left)
+        parts = [
+            _radius_join(left, right.where(own), left_at, right_at, right_key, left_key, bound, F.col(radius_column), on, distance_column, group_rows, small_right)
+            for bound, own in classes
+        ]
+        return reduce(DataFrame.unionByName, parts)
+    return _radius_join(
+        left, right, left_at, right_at, right_key, left_key, radius_km, F.lit(float(radius_km)), on, distance_column, group_rows, small_right
+    )
+
+
+def _radius_classes(right: DataFrame, radius_column: str) -> list[tuple[float, Column]]:
+    """(widest radius, its rows) of every class that occurs, or of the narrowest one where the side is empty."""
+    radius = F.col(radius_column)
+    bounds = list(zip([float("-inf"), *RADIUS_CLASSES_KM[:-1]], RADIUS_CLASSES_KM, strict=True))
+    rows = [(radius > low) & ((radius <= high) if high < RADIUS_CLASSES_KM[-1] else F.lit(True)) for low, high in bounds]
+    present = right.agg(*[F.coalesce(F.bool_or(own), F.lit(False)).alias(str(k)) for k, own in enumerate(rows)]).first()
+    found = [(high, own) for (_, high), own, some in zip(bounds, rows, present, strict=True) if some]
+    return found or [(bounds[0][1], rows[0])]
+
+
+def _radius_join(
+    left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], right_key: str, left_key: str, reach: float,
+    limit: Column, on: list[str] | None, distance_column: str, group_rows: int, small_right: bool,
+) -> DataFrame:
     step, around = _steps(reach)
     cell = ["_cell", *(on or [])]
     placed = right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull()).withColumn(
@@ -85,7 +115,6 @@ def radius_join(
     visiting = left.where(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull()).withColumn(
         "_cell", F.explode(_reached_cells(F.col(left_at[0]), F.col(left_at[1]), reach, step, around))
     )
-    limit = F.col(radius_column) if radius_column else F.lit(float(radius_km))
 
     def within(pairs: DataFrame) -> DataFrame:
         distance = haversine_km(left_at[0], left_at[1], right_at[0], right_at[1])
@@ -94,7 +123,7 @@ def radius_join(
 
     if small_right:
         return within(visiting.join(F.broadcast(placed), cell))
-    load = (
+    load = cut_lineage(
         placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_right_rows"))
         .join(visiting.groupBy(*cell).agg(F.count(F.lit(1)).alias("_left_rows")), cell)
         .select(
@@ -103,6 +132,9 @@ def radius_join(
             F.ceil(F.col("_left_rows") / group_rows).alias("_left_parts"),
         )
     )
+    # one narrow row per cell that both sides use: broadcast when few, so that no hot cell is gathered before it is split
+    if has_at_most(load, BROADCAST_CELLS):
+        load = F.broadcast(load)
 
     def part(key: str, parts: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key)), F.col(parts))

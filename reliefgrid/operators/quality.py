@@ -154,8 +154,8 @@ def interest_violations(table: DataFrame, places: DataFrame, min_rows: int = 50)
 
 
 def guest_total_violations(guests: DataFrame) -> DataFrame:
-    """Guest rows whose total is not domestic plus foreign."""
-    return guests.where(F.col("total_guests") != F.col("domestic_guests") + F.col("foreign_guests"))
+    """Guest rows whose total is not domestic plus foreign, and rows where any of the three is missing."""
+    return guests.where(~F.coalesce(F.col("total_guests") == F.col("domestic_guests") + F.col("foreign_guests"), F.lit(False)))
 
 
 def require_clean(df: DataFrame, violations: DataFrame) -> DataFrame:

@@ -86,18 +86,15 @@ def share_of_total(df: DataFrame, value: str, total_key: Column, out: str = "sha
 def allocate(
     df: DataFrame, totals: DataFrame, key: str, weight: Column, total: str, floor: int = 350, out: str = "allocated"
 ) -> DataFrame:
-    """Split each key's total over its rows by weight, never below ``floor``.
+    """Split each key's total over its rows by weight, never below ``floor``; null where the key has no total.
 
     The weight sum is a grouped aggregate joined back, not a window, so one key with a third of the rows still
     aggregates in parallel.
     """
     weighted = cut_lineage(df.withColumn("_w", weight))  # read by the sums and by the split
     sums = weighted.groupBy(key).agg(F.sum("_w").alias("_sum")).join(totals.select(key, total), key)
-    return (
-        weighted.join(sums, key)
-        .withColumn(out, F.greatest(F.lit(float(floor)), rnd(F.col(total) * F.col("_w") / F.col("_sum"))))
-        .drop("_w", "_sum")
-    )
+    part = F.greatest(F.lit(float(floor)), rnd(F.col(total) * F.col("_w") / F.col("_sum")))
+    return weighted.join(sums, key, "left").withColumn(out, F.when(F.col(total).isNotNull(), part)).drop("_w", "_sum")
 
 
 def recent_rows_mean(df: DataFrame, order: str, values: list[str], rows: int = 30) -> DataFrame:

@@ -9,10 +9,9 @@ from reliefgrid.functions.geo import circle_ring, haversine_m
 from reliefgrid.functions.text import hotspot_words, zone_words
 from reliefgrid.operators.nearby import GROUP_ROWS, nearest, radius_join
 
-# Acute pressure, display reach and the largest zone radius (m).
+# Acute pressure and display reach (m).
 ACUTE_PRESSURE = 1.0
 DISPLAY_RADIUS_M = 150_000
-MAX_ZONE_RADIUS_M = 40_000
 
 
 def zone_records(zones: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def _acute(places: DataFrame) -> DataFrame:
     return places.where(F.col("continuous_pressure") >= ACUTE_PRESSURE)
 
 
-def _places_in_zones(places: DataFrame, zones: DataFrame, max_radius_m: int, group_rows: int) -> DataFrame:
+def _places_in_zones(places: DataFrame, zones: DataFrame, group_rows: int) -> DataFrame:
     spots = places.select(
         F.col("destination_id").alias("p_id"), F.col("destination_name").alias("p_name"),
         F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"),
@@ -37,19 +36,21 @@ def _places_in_zones(places: DataFrame, zones: DataFrame, max_radius_m: int, gro
     )
     return radius_join(
         spots, circles, ("p_lat", "p_lon"), ("z_lat", "z_lon"), right_key="z_key", left_key="p_id",
-        radius_column="z_radius_km", max_radius_km=max_radius_m / 1000.0, group_rows=group_rows,
+        radius_column="z_radius_km", group_rows=group_rows,
     )
 
 
-def watch_list(
-    places: DataFrame, zones: DataFrame, max_radius_m: int = MAX_ZONE_RADIUS_M, group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    """Zones that hold at least one acute place, with the place names and their number.
+def watched_names(places: DataFrame, zones: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(z_key, p_name): the acute places of each zone, one row per name; the form to work on, however wide a zone is."""
+    return _places_in_zones(_acute(places), zones, group_rows).select("z_key", "p_name").distinct()
+
 
-    ``max_radius_m`` must cover the widest zone; the zone rules hold radii to 40 km. Names are made distinct before
-    they are collected, so the list grows with names and not with rows.
+def watch_list(places: DataFrame, zones: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Zones that hold at least one acute place, with the place names and their number, for display.
+
+    Names are made distinct before they are collected, so the list grows with names and not with rows.
     """
-    names = _places_in_zones(_acute(places), zones, max_radius_m, group_rows).select("z_key", "p_name").distinct()
+    names = watched_names(places, zones, group_rows)
     watched = names.groupBy("z_key").agg(
         F.array_sort(F.collect_list("p_name")).alias("watch_districts"), F.count(F.lit(1)).alias("watch_count")
     )
@@ -76,11 +77,9 @@ def _nearest_namesake(places: DataFrame, zones: DataFrame, group_rows: int) -> D
     ).select("p_id", F.col("nearest_z_key").alias("z_key"))
 
 
-def hotspot_alerts(
-    places: DataFrame, zones: DataFrame, max_radius_m: int = MAX_ZONE_RADIUS_M, group_rows: int = GROUP_ROWS
-) -> DataFrame:
+def hotspot_alerts(places: DataFrame, zones: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The single alerting zone of every place: by shared name word or proximity, the nearest (then key) kept."""
-    near = _places_in_zones(places, zones, max_radius_m, group_rows).select("p_id", "z_key")
+    near = _places_in_zones(places, zones, group_rows).select("p_id", "z_key")
     hits = near.unionByName(_nearest_namesake(places, zones, group_rows)).distinct()
     spots = places.select(F.col("destination_id").alias("p_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     circles = zones.select(F.col("key").alias("z_key"), F.col("lat").alias("z_lat"), F.col("lon").alias("z_lon"))

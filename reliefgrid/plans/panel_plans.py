@@ -243,3 +243,34 @@ def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = forecast.training_table(features)
     scored = forecast.model_scores(features, forecast.fit_volume(training), forecast.fit_spike(training))
     return forecast.forward_curve(forecast.spike_risk(scored))
+
+
+_FITS = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in [*forecast.FEATURES, "intercept"])
+_TRAINING = f"""WITH {PLACES},{PROFILES},{RATES},{CALENDAR},{_PANEL},{_ELASTIC},
+    t AS (SELECT daily_demand_peak*mult*noise AS y, daily_demand_peak*mult*noise>=sustainable_capacity*1.05e0 AS spike FROM elastic, (VALUES (0.96e0),(1e0),(1.04e0)) n(noise)),
+    k AS (SELECT count(*) AS row_count, count(*) FILTER (WHERE spike) AS spike_count, {r('avg(y)',3)} AS mean_demand FROM t)"""
+
+
+def _certified(training: DataFrame, slopes: DataFrame) -> DataFrame:
+    counts = training.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("is_spike") == 1.0).alias("spike_count"), rnd(F.avg("actual_demand"), 3).alias("mean_demand")
+    ).first()
+    return slopes.select(
+        "feature", F.abs(rnd("gradient", 4)).alias("gradient"), *[F.lit(counts[c]).alias(c) for c in ("row_count", "spike_count", "mean_demand")]
+    )
+
+
+@query("volume_fit", f"{_TRAINING}, f AS ({_FITS}) SELECT feature, 0e0 AS gradient, row_count, spike_count, mean_demand FROM f, k")
+def volume_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge is strictly convex, so a gradient of zero for every feature is its solution."""
+    training = cut_lineage(forecast.training_table(_features(spark, sf_dir)))
+    model = forecast.fit_volume(training)
+    return _certified(training, forecast.optimality(training, model, "actual_demand", model.margin()))
+
+
+@query("spike_fit", f"{_TRAINING}, f AS ({_FITS}) SELECT feature, 0e0 AS gradient, row_count, spike_count, mean_demand FROM f, k")
+def spike_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalised logistic fit is strictly convex too."""
+    training = cut_lineage(forecast.training_table(_features(spark, sf_dir)))
+    model = forecast.fit_spike(training)
+    return _certified(training, forecast.optimality(training, model, "is_spike", forecast.chance(model.margin())))

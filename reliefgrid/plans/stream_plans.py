@@ -16,9 +16,8 @@ from reliefgrid.streaming.feeds import daily_mean, live_status, rolling_mean, ru
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a file source, matched by name."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The event table as a file source. A pattern that fits its name alone may be one file or a folder of part files; a plain path must be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def rolling_mean_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "live_status",
-    f"""WITH {PLACES}, e AS (SELECT user_id AS destination_id, date_trunc('day', ts) AS s, arg_max(value*100e0, ts) AS dem FROM events GROUP BY 1,2),
+    f"""WITH {PLACES}, e AS (SELECT user_id AS destination_id, date_trunc('day', ts) AS s, arg_max(value*100e0, {{'ts': ts, 'v': value}}) AS dem FROM events GROUP BY 1,2),
     j AS (SELECT e.*, place_low.low FROM e JOIN place_low USING (destination_id))
     SELECT destination_id, strftime(s,'%Y-%m-%d') AS day, dem AS daily_demand_peak, {r('low',1)} AS sustainable_capacity, {r('dem/low',3)} AS continuous_pressure, dem>low AS is_overcapacity FROM j""",
 )
@@ -70,7 +69,7 @@ def live_status_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_live_status",
-    f"""WITH {PLACES}, e AS (SELECT user_id AS destination_id, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS win_end, arg_max(value*100e0, ts) AS dem FROM events GROUP BY 1,2,3),
+    f"""WITH {PLACES}, e AS (SELECT user_id AS destination_id, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS win_end, arg_max(value*100e0, {{'ts': ts, 'v': value}}) AS dem FROM events GROUP BY 1,2,3),
     j AS (SELECT e.*, place_low.low FROM e JOIN place_low USING (destination_id) WHERE {_CLOSED})
     SELECT destination_id, strftime(s,'%Y-%m-%d') AS day, {r('dem/low',3)} AS continuous_pressure, dem>low AS is_overcapacity FROM j""",
 )

@@ -105,9 +105,9 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS number_count, max(c::DOUBLE) AS largest FROM c WHERE regexp_matches(c,'{_NUMBER_RE}') GROUP BY doc_id""",
 )
 def number_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(words("text")).alias("token"))
-    numbers = tokens.withColumn("n", parse_number("token")).where(F.col("n").isNotNull())
-    return numbers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("number_count"), F.max("n").alias("largest"))
+    numbers = F.filter(F.transform(words("text"), parse_number), lambda n: n.isNotNull())
+    found = table(spark, sf_dir, "documents").select("doc_id", numbers.alias("numbers")).where(F.size("numbers") > 0)
+    return found.select("doc_id", F.size("numbers").cast("long").alias("number_count"), F.array_max("numbers").alias("largest"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -35,12 +34,6 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     return spark
 
 
-def literal_table(spark: SparkSession, columns: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
-    """Small constant table; it plans as a LocalRelation, so its size is known to the optimizer."""
-    data = {name: pa.array([row[i] for row in rows], type=kind) for i, (name, kind) in enumerate(columns.items())}
-    return spark.createDataFrame(pa.table(data))
-
-
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder the cluster names for checkpoints, stable over applications; None when it names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,32 +22,35 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
 
 def daily_mean(events: DataFrame, keys: list[str], value: str = "value", ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Tumbling daily mean per key; rows later than ``late`` are ignored. Also runs on a batch table."""
-    return _windowed(events, keys, value, ts, late, "1 day", "1 day")
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    bounded = timed.withWatermark(ts, late) if events.isStreaming else timed
+    grouped = bounded.groupBy(F.window(ts, "1 day"), *keys).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("row_count"))
+    return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "mean_value", "row_count")
 
 
 def rolling_mean(
     events: DataFrame, keys: list[str], value: str = "value", ts: str = "ts", late: str = "1 day", days: int = 30
 ) -> DataFrame:
-    """Mean over the last ``days`` days, moving by one day."""
-    return _windowed(events, keys, value, ts, late, f"{days} days", "1 day")
+    """Mean over the last ``days`` days, moving by one day.
 
-
-def _windowed(events: DataFrame, keys: list[str], value: str, ts: str, late: str, length: str, step: str) -> DataFrame:
+    Rows are added up by day first, so only daily sums go into ``days`` windows each.
+    """
     timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
     bounded = timed.withWatermark(ts, late) if events.isStreaming else timed
-    grouped = bounded.groupBy(F.window(ts, length, step), *keys).agg(
-        F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("row_count")
+    daily = bounded.groupBy(F.window(ts, "1 day").alias("day"), *keys).agg(F.sum(value).alias("total"), F.count(value).alias("filled"), F.count(F.lit(1)).alias("many"))
+    moving = daily.groupBy(F.window(F.window_time("day"), f"{days} days", "1 day"), *keys).agg(
+        (F.sum("total") / F.sum("filled")).alias("mean_value"), F.sum("many").alias("row_count")
     )
-    return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "mean_value", "row_count")
+    return moving.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "mean_value", "row_count")
 
 
 def live_status(
     demand: DataFrame, capacities: DataFrame, key: str = "destination_id", ts: str = "ts", late: str = "1 day", length: str = "1 day"
 ) -> DataFrame:
-    """Latest demand of each place per window, joined to its static capacities and diagnosed."""
+    """Latest demand of each place per window, the larger of two at one time, joined to its static capacities and diagnosed."""
     timed = demand.withColumn(ts, F.col(ts).cast("timestamp"))
     bounded = timed.withWatermark(ts, late) if demand.isStreaming else timed
-    latest = bounded.groupBy(F.window(ts, length), key).agg(F.max_by("demand", ts).alias("daily_demand_peak"))
+    latest = bounded.groupBy(F.window(ts, length), key).agg(F.max_by("demand", F.struct(ts, "demand")).alias("daily_demand_peak"))
     return diagnose(latest.join(capacities, key)).withColumn("window_start", F.col("window.start")).drop("window")
 
 
@@ -60,7 +63,7 @@ def run_available(stream: DataFrame, folder: str, output_mode: str = "append") -
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = shared_folder(spark) or spark.sparkContext.getCheckpointDir()
-    progress = f"{base}/stream-{zlib.crc32(folder.encode()):08x}"
+    progress = f"{base}/stream-{hashlib.sha256(folder.encode()).hexdigest()}"
     return (
         stream.writeStream.format("parquet").outputMode(output_mode).option("path", folder)
         .option("checkpointLocation", progress).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reliefgrid import schemas
@@ -108,3 +109,30 @@ def test_plans_stay_in_the_jvm_without_pair_products(spark):
 def test_scan_is_pruned(spark):
     plan = queries()["bottleneck_diagnosis"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in plan
+
+
+def test_stream_queries_read_a_file_or_a_folder_of_parts(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    parts = tmp_path / "parts"
+    for name in ("events", "lineitem", "supplier", "orders", "customer", "nation", "part", "region", "partsupp"):
+        try:
+            spark.read.parquet(f"{source}/{name}.parquet").repartition(3).write.parquet(str(parts / f"{name}.parquet"))
+        except AnalysisException:
+            assert name == "partsupp"
+    for name in ("stream_daily_mean", "stream_live_status"):
+        one, many = (sorted(map(tuple, queries()[name](spark, d).collect())) for d in (source, str(parts)))
+        assert one and [r[:2] for r in one] == [r[:2] for r in many]
+
+
+def test_rolling_mean_of_a_stream(spark, tmp_path):
+    rows = [(datetime(2024, 1, d, h), "k", float(d * h)) for d in range(1, 9) for h in (1, 5)]
+    _write(spark, str(tmp_path / "in"), rows)
+    schema = spark.createDataFrame([], "ts timestamp, k string, value double").schema
+    stream = feeds.rolling_mean(feeds.file_stream(spark, str(tmp_path / "in"), schema), ["k"], days=3)
+    feeds.run_available(stream, str(tmp_path / "out")).awaitTermination()
+    got = {r.window_start: (round(r.mean_value, 9), r.row_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = feeds.rolling_mean(spark.createDataFrame(rows, schema), ["k"], days=3).collect()
+    want = {r.window_start: (round(r.mean_value, 9), r.row_count) for r in batch}
+    assert len(got) >= 4 and all(want[k] == v for k, v in got.items())
+    hand = [v for t, _, v in rows if datetime(2024, 1, 2) <= t < datetime(2024, 1, 5)]
+    assert want[datetime(2024, 1, 2)] == (round(sum(hand) / len(hand), 9), len(hand))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reliefgrid.operators import forecast, impact, multipliers, panel
@@ -17,7 +18,30 @@ def test_ridge_equals_closed_form(spark):
     model = forecast.fit_volume(df, alpha=0.5)
     z = (x - x.mean(0)) / x.std(0)
     beta = np.linalg.solve(z.T @ z + 0.5 * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-    assert np.allclose(model.coefficients.toArray() * x.std(0), beta, rtol=1e-6, atol=1e-8)
+    weights = np.array([model.weights[c] for c in forecast.FEATURES])
+    assert np.allclose(weights * x.std(0), beta, rtol=1e-6, atol=1e-8)
+    slopes = forecast.optimality(df, model, "actual_demand", model.margin()).collect()
+    assert len(slopes) == len(forecast.FEATURES) + 1 and max(abs(r.gradient) for r in slopes) < 1e-8
+
+
+def test_spike_fit_is_the_optimum(spark):
+    """A sample that no plane separates, scored after an observation was used in the session."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, len(forecast.FEATURES)))
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=300) > 0.3).astype(float)
+    kinds = ", ".join(f"{c} double" for c in forecast.FEATURES) + ", is_spike double"
+    df = spark.createDataFrame([(*map(float, row), float(v)) for row, v in zip(x, y)], kinds)
+    seen = Observation("seen")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).count()
+    model = forecast.fit_spike(df)
+    probability = forecast.chance(model.margin())
+    assert max(abs(r.gradient) for r in forecast.optimality(df, model, "is_spike", probability).collect()) < 1e-4
+    scored = forecast.model_scores(df, model, model).select("spike_raw_prob", "is_spike").toPandas()
+    assert ((scored.spike_raw_prob > 0.5) == (scored.is_spike == 1.0)).mean() > 0.7
+    with pytest.raises(ValueError, match="converged"):
+        forecast.fit_spike(df, iterations=2)
+    alone = forecast.fit_spike(df.where("is_spike = 1"))
+    assert set(alone.weights.values()) == {0.0} and alone.intercept > 10
 
 
 def test_elasticity_rules(spark):
@@ -110,3 +134,19 @@ def test_composite_and_fallback_year(spark):
     assert total.first().type1_output_multiplier == 2.0
     asked = spark.createDataFrame([(2030,)], "year int")
     assert multipliers.for_years(asked, total).first().used_year == 2021
+
+
+def test_multipliers_say_when_they_do_not_converge(spark):
+    edges = spark.createDataFrame([(2020, "a", "b", 9.0), (2020, "b", "a", 9.0)], "year int, i string, j string, z double")
+    sectors = spark.createDataFrame([(2020, s, 10.0, 3.0, 2.0, 1.0) for s in "ab"], "year int, j string, x double, gva double, wages double, consumption double")
+    exact = {r.j: r.type1_output for r in multipliers.multipliers(edges, sectors, rounds=400).collect()}
+    assert exact == {"a": pytest.approx(10.0), "b": pytest.approx(10.0)}
+    with pytest.raises(ValueError, match="converged"):
+        multipliers.multipliers(edges, sectors, rounds=10)
+
+
+def test_a_year_without_table_keeps_its_row(spark):
+    table = spark.createDataFrame([(1999, 1.5)], "year int, type1_output_multiplier double")
+    asked = spark.createDataFrame([(1999,), (1980,)], "year int")
+    got = {r.requested_year: (r.type1_output_multiplier, r.used_year) for r in multipliers.for_years(asked, table).collect()}
+    assert got == {1999: (1.5, 1999), 1980: (None, None)}

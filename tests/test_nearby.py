@@ -61,3 +61,20 @@ def test_nearest_with_limit(spark):
     b = spark.createDataFrame([(9, 3.1, 101.0)], "r_id long, r_lat double, r_lon double")
     rows = nearest(a, b, "l_id", ("l_lat", "l_lon"), "r_id", ("r_lat", "r_lon"), radii_km=(5.0, 25.0)).collect()
     assert [(r.l_id, r.nearest_r_id) for r in rows] == [(1, 9)]
+
+
+@pytest.mark.parametrize("group_rows", [10, 20_000])
+def test_every_row_has_its_own_radius(spark, group_rows):
+    """Radii from nothing to half the globe, in one join."""
+    left, right = points(5, 120, 30), points(6, 90, 20)
+    rng = random.Random(7)
+    radii = {i: rng.choice([0.0, 0.5, 3.0, 15.0, 60.0, 200.0, 900.0, 3000.0, 25000.0, None]) for i, *_ in right}
+    a = spark.createDataFrame(left, "l_id long, l_lat double, l_lon double")
+    b = spark.createDataFrame([(*r, radii[r[0]]) for r in right], "r_id long, r_lat double, r_lon double, reach double")
+    for table in (b, b.where("reach is null"), b.limit(0)):
+        known = {r.r_id for r in table.select("r_id").collect()}
+        joined = radius_join(
+            a, table, ("l_lat", "l_lon"), ("r_lat", "r_lon"), right_key="r_id", left_key="l_id", radius_column="reach", group_rows=group_rows
+        ).select("l_id", "r_id").collect()
+        expected = {(p[0], q[0]) for p in left for q in right if q[0] in known and radii[q[0]] is not None and km(p[1:], q[1:]) <= radii[q[0]]}
+        assert len(joined) == len({tuple(r) for r in joined}) and {tuple(r) for r in joined} == expected

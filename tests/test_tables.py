@@ -48,11 +48,31 @@ def test_rank_scores_share_ties(spark):
     assert out == {1: 0.0, 2: 50.0, 3: 50.0, 4: 100.0}
 
 
-def test_rank_scores_on_many_ranges(spark):
-    df = spark.range(2000).select("id", (F.col("id") % 700).cast("double").alias("v"))
-    out = ranking.rank_scores(df, {"up": ("v", True), "down": ("v", False)}, ranges=16).toPandas().sort_values("id")
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_rank_scores_on_many_ranges(spark, monkeypatch, broadcast):
+    """A third of the values equal, a tenth missing; ranks by range, and joined back both ways."""
+    monkeypatch.setattr(ranking, "RANGE_VALUES", 40)
+    monkeypatch.setattr(ranking, "BROADCAST_VALUES", broadcast)
+    v = F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 10 == 1, None).otherwise((F.col("id") % 700).cast("double"))
+    df = spark.range(2000).select("id", v.alias("v"), (F.col("id") % 7).cast("double").alias("w"))
+    out = ranking.rank_scores(df, {"up": ("v", True), "down": ("v", False), "w_up": ("w", True)}).toPandas().sort_values("id")
+    assert len(out) == 2000 and out["up"].isna().sum() == out["v"].isna().sum() > 100
     expected = (out["v"].rank() - 1) / (len(out) - 1) * 100
     assert (out["up"] - expected).abs().max() < 1e-9 and (out["up"] + out["down"] - 100).abs().max() < 1e-9
+    assert (out["w_up"] - (out["w"].rank() - 1) / (len(out) - 1) * 100).abs().max() < 1e-9
+
+
+def test_next_event_breaks_ties(spark):
+    rows = [("a", 5, 2), ("a", 5, 1), ("a", 3, 9), ("b", 1, 1), ("b", 1, 7)]
+    got = ranking.next_or_last(spark.createDataFrame(rows, "k string, ts int, id int"), "k", "ts", F.lit(4)).collect()
+    assert {(r.k, r.ts, r.id) for r in got} == {("a", 5, 1), ("b", 1, 7)}
+
+
+def test_allocation_keeps_rows_without_total(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 1.0)], "k string, w double")
+    totals = spark.createDataFrame([("x", 4000.0)], "k string, total double")
+    got = rollup.allocate(df, totals, "k", F.col("w"), "total").collect()
+    assert sorted((r.k, r.allocated or 0.0) for r in got) == [("x", 1000.0), ("x", 3000.0), ("y", 0.0)]
 
 
 def test_state_baseline_golden(spark):
