@@ -109,8 +109,12 @@ def access_score(travel_mins: Column, rail: Column) -> Column:
     return rnd(F.when(rail, F.least(F.lit(100.0), base + 8.0)).otherwise(base), 1)
 
 
+# Road km without friction, and points lost for each km beyond.
+FRICTION_FREE_KM, FRICTION_PER_KM = 60.0, 0.08
+
+
 def distance_friction(distance_km: Column) -> Column:
-    return F.greatest(F.lit(0.0), distance_km - 60.0) * 0.08
+    return F.greatest(F.lit(0.0), distance_km - FRICTION_FREE_KM) * FRICTION_PER_KM
 
 
 def income_retention(candidate_poverty: Column, hotspot_poverty: Column) -> Column:

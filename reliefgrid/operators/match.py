@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.capacity import (
+    FRICTION_FREE_KM,
+    FRICTION_PER_KM,
     access_score,
     clip_null,
     community_score,
@@ -37,6 +41,8 @@ FEASIBLE_KM = 350.0
 ROAD_FACTOR_MIN = 1.25
 # Beyond 60 + 100 / 0.08 road km the friction penalty exceeds any score, so every such pair scores exactly 0.
 ZERO_SCORE_KM = 1310.0
+# Rings (km by road) for hotspots that nothing within the feasible reach settles.
+WIDER_KM = (500.0, 700.0, 950.0, ZERO_SCORE_KM)
 
 # Shortlist classes of a pair: feasible and regional, feasible, regional only, neither.
 FEASIBLE_REGIONAL, FEASIBLE_FAR, REGIONAL_ONLY, OTHER = 1, 2, 3, 4
@@ -215,6 +221,33 @@ def _zero_score_fill(hotspots: DataFrame, candidates: DataFrame, top_n: int) ->
     )
 
 
+def _beyond_reach(
+    shortlist: DataFrame, waiting: DataFrame, h: DataFrame, c: DataFrame, top_n: int, score: Callable[[DataFrame], DataFrame], group_rows: int, small: bool
+) -> DataFrame:
+    """The shortlist, with that of the ``waiting`` hotspots (no feasible candidate, short regional list) over any distance.
+
+    All their candidates compete. The reach grows by rings and a hotspot leaves once its last listed score exceeds what
+    friction allows anyone further away, so few hotspots see many candidates; past the last ring all scores are 0.
+    """
+    done = shortlist.join(waiting, "h_id", "left_anti")
+    found, reach = shortlist.join(waiting, "h_id", "left_semi"), FEASIBLE_KM
+    scores = F.sort_array(F.collect_list("final_wsm_score"), asc=False)  # at most top_n scores for each class
+    for wider in WIDER_KM:
+        best_beyond = 100.0 - (reach - FRICTION_FREE_KM) * FRICTION_PER_KM
+        last = found.groupBy("h_id").agg(F.get(scores, F.lit(top_n - 1)).alias("_last"))
+        filled = cut_lineage(last.where(F.col("_last") > best_beyond + 0.1).select("h_id"))
+        done = done.unionByName(found.join(filled, "h_id", "left_semi"))
+        waiting = cut_lineage(waiting.join(filled, "h_id", "left_anti"))
+        if waiting.isEmpty():
+            return done
+        hotspots = h.join(waiting, "h_id", "left_semi")
+        pairs = _near_pairs(hotspots, c, wider, group_rows, small)
+        if wider == ZERO_SCORE_KM:
+            pairs = pairs.unionByName(_zero_score_fill(hotspots, c, top_n)).dropDuplicates(["h_id", "c_id"])
+        found, reach = cut_lineage(score(pairs)), wider
+    return done.unionByName(found)
+
+
 def match_all(
     hotspots: DataFrame,
     candidates: DataFrame,
@@ -226,7 +259,7 @@ def match_all(
     """Best ``top_n`` candidates of every hotspot; both inputs come from ``prepare_places``.
 
     Three tiers of growing reach, each a grid join: the regional reach for all hotspots, the feasible reach only for
-    hotspots the first tier did not fill, and an unbounded search only for those still without a feasible candidate
+    hotspots the first tier did not fill, and a search by growing rings only for those still without a feasible candidate
     and a full regional list. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
     tables behind the places are read once. Shortlists carry ids and scores only; the columns of the chosen pairs are
     worked out at the end. Ids must be unique.
@@ -255,13 +288,9 @@ def match_all(
         done = shortlist.join(unfilled.select("h_id"), "h_id", "left_anti")
         shortlist = cut_lineage(done.unionByName(wider))
     settled = (count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0) | (count_of(REGIONAL_ONLY) >= top_n)
-    stranded = lacking(shortlist, settled)
-    if not stranded.isEmpty():
-        anywhere = _near_pairs(stranded, c, ZERO_SCORE_KM, group_rows, small).unionByName(
-            _zero_score_fill(stranded, c, top_n)
-        )
-        done = shortlist.join(stranded.select("h_id"), "h_id", "left_anti")
-        shortlist = done.unionByName(score(anywhere.dropDuplicates(["h_id", "c_id"])))
+    waiting = cut_lineage(lacking(shortlist, settled).select("h_id"))
+    if not waiting.isEmpty():
+        shortlist = _beyond_reach(shortlist, waiting, h, c, top_n, score, group_rows, small)
     chosen = _pick_pool(shortlist, top_n).drop("final_wsm_score")
     sides = chosen.join(h, "h_id").join(F.broadcast(c) if small else c, "c_id")
     return _scored(sides.withColumn("straight_km", haversine_km("h_lat", "h_lon", "c_lat", "c_lon")), steps).drop("_class")

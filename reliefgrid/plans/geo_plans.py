@@ -13,6 +13,7 @@ from reliefgrid.operators.nearby import nearest, radius_join
 from reliefgrid.plans.mapping import places, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import CIRCUITY, LABELS, MOUNTAIN, PLACE_STOP, PLACES, SPEED, STOPS, banded, corridor_columns, km, r
+from reliefgrid.session import cut_lineage
 
 # homes: customers with formula coordinates
 HOMES = """homes AS (SELECT c_custkey, c_name, c_nationkey, 1e0+(c_custkey*41%640)/100e0 AS c_lat, 100e0+(c_custkey*59%1880)/100e0 AS c_lon FROM customer)"""
@@ -211,3 +212,44 @@ def rail_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = traffic.rail_paths(with_stop, ("c_lat", "c_lon"), ("t_lat", "t_lon"))
     # origin, its station, the stations after it, destination (merged with the last station)
     return paths.where(F.col("rail_path").isNotNull()).select("c_custkey", F.col("s.line").alias("line"), (F.size("rail_path") - 1).alias("stops_to_interchange"))
+
+
+WIDE_ZONES = f"{HOMES}, zones AS (SELECT 'Z'||c_custkey AS key, c_lat AS lat, c_lon AS lon, (1+c_custkey*7%300)*1000 AS radius_m FROM homes)"
+
+
+@query(
+    "watch_zones_wide",
+    f"""WITH {PLACES},{WIDE_ZONES} SELECT DISTINCT key AS z_key, destination_name AS p_name FROM zones, (SELECT destination_name, lat AS p_lat, lon AS p_lon FROM places WHERE continuous_pressure>=1e0) a
+    WHERE {km('p_lat','p_lon','lat','lon')}<=radius_m/1000e0""",
+)
+def watch_zones_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of 1 to 300 km."""
+    wide = zone_table(spark, sf_dir).withColumn("radius_m", (F.substring("key", 2, 12).cast("long") * 7 % 300 + 1) * 1000)
+    return zones.watched_names(places(spark, sf_dir), wide)
+
+
+@query(
+    "display_zones",
+    f"""WITH {PLACES},{ZONES}, near AS (SELECT destination_id, continuous_pressure, key, radius_m, d FROM (SELECT destination_id, continuous_pressure, key, radius_m, {km('places.lat','places.lon','zones.lat','zones.lon')} AS d FROM places, zones) x WHERE d<=150e0),
+    hit AS (SELECT * FROM near WHERE d<=radius_m/1000e0),
+    alert AS (SELECT destination_id, key FROM (SELECT *, row_number() OVER (PARTITION BY destination_id ORDER BY d, key) AS n FROM hit) t WHERE n=1),
+    watched AS (SELECT DISTINCT key FROM hit WHERE continuous_pressure>=1e0)
+    SELECT near.destination_id, near.key, alert.key IS NOT NULL AS is_alert FROM near LEFT JOIN alert USING (destination_id, key) WHERE near.key NOT IN (SELECT key FROM watched)
+    UNION ALL SELECT NULL, key, true FROM watched""",
+)
+def display_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots, circles = cut_lineage(places(spark, sf_dir)), zone_table(spark, sf_dir)
+    return zones.display_zones(spots, circles, zones.hotspot_alerts(spots, circles), zones.watch_list(spots, circles))
+
+
+@query(
+    "zone_records",
+    """SELECT 'Z'||c_custkey AS key, c_acctbal/100e0 AS gazetted_area_km2, c_mktsegment='BUILDING' AS area_derived FROM customer""",
+)
+def zone_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags come as text in several spellings."""
+    flag = F.when(F.col("c_mktsegment") != "BUILDING", F.lit("False")).when(F.col("c_custkey") % 2 == 0, F.lit(" TRUE ")).otherwise(F.lit("true"))
+    raw = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("Z"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_acctbal").alias("luas_h"), flag.alias("area_derived")
+    )
+    return zones.zone_records(raw).select("key", "gazetted_area_km2", "area_derived")

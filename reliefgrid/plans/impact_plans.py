@@ -16,12 +16,11 @@ from reliefgrid.session import cut_lineage
 # raw: long spending table; markets are customer nations, categories are order priorities
 CATEGORY_NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 RAW = f"""
-cell AS (SELECT year(o_orderdate)::INTEGER AS year, n_name AS market, CASE o_orderstatus WHEN 'F' THEN 'Visitors' WHEN 'O' THEN 'Tourists' ELSE 'Other' END AS audience, o_orderpriority AS category,
+cell AS (SELECT year(o_orderdate)::INTEGER AS year, n_name AS market, CASE WHEN o_orderstatus='F' AND year(o_orderdate)%4<>0 THEN 'Visitors' WHEN o_orderstatus IN ('F','O') THEN 'Tourists' ELSE 'Other' END AS audience, o_orderpriority AS category,
     sum(o_totalprice::DECIMAL(18,2))::DOUBLE/1e6 AS v FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2,3,4),
-kept AS (SELECT * FROM cell WHERE NOT (audience='Visitors' AND year=1996)),
-tot AS (SELECT year, market, audience, {r('sum(v)',6)} AS v FROM kept GROUP BY 1,2,3 UNION ALL SELECT year, 'Overall', audience, {r('sum(v)',6)} FROM kept GROUP BY 1,3),
-shr AS (SELECT year, market, audience, category, {r('sum(v)/sum(sum(v)) OVER (PARTITION BY year, market, audience)*100e0',4)} AS pct FROM kept GROUP BY 1,2,3,4
-  UNION ALL SELECT year, 'Overall', audience, category, {r('sum(v)/sum(sum(v)) OVER (PARTITION BY year, audience)*100e0',4)} FROM kept GROUP BY 1,3,4),
+tot AS (SELECT year, market, audience, {r('sum(v)',6)} AS v FROM cell GROUP BY 1,2,3 UNION ALL SELECT year, 'Overall', audience, {r('sum(v)',6)} FROM cell GROUP BY 1,3),
+shr AS (SELECT year, market, audience, category, {r('sum(v)/sum(sum(v)) OVER (PARTITION BY year, market, audience)*100e0',4)} AS pct FROM cell GROUP BY 1,2,3,4
+  UNION ALL SELECT year, 'Overall', audience, category, {r('sum(v)/sum(sum(v)) OVER (PARTITION BY year, audience)*100e0',4)} FROM cell GROUP BY 1,3,4),
 pt AS (SELECT * FROM tot WHERE audience=CASE WHEN year IN (SELECT year FROM tot WHERE audience='Visitors') THEN 'Visitors' ELSE 'Tourists' END),
 ps AS (SELECT * FROM shr WHERE audience=CASE WHEN year IN (SELECT year FROM shr WHERE audience='Visitors') THEN 'Visitors' ELSE 'Tourists' END),
 matrix AS (SELECT year, market, 'All spending categories' AS spending_category, {r('v',2)} AS value_rm_million, 100e0 AS percentage_share FROM pt
@@ -31,13 +30,15 @@ matrix AS (SELECT year, market, 'All spending categories' AS spending_category,
 def raw_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total rows and share rows in one long table."""
     status = F.col("o_orderstatus")
-    audience = F.when(status == "F", "Visitors").when(status == "O", "Tourists").otherwise("Other")
+    # leap years have no visitors, so that they fall back to tourists
+    visitors = (status == "F") & (F.year("o_orderdate") % 4 != 0)
+    audience = F.when(visitors, "Visitors").when(status.isin("F", "O"), "Tourists").otherwise("Other")
     per = table(spark, sf_dir, "orders").groupBy(
         "o_custkey", F.year("o_orderdate").alias("year"), audience.alias("audience"), F.col("o_orderpriority").alias("category")
     ).agg(F.sum(money("o_totalprice")).alias("v"))
     cells = per.join(customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).groupBy("year", "market", "audience", "category").agg(
         (F.sum("v").cast("double") / 1e6).alias("v")
-    ).where("NOT (audience = 'Visitors' AND year = 1996)")
+    )
     # years x nations x audiences x categories: small, and read by totals and shares
     cells = cut_lineage(cells)
     with_overall = cells.withColumn("market", F.explode(F.array(F.col("market"), F.lit("Overall"))))
@@ -235,3 +236,13 @@ def composite_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     yearly = cut_lineage(multipliers.composite(sector_table, weights))  # one row per year
     asked = yearly.agg(F.array(F.lit(1999), F.lit(2000), F.lit(2030)).alias("q")).select(F.explode("q").alias("year"))
     return multipliers.for_years(asked, yearly)
+
+
+@query("sector_multipliers", f"WITH {_IO} SELECT year, j, {r('type1_output', 6)} AS type1_output, year = 1998 AS whole_year FROM m WHERE year = 1998 OR (year = 2000 AND j = 'FRANCE')")
+def sector_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sectors of one year, and one sector of another."""
+    every = cut_lineage(multipliers.multipliers(*_trade(spark, sf_dir)))
+    rows = multipliers.sector_rows(every, 1998).withColumn("whole_year", F.lit(True)).unionByName(
+        multipliers.sector_rows(every, 2000, "FRANCE").withColumn("whole_year", F.lit(False))
+    )
+    return rows.select("year", "j", rnd("type1_output", 6).alias("type1_output"), "whole_year")

@@ -90,7 +90,7 @@ def match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hotel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(state, year, period, average_occupancy_rate_pct) from mean quantity; weak quarters go unreported.
+    """(state, year, period, average_occupancy_rate_pct) from mean quantity.
 
     Lines are added up per supplier before they meet the supplier and nation names.
     """
@@ -107,7 +107,7 @@ def hotel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = (F.col("qty") / F.col("n") * 2.0).alias("average_occupancy_rate_pct")
     by_quarter = quarters.select("state", "year", F.concat(F.lit("Q"), F.col("q").cast("string")).alias("period"), rate)
     by_year = quarters.groupBy("state", "year").agg(F.sum("qty").alias("qty"), F.sum("n").alias("n"))
-    return by_quarter.where("average_occupancy_rate_pct >= 50").unionByName(
+    return by_quarter.unionByName(
         by_year.select("state", "year", F.lit("Annual").alias("period"), rate)
     )
 

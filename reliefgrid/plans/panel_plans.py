@@ -256,7 +256,8 @@ def _certified(training: DataFrame, slopes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("is_spike") == 1.0).alias("spike_count"), rnd(F.avg("actual_demand"), 3).alias("mean_demand")
     ).first()
     return slopes.select(
-        "feature", F.abs(rnd("gradient", 4)).alias("gradient"), *[F.lit(counts[c]).alias(c) for c in ("row_count", "spike_count", "mean_demand")]
+        "feature", F.abs(rnd("gradient", 4)).alias("gradient"), F.lit(counts["row_count"]).cast("long").alias("row_count"),
+        F.lit(counts["spike_count"]).cast("long").alias("spike_count"), F.lit(counts["mean_demand"]).alias("mean_demand"),
     )
 
 

@@ -23,6 +23,7 @@ _MODULES = [
     "quality_plans",
     "traffic_plans",
     "stream_plans",
+    "record_plans",
 ]
 
 

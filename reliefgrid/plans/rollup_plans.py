@@ -205,16 +205,18 @@ def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.col("day").cast("string").alias("day"), "total", rnd("trailing_total", 4).alias("trailing_total"))
 
 
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
     "feed_kpis",
-    f"""WITH {FEED}, d AS (SELECT day, sum(total) FILTER (WHERE event_type='purchase') AS purchase, sum(total) FILTER (WHERE event_type='view') AS view FROM feed GROUP BY day),
+    f"""WITH {FEED}, d AS (SELECT day, {', '.join(f"sum(total) FILTER (WHERE event_type='{k}') AS {k}" for k in _EVENT_TYPES)} FROM feed GROUP BY day),
     t AS (SELECT * FROM d ORDER BY day DESC LIMIT 30)
-    SELECT {r('avg(purchase)')} AS purchase_avg, {r('avg(view)')} AS view_avg, max(day)::VARCHAR AS latest_day FROM t""",
+    SELECT {', '.join(f"{r(f'avg({k})')} AS {k}_avg" for k in _EVENT_TYPES)}, max(day)::VARCHAR AS latest_day FROM t""",
 )
 def feed_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = daily_feed(spark, sf_dir)
-    wide = feed.groupBy("day").pivot("event_type", ["purchase", "view"]).agg(F.sum("total"))
-    out = rollup.recent_rows_mean(wide, "day", ["purchase", "view"])
+    wide = daily_feed(spark, sf_dir).groupBy("day").pivot("event_type", _EVENT_TYPES).agg(F.sum("total"))
+    out = rollup.recent_rows_mean(wide, "day", _EVENT_TYPES)
     return out.withColumn("latest_day", F.col("latest_day").cast("string"))
 
 
@@ -300,15 +302,11 @@ def merge_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "visitors_unpivot",
-    """SELECT n_name AS state, year(o_orderdate)::INTEGER AS year, count(*) AS domestic_visitors_000 FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
-    WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1,2""",
+    """SELECT n_name AS state, year(o_orderdate)::INTEGER AS year, count(*) AS domestic_visitors_000 FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2""",
 )
 def visitors_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = list(range(1995, 2002))
     per = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    wide = per.join(customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("market").alias("state")).pivot(
-        "year", years
-    ).agg(F.sum("n"))
+    wide = per.join(customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("market").alias("state")).pivot("year").agg(F.sum("n"))
     return baseline.visitors_long(wide).where(F.col("domestic_visitors_000").isNotNull())
 
 

@@ -30,13 +30,13 @@ def tag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "tag_set_messy",
     """SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(
-      CASE WHEN contains(text,'|') THEN string_split(text,'|') WHEN contains(text,';') THEN string_split(text,';') ELSE string_split(text,',') END,
-      lambda x: lower(trim(x))), lambda x: x<>''))),'^') AS tag_set FROM documents WHERE text=trim(text) AND NOT (starts_with(text,'[') AND ends_with(text,']'))""",
+      CASE WHEN starts_with(text,'[') AND ends_with(text,']') THEN string_split(regexp_replace(text,'^\\[|\\]$|["'']','','g'),',')
+      WHEN contains(text,'|') THEN string_split(text,'|') WHEN contains(text,';') THEN string_split(text,';') ELSE string_split(text,',') END,
+      lambda x: lower(trim(x))), lambda x: x<>''))),'^') AS tag_set FROM (SELECT doc_id, trim(text) AS text FROM documents)""",
 )
 def tag_set_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts read as delimited tag strings."""
-    text = F.col("text")
-    docs = table(spark, sf_dir, "documents").where((text == F.trim(text)) & ~(text.startswith("[") & text.endswith("]")))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(F.array_sort(tag_set("text")), "^").alias("tag_set"))
 
 

@@ -66,7 +66,7 @@ def connect(sf_dir):
 def main():
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g")
+    spark = build_session("check", "local[4]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g")
     con, sql, bad = connect(sf_dir), oracles(), []
     for name, plan in queries().items():
         if args and not any(name.startswith(a) for a in args):
