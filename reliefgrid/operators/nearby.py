@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.geo import EARTH_KM, haversine_km
@@ -14,6 +14,9 @@ from reliefgrid.session import cut_lineage
 # Rows of one side that may meet in a single join group before it is split.
 GROUP_ROWS = 20_000
 BROADCAST_CELLS = 500_000
+# Grids for far neighbours, coarse to fine, each a whole multiple of the next.
+GRID_DEGREES = (8.0, 1.0, 0.125)
+HALF_AROUND_KM = 20_016.0
 # Upper ends of the radius classes; the last covers the globe.
 RADIUS_CLASSES_KM = [1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 20040.0]
 
@@ -150,6 +153,42 @@ def _radius_join(
     return within(split_left.join(split_right, [*cell, "_lp", "_rp"]))
 
 
+def _nearest_far(
+    left: DataFrame, right: DataFrame, left_id: str, left_at: tuple[str, str], right_id: str, right_at: tuple[str, str], on: list[str]
+) -> DataFrame:
+    """(left_id, _best): nearest right point at any distance, by occupied cells.
+
+    A cell can hold the nearest point only if its near edge is no further than the far edge of some other; each grid
+    refines the cells that are left. The first grid has so few cells that those of a key fit in one array.
+    """
+    left = left.where(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull())
+    right = right.where(F.col(right_at[0]).isNotNull() & F.col(right_at[1]).isNotNull())
+    grids = [f"_g{k}" for k in range(len(GRID_DEGREES))]
+    placed = right.withColumns({
+        g: F.struct(F.floor((F.col(right_at[0]) + 90.0) / s).alias("y"), F.floor((F.col(right_at[1]) + 180.0) / s).alias("x"))
+        for g, s in zip(grids, GRID_DEGREES, strict=True)
+    })
+    reached = None
+    for k, (grid, step) in enumerate(zip(grids, GRID_DEGREES, strict=True)):
+        cells = placed.select(*on, *grids[: k + 1]).distinct()
+        if reached is None:
+            packed = F.collect_list(grid)  # at most one entry for each cell of the first grid
+            if on:
+                reached = left.join(cells.groupBy(*on).agg(packed.alias("_cells")), on)
+            else:
+                reached = left.withColumn("_cells", cells.agg(packed).scalar())
+            reached = reached.withColumn(grid, F.explode("_cells")).drop("_cells")
+        else:
+            reached = reached.join(cells, [*on, *grids[:k]])
+        middle = ((F.col(f"{grid}.y") + 0.5) * step - 90.0, (F.col(f"{grid}.x") + 0.5) * step - 180.0)
+        radius = math.radians(step) * math.sqrt(0.5) * EARTH_KM * 1.001 + 0.001
+        away = reached.withColumns({"_lat": middle[0], "_lon": middle[1]}).withColumn("_d", haversine_km(left_at[0], left_at[1], "_lat", "_lon"))
+        nearest_edge = F.min(F.col("_d") + radius).over(Window.partitionBy(left_id))
+        reached = away.withColumn("_edge", nearest_edge).where(F.col("_d") - radius <= F.col("_edge")).drop("_lat", "_lon", "_d", "_edge")
+    pairs = reached.join(placed, [*on, *grids]).withColumn("straight_km", haversine_km(left_at[0], left_at[1], right_at[0], right_at[1]))
+    return pairs.groupBy(left_id).agg(F.min(F.struct("straight_km", right_id)).alias("_best"))
+
+
 def nearest(
     left: DataFrame,
     right: DataFrame,
@@ -164,13 +203,19 @@ def nearest(
     """(left_id, nearest_<right_id>, nearest_km): closest right point, lowest id on a tie.
 
     The circle grows only for left rows that found nothing yet, so dense areas are settled by short joins; both sides
-    are checkpointed, as every circle reads them. The last radius is the limit: left rows with nothing inside it are absent. A left id may repeat with different ``on`` values.
+    are checkpointed, as every circle reads them. Rows that found nothing within the last circle but one are searched
+    through the occupied cells of ever finer grids where the last one covers the globe, so that far rows do not meet all
+    others. The last radius is the limit: left rows with nothing inside it are absent. A left id may repeat with different ``on`` values.
     """
     right = cut_lineage(right.select(right_id, *right_at, *(on or [])))
     small = has_at_most(right, group_rows)
     left = cut_lineage(left.select(left_id, *left_at, *(on or [])).distinct())
     found, waiting = None, left
     for radius in radii_km:
+        if radius >= HALF_AROUND_KM:
+            best = _nearest_far(waiting, right, left_id, left_at, right_id, right_at, on or [])
+            found = best if found is None else found.unionByName(best)
+            break
         pairs = radius_join(
             waiting, right, left_at, right_at, right_key=right_id, left_key=left_id, on=on, radius_km=radius,
             group_rows=group_rows, small_right=small,
