@@ -128,9 +128,8 @@ _SIM_OUT = (
 )
 
 
-@query(
-    "whatif_scenarios",
-    f"""{MATCH}, sc(scenario,time_cut,capacity_pct,compliance,diverted) AS (VALUES {_SCENARIO_VALUES}), src AS (SELECT * FROM best, sc),{_ABSORB},
+def _whatif(values: str) -> str:
+    return f"""{MATCH}, sc(scenario,time_cut,capacity_pct,compliance,diverted) AS (VALUES {values}), src AS (SELECT * FROM best, sc),{_ABSORB},
     d AS (SELECT *, (1e0+greatest(0e0,distance_km)/100e0)*CASE WHEN rail_viable THEN 1e0 ELSE 1.4e0 END AS diff FROM absorbed),
     t AS (SELECT *, time_cut/diff AS cut, greatest(15e0,travel_time_mins-time_cut/diff) AS new_time FROM d),
     s AS (SELECT *, {_pillars('original_gap','travel_time_mins')} AS baseline_score, {_pillars('simulated_gap','new_time')} AS raw FROM t),
@@ -139,13 +138,21 @@ _SIM_OUT = (
     SELECT h_id, c_id, scenario, baseline_score, {r(clip('baseline_score+delta_score','0e0','100e0'),1)} AS simulated_score, delta_score,
       (simulated_gap>0.10e0 AND distance_km<=350e0 AND base_ok) AS is_feasible, overflow, CASE WHEN overflow THEN 'Overflow risk' ELSE 'Absorbs diversion' END AS diversion_verdict,
       {r('after_pax',1)} AS post_headroom_pax, max_absorbable_pax, CASE WHEN diverted>0 THEN {r('max_absorbable_pax/diverted*100e0',1)} ELSE 100e0 END AS absorption_coverage_pct,
-      {r('diff',3)} AS time_difficulty, {r('cut',2)} AS effective_time_reduction_mins, simulated_gap, CASE WHEN delta_score>=5 THEN 'High Priority' ELSE 'Incremental' END AS policy_impact FROM w""",
-)
+      {r('diff',3)} AS time_difficulty, {r('cut',2)} AS effective_time_reduction_mins, simulated_gap, CASE WHEN delta_score>=5 THEN 'High Priority' ELSE 'Incremental' END AS policy_impact FROM w"""
+
+
+@query("whatif_scenarios", _whatif(_SCENARIO_VALUES))
 def whatif_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = explain.simulate(explain.scenarios(shortlist(spark, sf_dir), SCENARIOS))
     return out.select(*_SIM_OUT.split(", "))
 
 
+@query("policy_shortcut", _whatif("('policy',30e0,25e0,1e0,2000e0)"))
+def policy_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = explain.simulate_policy(shortlist(spark, sf_dir), time_cut=30.0, capacity_pct=25.0, diverted=2000.0)
+    return out.select(*_SIM_OUT.split(", "))
+
+
 @query(
     "dispatch",
     f"""{MATCH}, src AS (SELECT *, 20e0 AS capacity_pct FROM best WHERE candidate_rank=1),{_ABSORB},

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reliefgrid.functions import text as tx
 from reliefgrid.functions.numeric import rnd
 from reliefgrid.functions.text import CLUSTER_NAMES, REGION_CLUSTERS, STATES
-from reliefgrid.operators import baseline, lookup, ranking
+from reliefgrid.operators import baseline, lookup, ranking, reports
 from reliefgrid.plans.mapping import customer_nation, hotel_rates, money, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import RATES, r
-from reliefgrid.sources.readers import hotel_series
+from reliefgrid.session import ensure_checkpoint_dir
+from reliefgrid.sources import sinks
+from reliefgrid.sources.readers import csv_table, hotel_series, land, parquet_table
 
 
 @query(
@@ -84,3 +89,65 @@ def stacked_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hotel_series_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotel_series(hotel_rates(spark, sf_dir)).withColumn("average_occupancy_rate_pct", rnd("average_occupancy_rate_pct", 6))
+
+
+_KINDS = ["tourist", "excursionist", "visitor"]
+_NAMED = f"""n AS (SELECT DISTINCT 'Arrivals_'||strftime(o_orderdate, '%B')||'_'||year(o_orderdate)||'_Q'||quarter(o_orderdate)||'_'||{_KINDS!r}[o_orderkey%3+1]||'.pdf' AS file_name,
+    year(o_orderdate)::INTEGER AS year, 'Q'||quarter(o_orderdate) AS period, upper(strftime(o_orderdate, '%B'))[1:3] AS short, {_KINDS!r}[o_orderkey%3+1] AS arrival_type FROM orders)"""
+
+
+@query("dated_file_names", f"WITH {_NAMED} SELECT file_name, year, period, short AS month, arrival_type FROM n")
+def dated_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that carry a month, a year, a quarter and a kind of arrival."""
+    date = F.col("o_orderdate")
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("o_orderkey") % 3).cast("int"))
+    name = F.concat(
+        F.lit("Arrivals_"), F.date_format(date, "MMMM"), F.lit("_"), F.year(date).cast("string"), F.lit("_Q"), F.quarter(date).cast("string"),
+        F.lit("_"), kind, F.lit(".pdf"),
+    )
+    names = table(spark, sf_dir, "orders").select(name.alias("file_name")).distinct()
+    return names.select(
+        "file_name", tx.file_year("file_name").alias("year"), tx.file_period("file_name").alias("period"),
+        F.substring(tx.file_month("file_name"), 1, 3).alias("month"), tx.file_arrival_type("file_name").alias("arrival_type"),
+    )
+
+
+@query(
+    "unread_reports",
+    """SELECT CASE WHEN c_custkey%3=0 THEN 'report_'||c_custkey%100||'.pdf' ELSE 'report_2024_'||c_custkey%100||'.pdf' END AS file_name,
+    CASE WHEN c_custkey%3=0 THEN 'no year in file name' ELSE 'no text' END AS reason FROM customer WHERE c_custkey%3=0 OR c_custkey%5<2""",
+)
+def unread_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of customers: a third has no year in its name, and of the others two fifths have no text."""
+    key = F.col("c_custkey")
+    number = (key % 100).cast("string")
+    name = F.when(key % 3 == 0, F.concat(F.lit("report_"), number, F.lit(".pdf"))).otherwise(F.concat(F.lit("report_2024_"), number, F.lit(".pdf")))
+    text = F.when(key % 5 == 0, F.lit("  ")).when(key % 5 > 1, F.col("c_name"))
+    return reports.failed_files(table(spark, sf_dir, "customer").select(name.alias("file_name"), text.alias("text")))
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name, c_acctbal, c_custkey%7=0 AS flagged, CASE WHEN c_custkey%4<>0 THEN c_mktsegment END AS segment FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by the CSV sink in the shared folder and read back with types and nulls."""
+    ensure_checkpoint_dir(spark)
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") % 7 == 0).alias("flagged"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("segment")
+    )
+    folder = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(rows, folder)
+    return csv_table(spark, folder, rows.schema)
+
+
+@query(
+    "landed_partitions",
+    "SELECT year(o_orderdate)::INTEGER AS year, count(*) AS row_count, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1",
+)
+def landed_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed once, curated by year, and read by partition."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
+    landed = land(table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice"), f"{folder}/raw")
+    sinks.write_table(landed.withColumn("year", F.year("o_orderdate")), f"{folder}/curated", ["year"])
+    return parquet_table(spark, f"{folder}/curated").where("year >= 1998").groupBy("year").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(money("o_totalprice")).cast("double").alias("total")
+    )
