@@ -82,13 +82,13 @@ _STRONGEST = "CASE " + " ".join(f"WHEN h_a{i+1}*c_a{i+1}={_TOP_PRODUCT} THEN '{t
     f"""{MATCH} SELECT h_id, c_id, array_to_string({_TAGS}, ', ') AS shared_tags,
       printf('High compatibility (%.1f%% synergy across shared ', match_score) || CASE WHEN {_SHARED}<>'' THEN {_SHARED} ELSE {_STRONGEST} END || ').' ||
       CASE WHEN len({_TAGS})>0 THEN ' Features shared attraction themes ('||{_title(_TAGS)}||').' ELSE ' Features verified attractions including '||{_title('list_sort(c_tags)')}||'.' END ||
-      ' Situated '||{r('distance_km')}::BIGINT||' km (~'||travel_time_mins::BIGINT||' mins) via '||transit_mode||'.' AS explanation FROM best WHERE c_capacity>0""",
+      ' Situated '||{r('distance_km')}::BIGINT||' km (~'||travel_time_mins::BIGINT||' mins) via '||transit_mode||'.' ||
+      printf(' Operates with %.1f%% spare capacity headroom (', spare_capacity_score) ||
+      CASE WHEN c_capacity>0 THEN '+'||format('{{:,}}', trunc(c_headroom)::BIGINT)||' pax/day buffer safely below ecological limit of '||format('{{:,}}', {r('c_eco')}::BIGINT) ELSE 'safe from bottleneck breach' END ||
+      printf('; blended spare-capacity pillar %.1f incl. absolute %.1f), targeting %.1f%% district B40 community uplift.', spare_capacity_blended, absolute_headroom_score, {r('c_poverty',1)}) AS explanation FROM best""",
 )
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence up to the travel clause; the numbers that follow are columns of other queries."""
-    out = explain.explanation(shortlist(spark, sf_dir)).where("c_capacity > 0")
-    head = F.concat(F.substring_index("explanation", " Operates with ", 1))
-    return out.select("h_id", "c_id", "shared_tags", head.alias("explanation"))
+    return explain.explanation(shortlist(spark, sf_dir)).select("h_id", "c_id", "shared_tags", "explanation")
 
 
 _ABSORB = """factor AS (SELECT *, greatest(0.4e0,least(1e0,c_rooms/5000e0)) AS f FROM src),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.functions.geo import circle_ring, haversine_km, is_mountain, nearest_station, radius_from_hectares, road_profile
+from reliefgrid.functions.geo import RAIL_INTERCHANGE, RAIL_LINES, circle_ring, haversine_km, is_mountain, nearest_station, radius_from_hectares, road_profile
 from reliefgrid.functions.numeric import rnd
 from reliefgrid.functions.text import slug
 from reliefgrid.operators import traffic, zones
@@ -253,3 +253,45 @@ def zone_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Z"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_acctbal").alias("luas_h"), flag.alias("area_derived")
     )
     return zones.zone_records(raw).select("key", "gazetted_area_km2", "area_derived")
+
+
+_MEET = {line: [name for name, *_ in stations].index(RAIL_INTERCHANGE) for line, stations in RAIL_LINES.items()}
+
+
+def _between(line: str, start: str, end: str) -> str:
+    return f"""coalesce((SELECT list({{'lat': stop_lat::DOUBLE, 'lon': stop_lon::DOUBLE}} ORDER BY CASE WHEN {end}<{start} THEN -seq ELSE seq END) FROM stops
+      WHERE stops.line={line} AND stops.seq BETWEEN least({start},{end}) AND greatest({start},{end}) AND stops.seq<>{start}), [])"""
+
+
+def _at(lat: str, lon: str) -> str:
+    return f"[{{'lat': ({lat})::DOUBLE, 'lon': ({lon})::DOUBLE}}]"
+
+
+@query(
+    "rail_path_points",
+    f"""WITH {HOMES},{STOPS},
+    near AS (SELECT * FROM (SELECT c_custkey, c_lat, c_lon, ord, line, seq, stop_lat, stop_lon, row_number() OVER (PARTITION BY c_custkey ORDER BY d, ord) AS n, d
+      FROM (SELECT homes.*, stops.*, {km('c_lat','c_lon','stop_lat','stop_lon')} AS d FROM homes, stops) y) x WHERE n=1 AND d<=25e0),
+    pair AS (SELECT o.c_custkey, o.line AS o_line, o.seq AS o_seq, d.line AS d_line, d.seq AS d_seq, o.c_lat AS ola, o.c_lon AS olo, d.c_lat AS dla, d.c_lon AS dlo,
+      o.stop_lat AS osla, o.stop_lon AS oslo, d.stop_lat AS dsla, d.stop_lon AS dslo,
+      CASE o.line WHEN 'ets' THEN {_MEET['ets']} ELSE {_MEET['jungle']} END AS o_meet, CASE d.line WHEN 'ets' THEN {_MEET['ets']} ELSE {_MEET['jungle']} END AS d_meet
+      FROM near o JOIN near d ON d.c_custkey=(o.c_custkey*17+5)%(SELECT max(c_custkey) FROM customer) WHERE {km('o.c_lat','o.c_lon','d.c_lat','d.c_lon')}>=15e0),
+    path AS (SELECT c_custkey, o_line=d_line AS same, CASE WHEN o_line=d_line
+      THEN list_concat({_at(r('ola',5), r('olo',5))}, {_at('osla','oslo')}, {_between('o_line','o_seq','d_seq')}, {_at(r('dla',5), r('dlo',5))})
+      ELSE list_concat({_at('ola','olo')}, {_at('osla','oslo')}, {_between('o_line','o_seq','o_meet')}, {_between('d_line','d_meet','d_seq')}, {_at('dsla','dslo')}, {_at('dla','dlo')}) END AS points FROM pair),
+    p AS (SELECT c_custkey, same, generate_subscripts(points, 1) AS i, unnest(points) AS point FROM path),
+    kept AS (SELECT *, lag(point) OVER (PARTITION BY c_custkey ORDER BY i) AS before FROM p)
+    SELECT c_custkey, same AS one_line, (row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1)::INTEGER AS i, {r('point.lat',5)} AS lat, {r('point.lon',5)} AS lon
+    FROM kept WHERE NOT same OR before IS NULL OR before<>point""",
+)
+def rail_path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of the way from each home to one other, on either line and over the interchange."""
+    at = homes(spark, sf_dir).select("c_custkey", "c_lat", "c_lon")
+    last = at.agg(F.max("c_custkey")).first()[0]
+    other = at.select(F.col("c_custkey").alias("d_key"), F.col("c_lat").alias("d_lat"), F.col("c_lon").alias("d_lon"))
+    pairs = at.withColumn("d_key", (F.col("c_custkey") * 17 + 5) % last).join(other, "d_key")
+    lines = pairs.withColumn("one_line", nearest_station("c_lat", "c_lon")["line"] == nearest_station("d_lat", "d_lon")["line"])
+    paths = traffic.rail_paths(lines, ("c_lat", "c_lon"), ("d_lat", "d_lon")).where(F.col("rail_path").isNotNull())
+    return paths.select("c_custkey", "one_line", F.posexplode("rail_path").alias("i", "p")).select(
+        "c_custkey", "one_line", "i", rnd("p.lat", 5).alias("lat"), rnd("p.lon", 5).alias("lon")
+    )
