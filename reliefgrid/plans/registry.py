@@ -24,6 +24,7 @@ _MODULES = [
     "traffic_plans",
     "stream_plans",
     "record_plans",
+    "master_plans",
 ]
 
 
