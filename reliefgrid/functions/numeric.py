@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Whole numbers below are exact in a double.
-EXACT_WHOLE = float(2**53)
-
-
 def as_col(value: Column | str | int | float) -> Column:
     if isinstance(value, Column):
         return value
@@ -19,12 +15,11 @@ def as_col(value: Column | str | int | float) -> Column:
 def rnd(value: Column | str | float, digits: int = 0) -> Column:
     """Round half up on the binary value; the same form works in any SQL engine.
 
-    NaN stays NaN, and numbers so large that they are whole already stay as they are.
+    NaN becomes null, as a missing number must not read as 0. Scaled numbers must lie within 64 bits, where ``floor`` ends. The value
+    stands in the expression only once: roundings are nested, and a second mention would double the plan at every level.
     """
     scale = float(10**digits)
-    scaled = as_col(value) * scale + 0.5
-    # ``floor`` makes a 64-bit integer
-    return F.when(F.abs(scaled) < EXACT_WHOLE, F.floor(scaled) / F.lit(scale)).otherwise(as_col(value).cast("double"))
+    return F.floor(known(as_col(value)) * scale + 0.5) / F.lit(scale)
 
 
 def known(value: Column | str) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +143,9 @@ def training_table(features: DataFrame, noise: tuple[float, ...] = (0.96, 1.0, 1
     ).withColumn("is_spike", F.when(F.col("actual_demand") >= F.col("base_capacity") * 1.05, 1.0).otherwise(0.0))
 
 
+FIT_ROWS = 20_000  # rows of a task in the passes of a fit, at least
+
+
 @dataclass(frozen=True)
 class Fitted:
     """Weights of the features as plain numbers, so that scoring is column arithmetic and no model goes into a plan."""
@@ -158,27 +161,26 @@ def _feature(name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _vectors(training: DataFrame, label: str) -> DataFrame:
+    numbers = training.select(F.col(label).alias("label"), *[_feature(f).alias(f) for f in FEATURES])
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(numbers).select("label", "features")
+
+
+def _plain(model) -> Fitted:
+    return Fitted(dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept))
+
+
 def fit_volume(training: DataFrame, alpha: float = 0.5) -> Fitted:
-    """Ridge on standardised features with a free intercept: ``alpha`` on the diagonal of the normal matrix.
+    """Ridge on standardised features with a free intercept: ``alpha`` on the diagonal of the standardised normal matrix.
 
-    One aggregate gives the means and covariances; the system has as many unknowns as there are features.
+    The normal-equation solver is one aggregation pass. Its penalty is scaled by the label deviation.
     """
-    label = F.col("actual_demand")
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-    row = training.agg(
-        F.count(F.lit(1)), F.avg(label), *[F.avg(_feature(f)) for f in FEATURES], *[F.covar_pop(_feature(f), label) for f in FEATURES],
-        *[F.covar_pop(_feature(FEATURES[i]), _feature(FEATURES[j])) for i, j in pairs],
-    ).first()
-    p, n = len(FEATURES), row[0]
-    if not n:
-        return Fitted(dict.fromkeys(FEATURES, 0.0), 0.0)
-    means, to_label = np.array(row[2 : 2 + p]), np.array(row[2 + p : 2 + 2 * p])
-    square = np.zeros((p, p))
-    for (i, j), value in zip(pairs, row[2 + 2 * p :], strict=True):
-        square[i, j] = square[j, i] = value
-    spread = np.sqrt(np.where(np.diag(square) > 0, np.diag(square), 1.0))
-    weights = np.linalg.solve(n * square / np.outer(spread, spread) + alpha * np.eye(p), n * to_label / spread) / spread
-    return Fitted(dict(zip(FEATURES, weights.tolist(), strict=True)), float(row[1] - weights @ means))
+    n, spread, mean = training.agg(F.count(F.lit(1)), F.stddev_pop("actual_demand"), F.avg("actual_demand")).first()
+    if not n or not spread:
+        return Fitted(dict.fromkeys(FEATURES, 0.0), mean or 0.0)
+    return _plain(LinearRegression(
+        solver="normal", elasticNetParam=0.0, standardization=True, regParam=alpha / n * spread
+    ).fit(_vectors(training, "actual_demand")))
 
 
 def fit_spike(training: DataFrame, alpha: float = 0.5, iterations: int = 1000) -> Fitted:
@@ -186,19 +188,16 @@ def fit_spike(training: DataFrame, alpha: float = 0.5, iterations: int = 1000) -
 
     A fit that ends on the limit of ``iterations`` has not converged and is an error. One class alone gives its share.
     """
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-        training.select("is_spike", *[_feature(f).alias(f) for f in FEATURES])
-    ).select("is_spike", "features")
     n, spikes = training.agg(F.count(F.lit(1)), F.sum("is_spike")).first()
     if not n or spikes in (0, n):
         share = min(max((spikes or 0.0) / max(n, 1), 1e-6), 1 - 1e-6)
         return Fitted(dict.fromkeys(FEATURES, 0.0), math.log(share / (1 - share)))
     model = LogisticRegression(
-        featuresCol="features", labelCol="is_spike", maxIter=iterations, regParam=alpha / n, elasticNetParam=0.0, standardization=True, tol=1e-12
-    ).fit(vectors)
+        maxIter=iterations, regParam=alpha / n, elasticNetParam=0.0, standardization=True, tol=1e-9
+    ).fit(_vectors(training, "is_spike").coalesce(1 + n // FIT_ROWS))
     if model.summary.totalIterations >= iterations:
         raise ValueError(f"the spike model has not converged after {iterations} iterations")
-    return Fitted(dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept))
+    return _plain(model)
 
 
 def chance(margin: Column) -> Column:

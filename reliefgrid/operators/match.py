@@ -290,7 +290,7 @@ def match_all(
     settled = (count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0) | (count_of(REGIONAL_ONLY) >= top_n)
     waiting = cut_lineage(lacking(shortlist, settled).select("h_id"))
     if not waiting.isEmpty():
-        shortlist = _beyond_reach(shortlist, waiting, h, c, top_n, score, group_rows, small)
+        shortlist = cut_lineage(_beyond_reach(shortlist, waiting, h, c, top_n, score, group_rows, small))
     chosen = _pick_pool(shortlist, top_n).drop("final_wsm_score")
     sides = chosen.join(h, "h_id").join(F.broadcast(c) if small else c, "c_id")
     return _scored(sides.withColumn("straight_km", haversine_km("h_lat", "h_lon", "c_lat", "c_lon")), steps).drop("_class")

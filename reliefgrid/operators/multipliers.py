@@ -39,7 +39,7 @@ def coefficients(edges: DataFrame, sectors: DataFrame) -> tuple[DataFrame, DataF
     return links, nodes
 
 
-def iterate(links: DataFrame, nodes: DataFrame, rounds: int = 200, tolerance: float = 1e-9, checkpoint_every: int = 5) -> DataFrame:
+def iterate(links: DataFrame, nodes: DataFrame, rounds: int = 200, tolerance: float = 1e-8, checkpoint_every: int = 5) -> DataFrame:
     """(year, j, r, g, h): the row vectors 1'L, v'L and w'L, as the limit of x <- b + A'x.
 
     Each round is one join on the supplying sector and one aggregate by the buying sector for all three vectors and
@@ -66,7 +66,7 @@ def iterate(links: DataFrame, nodes: DataFrame, rounds: int = 200, tolerance: fl
     raise ValueError(f"multipliers have not converged to {tolerance} after {rounds} rounds")
 
 
-def multipliers(edges: DataFrame, sectors: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+def multipliers(edges: DataFrame, sectors: DataFrame, rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
     """Type I and Type II output and value-added multipliers of every sector of every table.
 
     Households close the table: with hc = h.c the Type II rows are r + (r.c) h / (1 - hc) and g + (g.c) h / (1 - hc).
