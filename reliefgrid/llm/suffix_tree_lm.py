@@ -1,13 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root holds the smoothed frequency of every training word. A context of up to three words is a candidate where it makes up at
-least MIN_SHARE of the training tokens, and a state of the tree where its next words are told apart from those of its longest state
-that is a suffix: a divergence of at least MIN_DIVERGENCE. A state holds the words that follow it often; all other words get what
+The root holds the smoothed frequency of every training word. A context of up to three words is a candidate where the training text
+holds it MIN_COUNT times, and a state of the tree where its next words are told apart from those of its longest state that is a
+suffix: a divergence of at least MIN_DIVERGENCE. A state holds the words that follow it MIN_COUNT times; all other words get what
 mass is left, in the proportions of the state below. A word is scored at the longest state that its past ends in.
 
-Sequences above the share number at most 1 / MIN_SHARE for each length, so the tree is bounded whatever the corpus, and is built from
-counts of all training text. Word counts stay a table: the most frequent words, at most HEAD_ROWS, travel to the tasks, all others are
-looked up by a join.
+The floor is a count, so the tree grows with the corpus. It is a set of tables: sequences of each length are counted by their first
+words (the context) and their last words (the suffix), and divergence and smoothing are aggregates over the next words of a context.
+What the tree adds to a word's own frequency is a sum over the sequences that end there: each sequence of the tree has a weight, and a
+document's score is the root's plus the weights of all sequences it holds. The most frequent weights and words, at most HEAD_ROWS of
+each, travel to the tasks; all others are looked up by a join. Sequences are told apart by 64-bit hashes. Bit arrays of bounded size
+keep most sequences that are in no table from being dealt out; a fuller array lets more through, never fewer.
 
 Defined results: a null text has only its end; a null id counts as empty text in the split; each row is scored by itself, also when
 rows repeat; without training rows every count is 0; an empty table gives an empty table; columns other than ``doc_id`` and ``text``
@@ -24,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.stored import stored
+from reliefgrid.llm.stored import join_counted, stored
+from reliefgrid.llm.suffix_repeats import bit_arrays
 from reliefgrid.llm.words import Reader, Words
 
 DEPTH = 3
-MIN_SHARE = 5e-5
 MIN_COUNT = 4
 MIN_DIVERGENCE = 0.02  # nats
 HEAD_ROWS = 1_000_000
+COUNTED_AT_ONCE = 1 << 21  # sequences a task holds before it hands on their counts
 END = np.uint64(0x5DEECE66D1234567)
-SHIFT = 20  # bits of a word's number in a sequence's key; 1 / MIN_SHARE lies below
+SHIFT = 20  # bits of a word's number in a key of Tree
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,12 +55,54 @@ class Tokens:
         self.begins = np.zeros(n + docs, bool)
         self.begins[self.first[:-1]] = True
 
-    def before(self, values: np.ndarray) -> np.ndarray:
-        """The value of the token before each, -1 at the start of a document."""
-        out = np.full(len(values), -1, np.int64)
-        out[1:] = values[:-1]
-        out[self.begins] = -1
-        return out
+    def sequences(self, filters: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length up to one more than there are filters: keys of the sequences that end at each token, and whether they may
+        be frequent: within a document, and context and suffix among those of the filter of their length."""
+        keys, good = [self.hashes], [np.ones(len(self.hashes), bool)]
+        for bits in filters:
+            there = good[-1].copy()
+            there[there] = among(bits, keys[-1][there])
+            here = there.copy()
+            here[1:] &= there[:-1]
+            here[:1] = False
+            here &= ~self.begins
+            key, at = np.zeros(len(self.hashes), np.uint64), np.flatnonzero(here)
+            key[at] = pair_key(keys[-1][at - 1], keys[-1][at])
+            keys.append(key)
+            good.append(here)
+        return keys, good
+
+
+P1, P2, P3, P4, P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def pair_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of a sequence, from those of its context and its suffix: xxhash64(context, suffix) as in Spark."""
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    h = np.full(len(context), 42, np.uint64)
+    for x in (context, suffix):
+        h = h + (P5 + np.uint64(8)) ^ turned(x * P2, 31) * P1
+        h = turned(h, 27) * P1 + P4
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    spot = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[spot >> np.uint64(3)] >> (np.uint64(7) - (spot & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A bit array of the column ``key``; tasks fill it, its size is bounded."""
+    return bit_arrays(keys.select(F.col("key").alias("anchor"), F.lit(2).alias("n")))["any"]
 
 
 def found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -67,25 +113,6 @@ def found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[place] == keys, place, -1)
 
 
-class Sequences:
-    """Numbers the frequent sequences that end at each token: level 0 are words, level k are k + 1 words."""
-
-    def __init__(self, symbols: np.ndarray, levels: list[np.ndarray]):
-        self.symbols, self.levels = symbols, levels
-
-    def keys(self, tokens: Tokens, past: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Key of the sequence before a token and the token; -1 where either is not frequent."""
-        past = tokens.before(past)
-        return np.where((past >= 0) & (word >= 0), (past << SHIFT) | word, -1)
-
-    def of(self, tokens: Tokens) -> list[np.ndarray]:
-        distinct, back = np.unique(tokens.hashes, return_inverse=True)
-        out = [found(self.symbols, distinct)[back]]
-        for table in self.levels:
-            out.append(found(table, self.keys(tokens, out[-1], out[0])))
-        return out
-
-
 def training(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string"))
 
@@ -103,29 +130,105 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return stored(training(docs).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
-def sequence_counts(docs: DataFrame, sequences: Sequences, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and counts of the sequences one word longer than the longest known ones that occur ``least`` times."""
-    shared = docs.sparkSession.sparkContext.broadcast(sequences)  # at most 1 / MIN_SHARE keys for each length
+def sequence_counts(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """key, ctx, suf, c of the sequences one word longer than the last filter's that occur MIN_COUNT times in training text."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most MAX_BITS for each length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, known = Reader(lower=True), shared.value
+        reader, filters, held = Reader(lower=True), shared.value, []
         for batch in batches:
             for _, words in reader.slices(batch.column(0)):
-                tokens = Tokens(words)
-                levels = known.of(tokens)
-                keys = known.keys(tokens, levels[-1], levels[0])
-                keys, counts = np.unique(keys[keys >= 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
-
-    counted = training(docs).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    table = counted.toArrow()  # at most 1 / MIN_SHARE rows
-    keys, counts = table.column("key").to_numpy(), table.column("c").to_numpy()
+                keys, good = Tokens(words).sequences(filters)
+                at = np.flatnonzero(good[-1])
+                held.append((keys[-1][at], keys[-2][at - 1], keys[-2][at]))
+                if sum(len(own) for own, *_ in held) >= COUNTED_AT_ONCE:
+                    yield counted(held)
+                    held = []
+        if held:
+            yield counted(held)
+
+    def counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, ctx, suf = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        columns = (ctx[first].view(np.int64), suf[first].view(np.int64), counts.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["ctx", "suf", "c"])
+
+    sums = training(docs).mapInArrow(run, "ctx long, suf long, c long").groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
+    return stored(sums.where(F.col("c") >= MIN_COUNT).select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "suf", "c"), "sequences")
+
+
+def release(docs: DataFrame) -> None:
+    """Shuffle files of finished steps go when the driver's JVM collects garbage, which it would not do for long."""
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """key, weight, c of the sequences that change a score, and the filters of frequent sequences by length.
+
+    In logarithms, ``below`` is what the states that end a context keep for other words, without the context itself, and ``value``
+    what a sequence's last word gets at its longest state, less what that state and those below keep. A word is then given the
+    ``value`` of the longest frequent sequence plus what the states of its past keep. Both are telescoped: a weight is the difference
+    to the sequence's suffix, so that nobody has to know which sequence is the longest.
+    """
+    level = stored(vocabulary.where(F.col("c") >= MIN_COUNT).select(
+        F.col("word").alias("key"), "c", F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("value"), F.lit(0.0).alias("below")
+    ), "root")
+    filters, parts = [], []
+    for depth in range(1, DEPTH + 1):
+        filters.append(bits_of(level))
+        longer, rows = sequence_counts(docs, filters), level.count()
+        release(docs)
+        of = level.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("below").alias("kept"))
+        suffix = level.select(F.col("key").alias("suf"), F.col("value").alias("short"))
+        joined = join_counted(longer, of, ["ctx"], "inner", rows, F.col("key"))
+        joined = stored(join_counted(joined, suffix, ["suf"], "inner", rows, F.col("key")), "next-words")
+        p, q = F.col("c") / F.col("total"), F.pow(F.lit(10.0), F.col("kept") + F.col("short"))
+        sums = joined.groupBy("ctx").agg(
+            F.first("total").alias("total"), F.first("kept").alias("kept"), F.count("*").alias("follow"), F.sum("c").alias("own"),
+            F.greatest(1.0 - F.sum("c") / F.first("total"), F.lit(1e-12)).alias("rest"),
+            F.greatest(1.0 - F.sum(q), F.lit(1e-12)).alias("rest_below"), F.sum(p * F.ln(p / q)).alias("told"),
+        )
+        divergence = F.col("told") + F.col("rest") * F.ln(F.col("rest") / F.col("rest_below"))
+        size = F.col("total") + F.col("follow") + 1
+        states = stored(sums.where(divergence >= MIN_DIVERGENCE).select(
+            "ctx", F.log10((1.0 - F.col("own") / size) / F.col("rest_below")).alias("left"), size.alias("size"), "total"
+        ), "states")
+        count = states.count()
+        parts.append(states.select(F.col("ctx").alias("key"), F.col("left").alias("weight"), F.col("total").alias("c")))
+        held = join_counted(joined, states.select("ctx", "left", "size"), ["ctx"], "left", count, F.col("key"))
+        own = F.log10(F.col("c") / F.col("size")) - F.col("left") - F.col("kept")
+        held = held.select("key", "suf", "c", F.coalesce(own, "short").alias("value"), F.coalesce(own - F.col("short"), F.lit(0.0)).alias("weight"))
+        if depth < DEPTH:
+            keeps = level.select(F.col("key").alias("suf"), "below").join(states.select(F.col("ctx").alias("suf"), "left"), "suf", "left")
+            keeps = stored(keeps.select("suf", (F.col("below") + F.coalesce("left", F.lit(0.0))).alias("below")), "kept")
+            held = join_counted(held, keeps, ["suf"], "inner", rows, F.col("key"))
+        level = stored(held.drop("suf"), "level")
+        parts.append(level.select("key", "weight", "c"))
+        release(docs)
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    table = table.where("weight <> 0").groupBy("key").agg(F.sum("weight").alias("weight"), F.max("c").alias("c"))
+    return stored(table, "weights"), filters
+
+
+def head_of(table: DataFrame) -> tuple[DataFrame, int]:
+    """The most frequent rows, at most HEAD_ROWS, and their least ``c``."""
+    bounds = [1 << k for k in range(48)]
+    sizes = table.agg(*[F.count_if(F.col("c") >= b).alias(f"b{k}") for k, b in enumerate(bounds)]).first()
+    least = next(b for k, b in enumerate(bounds) if sizes[f"b{k}"] <= HEAD_ROWS)
+    return table.where(F.col("c") >= least), least
+
+
+def sorted_head(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    held = table.select(key, value).toArrow()  # at most HEAD_ROWS rows
+    keys, values = held.column(key).to_numpy().view(np.uint64), held.column(value).to_numpy()
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], values[order]
 
 
 class Tree:
-    """States by level: for each sequence whether it is a state, the log10 of what its missing words keep, and log10 of each last word."""
+    """The same tree in memory, for small tables. States by level: for each sequence whether it is a state, the log10 of what its missing words keep, and log10 of each last word."""
 
     def __init__(self, counts: list[np.ndarray], levels: list[np.ndarray], root: np.ndarray):
         """``counts[k]``: of the sequences of level k; ``levels[k - 1]``: their keys; ``root``: probability of each frequent word."""
@@ -178,20 +281,6 @@ class Tree:
             factor, state = factor * left, below
         return factor * float(root[word])
 
-    def scores(self, tokens: Tokens, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the log10 gathered at states, and whether the root still has to give the word's own."""
-        total, open_ = np.zeros(len(tokens.hashes)), np.ones(len(tokens.hashes), bool)
-        for level in range(len(self.is_state) - 1, -1, -1):
-            if not self.is_state[level].any():
-                continue
-            past = tokens.before(levels[level])
-            here = np.flatnonzero(open_ & (past >= 0))
-            here = here[self.is_state[level][past[here]]]
-            word = levels[level + 1][here]
-            total[here] += np.where(word >= 0, self.last[level + 1][word], self.left[level][past[here]])
-            open_[here[word >= 0]] = False
-        return total, open_
-
 
 def log10_root(c, n: int, v: int):
     return np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
@@ -201,29 +290,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     vocabulary = word_counts(docs)
-    bounds = [1 << k for k in range(48)]
-    sizes = vocabulary.agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") >= b).alias(f"b{k}") for k, b in enumerate(bounds)]
-    ).first()
+    sizes = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = sizes["n"] or 0, sizes["v"]
-    head_least = next(b for k, b in enumerate(bounds) if sizes[f"b{k}"] <= HEAD_ROWS)
-    least = max(MIN_COUNT, math.ceil(MIN_SHARE * n))
-    head_least = min(head_least, least)  # at most 1 / MIN_SHARE words lie above either
-    head = vocabulary.where(F.col("c") >= head_least).toArrow()
-    words, counts = head.column("word").to_numpy().view(np.uint64), head.column("c").to_numpy()
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    often = counts >= least
-    sequences, grams = Sequences(words[often], []), [counts[often]]
-    for _ in range(DEPTH):
-        keys, found_counts = sequence_counts(docs, sequences, least)
-        sequences = Sequences(sequences.symbols, [*sequences.levels, keys])
-        grams.append(found_counts)
-    tree = Tree(grams, sequences.levels, 10 ** log10_root(grams[0], n, v))
-    shared = docs.sparkSession.sparkContext.broadcast((words, counts, sequences, tree))  # at most HEAD_ROWS words
+    table, filters = weights(docs, vocabulary, n, v)
+    head, head_least = head_of(vocabulary)
+    top, top_least = head_of(table)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (*sorted_head(head, "word", "c"), *sorted_head(top, "key", "weight"), filters, bits_of(table))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, sequences, tree = shared.value
+        words, counts, top, weight, filters, weighted = shared.value
         root, reader = log10_root(counts, n, v), Reader(lower=True)
         for batch in batches:
             row = 0
@@ -233,28 +310,43 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 place = found(words, distinct)[back]
                 in_head = place >= 0
                 base = np.where(in_head, root[place] if len(root) else 0.0, 0.0)
-                gathered, open_ = tree.scores(tokens, sequences.of(tokens))
+                gathered, rest, rest_at = np.zeros(len(tokens.hashes)), [], []
+                for keys, good in zip(*tokens.sequences(filters), strict=True):
+                    at = np.flatnonzero(good)
+                    at = at[among(weighted, keys[at])]
+                    hit = found(top, keys[at])
+                    if len(top):
+                        gathered[at] += np.where(hit >= 0, weight[hit], 0.0)
+                    rest.append(keys[at[hit < 0]])
+                    rest_at.append(at[hit < 0])
+                rest, rest_at = np.concatenate(rest), np.concatenate(rest_at)
+                order = np.argsort(rest_at, kind="stable")
+                rest, edges = rest[order], np.searchsorted(rest_at[order], tokens.first)
                 cuts = tokens.first[:-1]
-                totals = [np.add.reduceat(x, cuts) for x in (in_head.astype(np.int64), base, gathered + np.where(open_, base, 0.0))]
-                tails, times = [], []
-                for low, high in zip(tokens.first[:-1], tokens.first[1:], strict=True):
-                    rare, many = np.unique(tokens.hashes[low:high][~in_head[low:high]], return_counts=True)
-                    tails.append(rare.view(np.int64))
-                    times.append(many.astype(np.int32))
+                totals = [np.add.reduceat(x, cuts) for x in (in_head.astype(np.int64), base, gathered + base)]
+                tails, times, others = [], [], []
+                for k, (low, high) in enumerate(zip(tokens.first[:-1], tokens.first[1:], strict=True)):
+                    for keys, out in ((tokens.hashes[low:high][~in_head[low:high]], tails), (rest[edges[k] : edges[k + 1]], others)):
+                        rare, many = np.unique(keys, return_counts=True)
+                        out.append(rare.view(np.int64))
+                        times.append(many.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, slice_.count), batch.column(1).slice(row, slice_.count),
                      pa.array(np.diff(tokens.first), pa.int64()), *[pa.array(t) for t in totals],
-                     pa.array(tails, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "sum", "rare", "times"],
+                     pa.array(tails, pa.list_(pa.int64())), pa.array(times[::2], pa.list_(pa.int32())),
+                     pa.array(others, pa.list_(pa.int64())), pa.array(times[1::2], pa.list_(pa.int32()))],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "sum", "rare", "times", "others", "other_times"],
                 )
                 row += slice_.count
 
     scored = stored(
         docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-            run, "doc_id long, held_out boolean, n_tokens long, known long, base double, sum double, rare array<long>, times array<int>"
+            run, "doc_id long, held_out boolean, n_tokens long, known long, base double, sum double, rare array<long>, times array<int>, "
+            "others array<long>, other_times array<int>"
         ).withColumn("row", F.monotonically_increasing_id()), "scores",
     )
-    # words that are not among the most frequent have few training places each, so no key of this join is large
+    release(docs)
+    # words and sequences that are not among the most frequent have few training places each, so no key of these joins is large
     rare = scored.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
     rare = rare.join(vocabulary.where(F.col("c") < head_least), "word", "left")
     c = F.coalesce("c", F.lit(0))
@@ -262,8 +354,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10((c + F.lit(0.5)) / F.lit(n + 0.5 * (v + 1)))).alias("rest"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rest_known"),
     )
+    others = scored.select("row", F.inline(F.arrays_zip(F.col("others").alias("key"), F.col("other_times").alias("times"))))
+    others = others.join(table.where(F.col("c") < top_least), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("more"))
     rest = F.coalesce("rest", F.lit(0.0))
-    return scored.drop("rare", "times").join(below, "row", "left").select(
+    return scored.drop("rare", "times", "others", "other_times").join(below, "row", "left").join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("sum") + rest).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"),
+        (F.col("sum") + rest + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

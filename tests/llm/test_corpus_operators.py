@@ -270,3 +270,62 @@ def test_surrogates_are_distinct_and_checked(spark, monkeypatch):
     assert failed.count() == 29
     out = [r.text for r in surrogates.with_surrogates(table).collect()]
     assert len(set(out)) == 30
+
+
+def scores_by_hand(rows, held):
+    """Root and tree over counted tuples, every word at the longest state of its past."""
+    counts = Counter()
+    texts = [[*words(t, lower=True), None] for _, t in rows]
+    for (i, _), tokens in zip(rows, texts, strict=True):
+        if not held(i):
+            for k in range(len(tokens)):
+                counts.update(tuple(tokens[k - m : k + 1]) for m in range(min(k, suffix_tree_lm.DEPTH) + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    root = lambda w: (counts[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+    follow: dict = {}
+    for g, c in counts.items():
+        if len(g) > 1 and c >= suffix_tree_lm.MIN_COUNT:
+            follow.setdefault(g[:-1], {})[g[-1]] = c
+    states: dict = {}
+
+    def chance(past, w):
+        for k in range(len(past)):
+            if past[k:] in states:
+                stored, left = states[past[k:]]
+                return stored[w] if w in stored else left * chance(past[k + 1 :], w)
+        return root(w)
+
+    for s in sorted(follow, key=len):
+        own, total = follow[s], counts[s]
+        q = {w: chance(s[1:], w) for w in own}
+        rest, below = max(1 - sum(own.values()) / total, 1e-12), max(1 - sum(q.values()), 1e-12)
+        if sum(c / total * math.log(c / total / q[w]) for w, c in own.items()) + rest * math.log(rest / below) >= suffix_tree_lm.MIN_DIVERGENCE:
+            size = total + len(own) + 1
+            states[s] = ({w: c / size for w, c in own.items()}, (1 - sum(own.values()) / size) / below)
+    return [
+        sum(math.log10(chance(tuple(ts[max(0, k - suffix_tree_lm.DEPTH) : k]), w)) for k, w in enumerate(ts)) for ts in texts
+    ]
+
+
+@pytest.mark.parametrize("head", [suffix_tree_lm.HEAD_ROWS, 20])
+def test_tree_grows_with_the_corpus(spark, monkeypatch, head):
+    """Passages that occur a few times in many training words are states, at any size of the corpus."""
+    monkeypatch.setattr(suffix_tree_lm, "HEAD_ROWS", head)
+    rng = random.Random(11)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    passages = [[f"w{rng.randrange(3000)}" for _ in range(8)] for _ in range(40)]
+    rows = []
+    for k in range(260):
+        free = [f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(900)]
+        rows.append((k, " ".join([*free, *passages[k % 40], *free[:20]])))
+    got = {r.doc_id: r for r in suffix_tree_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].train_tokens > 2 * 80_000
+    for (i, _), want in zip(rows, scores_by_hand(rows, held), strict=True):
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+
+
+def test_sequence_keys(spark):
+    pairs = [(1, 2), (-5, 7), (2**62, -(2**63))]
+    table = spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", "xxhash64(a, b) AS h").collect()
+    a, b = (np.array([r[k] for r in table], np.int64).view(np.uint64) for k in (0, 1))
+    assert suffix_tree_lm.pair_key(a, b).view(np.int64).tolist() == [r.h for r in table]
