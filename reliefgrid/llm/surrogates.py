@@ -7,7 +7,9 @@ which carries gender in most languages. So equal values get equal surrogates in
 combination, and different values get different ones.
 
 What a permutation cannot exclude is checked over the distinct values of all documents: a value must not stay as it is, no two values
-may share a surrogate, and a surrogate should not be a value that some document holds. Values that fail are keyed again.
+may share a surrogate, and a surrogate should not be a value that some document holds. Values that fail are keyed again. Those that still
+fail after ATTEMPTS keys, as where nearly all values of a shape occur, are ranked by shape and joined to surrogates of that shape that
+are free, or of a longer one where none is. A secret without a letter or digit, such as a masked password, is none.
 
 Defined results: a null text stays null and has no entities; each row is treated by itself, also when rows or ids repeat or ids are
 null; an empty table gives an empty table; all columns are handed on, whatever their names.
@@ -15,14 +17,18 @@ null; an empty table gives an empty table; all columns are handed on, whatever t
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from reliefgrid.llm.stored import stored
 
@@ -46,6 +52,7 @@ FIRST_NAMES = {
 #: Letters that stand for each other: vowels and consonants of each script, lower case.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "äöü", "àèù", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 DIGITS, HEX = "0123456789", "0123456789abcdef"
+CLASSES = {c: letters for letters in LETTERS for c in letters}
 
 _NAME = r"[^\W\d_]*[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][^\W\d_]+(?:-[^\W\d_]+)?"
 _TITLED = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
@@ -65,6 +72,25 @@ PATTERNS = [
 ]
 
 
+def known_sign(c: str) -> bool:
+    low = c.lower()
+    return c in DIGITS or c in (low, low.upper()) and low.upper().lower() == low and (low in CLASSES or low in "abcdefghijklmnopqrstuvwxyz")
+
+
+@functools.cache
+def generic(c: str) -> str:
+    """The signs that stand for a letter or digit of a script that LETTERS lacks: those of its kind in its block of 256."""
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd" or known_sign(c):
+        return ""
+    low = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(low, low + 256)) if unicodedata.category(x) == kind and not known_sign(x))
+
+
+def permutable(c: str) -> bool:
+    return known_sign(c) or len(generic(c)) > 1
+
+
 class Detector:
     def __init__(self):
         self.patterns = [(kind, re.compile(p), signs) for kind, p, signs in PATTERNS]
@@ -97,6 +123,8 @@ class Detector:
         if kind == "card":
             digits = [int(c) for c in value if c in DIGITS]
             return luhn(digits[:-1]) == digits[-1]
+        if kind == "secret":
+            return any(map(permutable, value))
         return kind != "iban" or iban_check(value) == value[2:4]
 
     @staticmethod
@@ -122,12 +150,19 @@ def iban_check(value: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def network(o: list[int]) -> int:
+    """Octets that say which network it is, for networks that are not public."""
+    if o[0] in (0, 10, 127) or o[0] >= 224:
+        return 1
+    return 2 if o[:2] in ([192, 168], [169, 254]) or o[0] == 172 and 16 <= o[1] < 32 else 0
+
+
 class Surrogates:
     """Keyed permutations by type and shape."""
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
-        self.classes = {c: letters for letters in LETTERS for c in letters}
+        self.classes = CLASSES
         self.genders = {name: group for group, names in FIRST_NAMES.items() for name in names}
 
     def stream(self, tweak: str, other: list[int], n: int) -> list[int]:
@@ -148,6 +183,21 @@ class Surrogates:
 
     def shaped(self, tweak: str, text: str, hexadecimal: bool = False, vowels: bool = False, keep: frozenset[int] = frozenset()) -> str:
         """The text with each sign replaced by one of its class; other signs and the places in ``keep`` stay."""
+        places, alphabets = self.alphabets(text, hexadecimal, vowels, keep)
+        shape = "".join("9" if c in DIGITS else "A" if c.isupper() else "a" for c in text)
+        values = [a.index(text[i] if text[i] in a else text[i].lower()) for i, a in zip(places, alphabets, strict=True)]
+        fresh = self.permuted(f"{tweak}|{'' if hexadecimal else shape}|{len(text)}", values, [len(a) for a in alphabets])
+        return self.put(text, places, alphabets, fresh)
+
+    @staticmethod
+    def put(text: str, places: list[int], alphabets: list[str], values: list[int]) -> str:
+        out = list(text)
+        for i, v, a in zip(places, values, alphabets, strict=True):
+            out[i] = a[v].upper() if text[i].isupper() and text[i] not in a else a[v]
+        return "".join(out)
+
+    def alphabets(self, text: str, hexadecimal: bool, vowels: bool, keep: frozenset[int]) -> tuple[list[int], list[str]]:
+        """The places whose sign is replaced, and the signs that each may get."""
         places, alphabets = [], []
         for i, c in enumerate(text):
             low = c.lower()
@@ -157,21 +207,82 @@ class Surrogates:
                 alphabet = HEX
             elif c in DIGITS:
                 alphabet = DIGITS
+            elif not known_sign(c):
+                alphabet = generic(c)
             elif not vowels and "a" <= low <= "z":
                 alphabet = "abcdefghijklmnopqrstuvwxyz"
-            elif low in self.classes and low.upper().lower() == low:
-                alphabet = self.classes[low]
             else:
-                continue
-            places.append(i)
-            alphabets.append(alphabet)
-        shape = "".join("9" if c in DIGITS else "A" if c.isupper() else "a" for c in text)
-        values = [a.index(text[i].lower()) for i, a in zip(places, alphabets, strict=True)]
-        fresh = self.permuted(f"{tweak}|{'' if hexadecimal else shape}|{len(text)}", values, [len(a) for a in alphabets])
-        out = list(text)
-        for i, v, a in zip(places, fresh, alphabets, strict=True):
-            out[i] = a[v].upper() if text[i].isupper() else a[v]
-        return "".join(out)
+                alphabet = self.classes[low]
+            if alphabet:
+                places.append(i)
+                alphabets.append(alphabet)
+        return places, alphabets
+
+    def nth(self, kind: str, value: str, n: int) -> tuple[str | None, int]:
+        """The n-th value of the shape of a canonical value, and how many there are. None: of another sort, or there are no more."""
+        if kind == "ip":
+            octets = [int(x) for x in value.split(".")]
+            fixed = network(octets)
+            size = 256 ** (4 - fixed)
+            fresh = octets[:fixed] + [n // 256**k % 256 for k in range(3 - fixed, -1, -1)]
+            return ".".join(map(str, fresh)) if n < size and network(fresh) == fixed else None, size
+        tail, keep = "", frozenset()
+        if kind == "email":
+            value, _, top = value.rpartition(".")
+            tail = f".{top}"
+        elif kind == "phone":
+            keep = self.code(value)
+        elif kind == "iban":
+            keep = frozenset(range(4))
+        elif kind == "card":
+            keep = frozenset((0, len(value) - 1))
+        elif kind == "ip6":
+            keep = frozenset(range(4))
+        hexadecimal = kind == "ip6" or kind == "secret" and len(value) > 7 and all(c in HEX for c in value)
+        places, alphabets = self.alphabets(value, hexadecimal, kind == "name", keep)
+        size, values = math.prod(map(len, alphabets)), []
+        if n >= size:
+            return None, size
+        for a in reversed(alphabets):
+            n, v = divmod(n, len(a))
+            values.append(v)
+        fresh = self.put(value, places, alphabets, values[::-1])
+        if kind == "card":
+            fresh = fresh[:-1] + str(luhn([int(c) for c in fresh[:-1]]))
+        if kind == "iban":
+            fresh = fresh[:2] + iban_check(fresh) + fresh[4:]
+        return fresh + tail, size
+
+    @staticmethod
+    def longer(kind: str, value: str) -> str:
+        """A value of a shape that has more values, for one whose shape has none left."""
+        if kind == "ip":
+            if network([int(x) for x in value.split(".")]) == 0:
+                raise ValueError("no address is free")
+            return "1.0.0.0" if value.startswith("10.") else "10.0.0.0"
+        if kind == "card":
+            return value[:-1] + "0" + value[-1]
+        if kind in ("email", "secret"):
+            return "a" + value
+        return value + ("0" if kind in ("iban", "ssn", "phone") else "n")
+
+    @staticmethod
+    def spelled(kind: str, value: str, fresh: str) -> str:
+        """A canonical surrogate in the spelling of a mention."""
+        if kind == "card":
+            digits, out = list(fresh), []
+            for c in value:
+                out.append(digits.pop(0) if c in DIGITS else c)
+            return "".join(out + digits)
+        if kind == "email" and len(fresh) == len(value):
+            return "".join(b.upper() if a.isupper() else b for a, b in zip(value, fresh, strict=True))
+        return fresh
+
+    @staticmethod
+    def code(value: str) -> frozenset[int]:
+        """Places of the sign and the country code of a phone number."""
+        found = re.match(r"\+\d{1,3}(?=[ .(/-])|\+(?:1|7|\d\d)", value)
+        return frozenset(range(found.end() if found else 0))
 
     def of(self, kind: str, value: str, gender: str, attempt: int) -> str:
         tweak = f"{kind}|{attempt}"
@@ -180,8 +291,7 @@ class Surrogates:
         if kind == "card":
             return self.card(tweak, value)
         if kind == "phone":
-            code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-            return self.shaped(tweak, value, keep=frozenset(range(code.end() if code else 0)))
+            return self.shaped(tweak, value, keep=self.code(value))
         if kind == "email":
             user, _, domain = value.partition("@")
             labels, _, top = domain.rpartition(".")
@@ -204,18 +314,11 @@ class Surrogates:
 
     def address(self, tweak: str, value: str) -> str:
         octets = [int(x) for x in value.split(".")]
-
-        def kind(o: list[int]) -> int:
-            """Octets that say which network it is, for networks that are not public."""
-            if o[0] in (0, 10, 127) or o[0] >= 224:
-                return 1
-            return 2 if o[:2] in ([192, 168], [169, 254]) or o[0] == 172 and 16 <= o[1] < 32 else 0
-
-        fixed = kind(octets)
+        fixed = network(octets)
         fresh = octets
         while True:  # walks on until it is public again; private parts stay as they are
             fresh = octets[:fixed] + self.permuted(f"{tweak}|{fixed}|{octets[:fixed]}", fresh[fixed:], [256] * (4 - fixed))
-            if kind(fresh) == fixed:
+            if network(fresh) == fixed:
                 return ".".join(map(str, fresh))
 
     def name(self, tweak: str, value: str, gender: str) -> str:
@@ -263,7 +366,8 @@ def entity_values(docs: DataFrame) -> DataFrame:
 
 
 def failed_values(values: DataFrame, key: bytes = KEY) -> DataFrame | None:
-    """kind, value, attempt of the values whose first surrogate fails the checks; None where none does."""
+    """kind, value, attempt of the values whose first surrogate fails the checks, and ``fixed``, the surrogate of those that no key
+    gives one; None where none fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
@@ -287,20 +391,70 @@ def failed_values(values: DataFrame, key: bytes = KEY) -> DataFrame | None:
         if checked.where("bad").isEmpty():
             break
         if attempt == ATTEMPTS:
-            if not checked.where("wrong").isEmpty():
-                raise ValueError(f"values still share a surrogate after {ATTEMPTS} keys")
             break
         table = checked.select("kind", "value", "gender", F.when(F.col("bad"), attempt).otherwise(F.col("attempt")).cast("int").alias("attempt"))
-    again = made.where("attempt > 0").select("kind", "value", "attempt")
+    again = made.where("attempt > 0").select("kind", "value", "attempt").withColumn("fixed", F.lit(None).cast("string"))
+    wrong = checked.where("wrong").select("kind", "value")
+    if not wrong.isEmpty():
+        used = made.join(wrong, ["kind", "value"], "left_anti").select("kind", "surrogate")
+        fixed = free_surrogates(wrong, used.unionByName(values.select("kind", F.col("value").alias("surrogate"))), key)
+        again = again.join(wrong, ["kind", "value"], "left_anti").unionByName(
+            fixed.select("kind", "value", F.lit(ATTEMPTS).alias("attempt"), F.col("surrogate").alias("fixed"))
+        )
     return None if again.isEmpty() else again
 
 
+def free_surrogates(left: DataFrame, used: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, surrogate: for each value another one that is not in ``used`` (kind, surrogate), of its shape as long as that has any."""
+
+    def nth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Surrogates(key)
+        for batch in batches:
+            found = [made.nth(*row) for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([min(n, 1 << 62) for _, n in found], pa.int64())
+            ], names=["kind", "value", "surrogate", "size"])
+
+    def next_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Surrogates(key)
+        for batch in batches:
+            rows = []
+            for kind, value, shape, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at >= size:
+                    shape, at = made.longer(kind, shape), 0
+                    shape = made.nth(kind, shape, 0)[0] or shape
+                rows.append((kind, value, shape, at))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.string()] * 3, pa.int64()), strict=True)], names=names)
+
+    names, schema = ["kind", "value", "shape", "at"], "kind string, value string, surrogate string, size long"
+    left = left.select("kind", "value", F.lit(0).alias("n")).mapInArrow(nth, schema)
+    left = stored(left.select("kind", "value", F.coalesce("surrogate", "value").alias("shape"), F.lit(0).cast("long").alias("at")), "left")
+    done = None
+    while not left.isEmpty():
+        ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("kind", "shape").orderBy("value")))
+        groups = left.groupBy("kind", "shape").agg(F.min("at").alias("at"), (F.min("at") + 8 * F.count("*") + 64).alias("end"))
+        tried = groups.select("kind", F.col("shape").alias("value"), F.explode(F.sequence("at", F.col("end") - 1)).alias("n")).mapInArrow(nth, schema)
+        tried = stored(tried.withColumnRenamed("value", "shape"), "tried")
+        free = tried.where("surrogate IS NOT NULL").dropDuplicates(["kind", "surrogate"]).join(used, ["kind", "surrogate"], "left_anti")
+        free = free.withColumn("rank", F.row_number().over(W.partitionBy("kind", "shape").orderBy("surrogate")))
+        given = stored(ranked.join(free, ["kind", "shape", "rank"]).select("kind", "value", "surrogate"), "given")
+        done = given if done is None else done.unionByName(given)
+        used = used.unionByName(given.select("kind", "surrogate"))
+        sizes = tried.groupBy("kind", "shape").agg(F.max("size").alias("size"))
+        rest = left.drop("at").join(given, ["kind", "value"], "left_anti").join(groups, ["kind", "shape"]).join(sizes, ["kind", "shape"])
+        left = stored(rest.select("kind", "value", "shape", F.col("end").alias("at"), "size").mapInArrow(
+            next_shape, "kind string, value string, shape string, at long"
+        ), "left")
+    return done
+
+
 def with_surrogates(docs: DataFrame, key: bytes = KEY, count_column: str | None = None) -> DataFrame:
     """The documents with surrogates in ``text``, in all their columns; n_chars, where there is one, is counted anew."""
     failed = failed_values(entity_values(docs), key)
     at = docs.columns.index("text")
     text = docs["text"].cast("string")
-    again = F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>")
+    again = F.lit(None).cast("array<struct<kind:string,value:string,attempt:int,fixed:string>>")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), text.alias("text"), again.alias("again"))
     if failed is not None:
         rows = _with_failed(rows.drop("again"), failed)
@@ -310,12 +464,13 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, count_column: str | None
         for batch in batches:
             texts, counts = [], []
             for text, again in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                attempts = {(x["kind"], x["value"]): x["attempt"] for x in again or ()}
+                attempts = {(x["kind"], x["value"]): (x["attempt"], x["fixed"]) for x in again or ()}
                 found = detector.find(text) if text else []
                 out, last = [], 0
                 for a, b, kind, gender in found:
                     value = text[a:b]
-                    out += [text[last:a], made.of(kind, value, gender, attempts.get((kind, canonical(kind, value)), 0))]
+                    attempt, fixed = attempts.get((kind, canonical(kind, value)), (0, None))
+                    out += [text[last:a], made.spelled(kind, value, fixed) if fixed else made.of(kind, value, gender, attempt)]
                     last = b
                 texts.append("".join([*out, text[last:]]) if found else text)
                 counts.append(len(found))
@@ -352,6 +507,6 @@ def _with_failed(rows: DataFrame, failed: DataFrame) -> DataFrame:
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
     mentions = keyed.select("text_key", "text").mapInArrow(run, "text_key long, kind string, value string").distinct()
     again = mentions.join(failed, ["kind", "value"]).groupBy("text_key").agg(
-        F.collect_list(F.struct("kind", "value", "attempt")).alias("again")  # the failed values of one text
+        F.collect_list(F.struct("kind", "value", "attempt", "fixed")).alias("again")  # the failed values of one text
     )
     return keyed.join(again, "text_key", "left").select("d", "text", "again")

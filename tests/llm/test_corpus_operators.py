@@ -329,3 +329,20 @@ def test_sequence_keys(spark):
     table = spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", "xxhash64(a, b) AS h").collect()
     a, b = (np.array([r[k] for r in table], np.int64).view(np.uint64) for k in (0, 1))
     assert suffix_tree_lm.pair_key(a, b).view(np.int64).tolist() == [r.h for r in table]
+
+
+def test_values_that_no_key_helps(spark):
+    """Masked passwords are none; unknown scripts are replaced; where all values of a shape occur, what is left gets free surrogates."""
+    names = [f"Mr. {c}{v}" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]
+    texts = ["password: ********", "token: ------ secret: ......", "password: 密碼文字測試", "password: пароль王", *names]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n) for r in surrogates.with_surrogates(table, count_column="n").collect()}
+    assert [out[k] for k in (0, 1)] == [(texts[0], 0), (texts[1], 0)]
+    for k in (2, 3):
+        assert out[k][1] == 1 and out[k][0] != texts[k] and len(out[k][0]) == len(texts[k])
+    fresh = [out[k][0] for k in range(4, len(texts))]
+    assert len(set(fresh)) == len(names) and not any(a == b for a, b in zip(fresh, names, strict=True))
+    left = spark.createDataFrame([("ssn", "123-45-6789"), ("ssn", "123-45-6780"), ("name", "Ba")], "kind string, value string")
+    used = spark.createDataFrame([("ssn", "000-00-0000")] + [("name", x[4:]) for x in names], "kind string, surrogate string")
+    got = {r.value: r.surrogate for r in surrogates.free_surrogates(left, used, b"k").collect()}
+    assert sorted(got.values())[:2] == ["000-00-0001", "000-00-0002"] and len(got["Ba"]) == 3
