@@ -37,11 +37,12 @@ HEADER = 2
 
 
 def url_host(url: Column) -> Column:
-    return F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(url, r"(?s)^(?>.*?://)([^/?#]*)", 1), UPPER, LOWER)
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    """Of what follows the first ``://``: the group is atomic, so a later one is never tried."""
+    return F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1)
 
 
 class DigestArray:

@@ -108,6 +108,15 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, rules=[], blocked=[]).collect()} == {"allow"}
 
 
+def test_url_in_a_query(spark):
+    """A second :// after ? or # is no scheme: the path of such a url is empty."""
+    urls = ["http://a.net?u=http://b.org/en/x", "http://a.com#http://b.net/de/", "http://a.net/?u=http://b.org/en/x", "http://a.com?u=http://b.net"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+    assert got == {(i, *url_by_hand(u, url_filter.RULES, url_filter.BLOCKED)) for i, u in enumerate(urls)}
+    assert {r[2] for r in got} == {"", "/"}
+
+
 def test_digest_collision(tmp_path, monkeypatch):
     """Entries that share a digest are told apart by their strings."""
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
