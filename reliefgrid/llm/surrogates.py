@@ -4,7 +4,8 @@ Every surrogate is a keyed permutation of the values of its own shape: digits st
 case, vowels stay vowels in names, separators stay where they are, card numbers keep their check digit's validity, addresses stay
 public or private. Known first names are permuted within the names of their script and gender; other first names keep their ending,
 which carries gender in most languages. So equal values get equal surrogates in all documents, name parts keep theirs in any
-combination, and different values get different ones.
+combination, and different values get different ones. Names have any number of parts, with initials and particles; further mentions of
+their parts in the document, without a title or cue, get the same surrogates.
 
 What a permutation cannot exclude is checked over the distinct values of all documents: a value must not stay as it is, no two values
 may share a surrogate, and a surrogate should not be a value that some document holds. Values that fail are keyed again. Those that still
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import math
 import re
 import unicodedata
@@ -55,6 +57,9 @@ DIGITS, HEX = "0123456789", "0123456789abcdef"
 CLASSES = {c: letters for letters in LETTERS for c in letters}
 
 _NAME = r"[^\W\d_]*[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][^\W\d_]+(?:-[^\W\d_]+)?"
+_PARTICLE = r"(?:von|van|vom|zu|zur|der|den|dem|de|del|della|di|da|dos|du|la|le|ten|ter|bin|al)"
+_INITIAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]\."
+_NAMES = rf"(?:{_PARTICLE} |{_INITIAL} ?)*{_NAME}(?: (?:{_INITIAL} ?|{_PARTICLE} )*{_NAME})*"
 _TITLED = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 #: kind, pattern, signs of which a text must have one; the group ``v`` is what is replaced. Earlier kinds win where two overlap.
 PATTERNS = [
@@ -64,11 +69,12 @@ PATTERNS = [
     ("email", r"(?P<v>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", ("@",)),
     ("iban", r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b", DIGITS),
     ("ip", r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d.]*\d)", DIGITS),
-    ("card", r"(?<![\d.+-])(?P<v>(?:[3-6]\d|2[2-7])\d{2}(?:[ -]?\d{4}){2}[ -]?\d{1,4})(?![\d-]|\.\d)", DIGITS),
+    ("ip6", r"(?<![\w:.])(?P<v>(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:]|\.\d)", DIGITS),
+    ("card", r"(?<![\d.+-])(?P<v>(?:[3-6]\d|2[2-7])\d{2}(?:[ -]?\d{4}){2}[ -]?\d{1,4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-]|\.\d)", DIGITS),
     ("ssn", r"(?<![\d-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d-])", DIGITS),
-    ("phone", r"(?<![\w.+-])(?P<v>\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d{3,4}){2}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])", DIGITS),
-    ("name", rf"(?<!\w)(?:{_TITLED}) (?P<v>{_NAME}(?: {_NAME})?)", tuple(t for ts in TITLES.values() for t in ts)),
-    ("name", rf"(?<!\w)(?:{'|'.join(map(re.escape, CUES))}) (?P<v>{_NAME}(?: {_NAME})?)", tuple(CUES)),
+    ("phone", r"(?<![\w.+-])(?P<v>\+\(?\d(?:[ .()/-]{0,2}\d){6,14}|(?:1[-. ])?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4})(?!\w|-\w)", DIGITS),
+    ("name", rf"(?<!\w)(?:{_TITLED}) (?P<v>{_NAMES})", tuple(t for ts in TITLES.values() for t in ts)),
+    ("name", rf"(?<!\w)(?:{'|'.join(map(re.escape, CUES))}) (?P<v>{_NAMES})", tuple(CUES)),
 ]
 
 
@@ -91,6 +97,28 @@ def permutable(c: str) -> bool:
     return known_sign(c) or len(generic(c)) > 1
 
 
+PARTICLE = re.compile(_PARTICLE)
+
+
+def further_mentions(text: str, spans: list[tuple[int, int]], parts: dict[str, str]) -> list[tuple[int, int, str]]:
+    """(start, end, surrogate) of the name parts that the text mentions again outside of the spans."""
+    if not parts:
+        return []
+    last, rest = 0, []
+    for low, high in spans:
+        rest += [text[last:low], "\0" * (high - low)]
+        last = high
+    longest = sorted(map(re.escape, parts), key=len, reverse=True)
+    found = re.finditer(rf"(?<!\w)(?:{'|'.join(longest)})(?!\w)", "".join([*rest, text[last:]]))
+    return [(*m.span(), parts[m.group()]) for m in found]
+
+
+def name_parts(value: str, fresh: str) -> dict[str, str]:
+    """The surrogate of each part of a name, without particles and initials."""
+    pairs = zip(value.split(" "), fresh.split(" "), strict=True)
+    return {a: b for a, b in pairs if not PARTICLE.fullmatch(a) and not a.endswith(".")}
+
+
 class Detector:
     def __init__(self):
         self.patterns = [(kind, re.compile(p), signs) for kind, p, signs in PATTERNS]
@@ -123,6 +151,11 @@ class Detector:
         if kind == "card":
             digits = [int(c) for c in value if c in DIGITS]
             return luhn(digits[:-1]) == digits[-1]
+        if kind == "ip6":
+            try:
+                return ipaddress.IPv6Address(value) is not None and any(c in DIGITS for c in value)
+            except ValueError:
+                return False
         if kind == "secret":
             return any(map(permutable, value))
         return kind != "iban" or iban_check(value) == value[2:4]
@@ -262,6 +295,8 @@ class Surrogates:
             return "1.0.0.0" if value.startswith("10.") else "10.0.0.0"
         if kind == "card":
             return value[:-1] + "0" + value[-1]
+        if kind == "ip6":
+            return f"{int(value[:4], 16) + 1 & 0xFFFF:04x}{value[4:]}"  # the next network
         if kind in ("email", "secret"):
             return "a" + value
         return value + ("0" if kind in ("iban", "ssn", "phone") else "n")
@@ -274,6 +309,9 @@ class Surrogates:
             for c in value:
                 out.append(digits.pop(0) if c in DIGITS else c)
             return "".join(out + digits)
+        if kind == "ip6":
+            fresh = fresh if len(value) == 39 else ipaddress.IPv6Address(fresh).compressed
+            return fresh.upper() if value != value.lower() else fresh
         if kind == "email" and len(fresh) == len(value):
             return "".join(b.upper() if a.isupper() else b for a, b in zip(value, fresh, strict=True))
         return fresh
@@ -288,6 +326,9 @@ class Surrogates:
         tweak = f"{kind}|{attempt}"
         if kind == "ip":
             return self.address(tweak, value)
+        if kind == "ip6":
+            whole = ipaddress.IPv6Address(value).exploded  # the first group says which network it is
+            return self.spelled(kind, value, self.shaped(tweak, whole, hexadecimal=True, keep=frozenset(range(4))))
         if kind == "card":
             return self.card(tweak, value)
         if kind == "phone":
@@ -326,6 +367,9 @@ class Surrogates:
         parts = value.split(" ")
         out = []
         for part in parts:
+            if PARTICLE.fullmatch(part):
+                out.append(part)
+                continue
             group = self.genders.get(part)
             if group and (gender in ("n", group[1]) or part in FIRST_NAMES[group]):
                 names = FIRST_NAMES[group]
@@ -343,6 +387,8 @@ def canonical(kind: str, value: str) -> str:
     """What two mentions of one value have in common."""
     if kind == "email":
         return value.lower()
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
     if kind == "card":
         return "".join(c for c in value if c in DIGITS)
     return value
@@ -466,14 +512,20 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, count_column: str | None
             for text, again in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 attempts = {(x["kind"], x["value"]): (x["attempt"], x["fixed"]) for x in again or ()}
                 found = detector.find(text) if text else []
-                out, last = [], 0
+                fresh, parts = [], {}
                 for a, b, kind, gender in found:
                     value = text[a:b]
                     attempt, fixed = attempts.get((kind, canonical(kind, value)), (0, None))
-                    out += [text[last:a], made.spelled(kind, value, fixed) if fixed else made.of(kind, value, gender, attempt)]
+                    fresh.append((a, b, made.spelled(kind, value, fixed) if fixed else made.of(kind, value, gender, attempt)))
+                    if kind == "name":
+                        parts = name_parts(value, fresh[-1][2]) | parts  # the first mention decides
+                fresh += further_mentions(text, [x[:2] for x in fresh], parts) if parts else []
+                out, last = [], 0
+                for a, b, value in sorted(fresh):
+                    out += [text[last:a], value]
                     last = b
                 texts.append("".join([*out, text[last:]]) if found else text)
-                counts.append(len(found))
+                counts.append(len(fresh))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["d", "fresh", "n"]
             )

@@ -346,3 +346,25 @@ def test_values_that_no_key_helps(spark):
     used = spark.createDataFrame([("ssn", "000-00-0000")] + [("name", x[4:]) for x in names], "kind string, surrogate string")
     got = {r.value: r.surrogate for r in surrogates.free_surrogates(left, used, b"k").collect()}
     assert sorted(got.values())[:2] == ["000-00-0001", "000-00-0002"] and len(got["Ba"]) == 3
+
+
+def test_entities_in_any_grouping(spark):
+    kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in surrogates.Detector().find(t)]
+    for number in ("+4915112345678", "+49 151 12345678", "+33 1 23 45 67 89", "555 123 4567", "1-800-555-1234", "(555) 123-4567"):
+        assert kinds(f"call {number}, please") == [("phone", number)]
+    assert kinds("+123456 and 12 555 1234") == []
+    assert kinds("card 3782 822463 10005.") == [("card", "3782 822463 10005")]
+    assert kinds("from 2001:db8::1f, 12:30:45 and std::vector") == [("ip6", "2001:db8::1f")]
+    for text, name in {
+        "Dr. Anna Maria Schmidt left": "Anna Maria Schmidt", "Mr. John F. Kennedy left": "John F. Kennedy", "Herr von Berg ging": "von Berg",
+        "Mrs. J. van der Berg Smith left": "J. van der Berg Smith",
+    }.items():
+        assert kinds(text) == [("name", name)]
+    texts = ["Dr. Gudrun Maria Schmidt came. Schmidt said, and Gudrun too; Schmidtchen not. ::1f 2001:db8::1f 2001:DB8:0::1F", "Schmidt said"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in surrogates.with_surrogates(table, count_column="n").collect()}
+    first, last, later, again = re.match(r"Dr\. (\w+) \w+ (\w+) came\. (\w+) said, and (\w+) too; Schmidtchen not\.", out[0].text).groups()
+    assert (first, last) == (again, later) and last != "Schmidt" and first != "Gudrun" and out[0].n == 6
+    a, b = out[0].text.split(" ")[-2:]
+    assert a.startswith("2001:") and a == b.lower() != "2001:db8::1f"
+    assert out[1].text == texts[1] and out[1].n == 0
