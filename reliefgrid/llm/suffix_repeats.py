@@ -1,4 +1,4 @@
-"""Repeated word sequences across and within documents, by prefix-partitioned suffix trees.
+"""Repeated word sequences across and within documents, by hashes of word windows dealt by their prefixes.
 
 Suffixes start at words. Only those whose next ``window`` words may occur twice matter; they are found by anchors: of the eight-word
 sequences in a window the one of least hash is its anchor, so equal windows have equal anchors, and a window whose anchor occurs once
@@ -6,9 +6,9 @@ in the corpus is unique. Anchors are a seventh of all positions; their counts be
 
 The suffixes that remain are dealt by a prefix of their words. Its length follows the anchor's count: eight words where these leave a
 group that fits in memory, the whole window where they do not, and for still larger groups the window with a salt, whose parts are
-merged afterwards. In a task the suffixes of a group come in order of their next words, so that runs of equal windows are the nodes
-of the group's subtree at depth ``window``. Of each such node the earliest suffix stays and the others are marked; neighbouring marks
-of a document that follow the same earlier place are one maximal repeat.
+merged afterwards. In a task the suffixes of a group come in order of their windows' 64-bit hashes; no words are compared and no
+hash is confirmed. Of each hash the earliest suffix stays and the others are marked. ``maximal_repeats`` joins neighbouring marks of a
+document, whichever earlier places they follow.
 
 Defined results: a null text has no words; texts shorter than a window have no windows; the earlier of two windows is that of the
 smaller doc_id, then of the earlier start; rows that repeat an id are taken in the order of their texts' hashes, and equal rows are one
@@ -276,7 +276,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, length in words of each maximal run of words that some earlier place also has."""
+    """doc_id, start, length in words of each run of neighbouring marks; its windows may follow different earlier places."""
     from pyspark.sql import Window as W
 
     marks = marked_suffixes(docs, window)
