@@ -11,7 +11,8 @@ Plan = Callable[[SparkSession, str], DataFrame]
 
 _MODULES = [
     "quality_lines", "url_filter", "packing", "bpe_count", "minmax_dedup", "mixing", "ball_tree", "suffix_repeats",
-    "suffix_tree_lm", "surrogates", "pipeline",
+    "suffix_tree_lm", "surrogates", "k2_treap",
+    "qd_whitening", "collision_links", "pipeline",
 ]
 
 
