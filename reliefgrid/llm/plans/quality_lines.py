@@ -26,21 +26,16 @@ WITH d AS (
   FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1
 ), repeats AS (SELECT r, sum(least({rules.WINDOW}, i - before)) AS n_repeat_words FROM rep GROUP BY r
 ), l AS (
-  SELECT r, host, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT r, host, text, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
     regexp_replace(regexp_replace(regexp_replace(translate(line, '{rules.UPPER}', '{rules.LOWER}'), '[0-9]+', '0', 'g'),
       '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS h
-  FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
+  FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r
-), around AS (
-  SELECT *, coalesce(lag(h) OVER o, chr(1)) || chr(2) || coalesce(lead(h) OVER o, chr(1)) AS near,
-    row_number() OVER (PARTITION BY r, h ORDER BY i) AS nth
-  FROM l WINDOW o AS (PARTITION BY r ORDER BY i)
-), hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host
+), hosts AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host
 ), common AS (
-  SELECT host, h FROM around JOIN hosts USING (host) WHERE nth = 1 GROUP BY host, h, host_docs
-  HAVING count(*) > {rules.MIN_DOCS} AND count(DISTINCT near) >= {rules.MIN_CONTEXT_SHARE} * count(*)
-    AND count(*) > {rules.MAX_HOST_SHARE} * host_docs
+  SELECT host, h FROM l JOIN hosts USING (host) GROUP BY host, h, host_docs
+  HAVING count(DISTINCT text) > {rules.MIN_DOCS} AND count(DISTINCT text) > {rules.MAX_HOST_SHARE} * host_docs
 ), gone AS (SELECT r, sum(n) AS n_removed FROM l JOIN common USING (host, h) GROUP BY r
 ), f AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,

@@ -3,8 +3,8 @@
 Normalised lines are hashed; for each host the documents that carry a line are counted, and lines above the host's limit are
 removed. A document of which too little is left is rejected. Everything is a DataFrame expression.
 
-A line counts as common only where the documents around it differ: at least ``min_context_share`` as many pairs of neighbour lines
-as documents. Copies of one document share their lines with the same neighbours, and are left to near-duplicate removal.
+Documents of equal text are counted once for a line, and once for their host: exact copies do not make a line common. Nothing else
+exempts a line, so headers of several lines go whole.
 
 Defined results: a null text or host is an empty one; a text without words fails the base rules; each row is one document, also
 when rows repeat or share an id; an empty table gives an empty table; columns other than ``doc_id``, ``text`` and ``source`` are
@@ -27,8 +27,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_DOCS = 5
-MAX_HOST_SHARE = 0.005
-MIN_CONTEXT_SHARE = 0.5
+MAX_HOST_SHARE = 0.05
 MIN_LEFT_SHARE = 0.3
 
 
@@ -80,21 +79,12 @@ def worded_lines(text: Column) -> Column:
 
 
 def line_records(text: Column) -> Column:
-    """A record for each worded line: hash of its normal form, hash of its neighbours, number of words; first: no earlier same line."""
-
-    def records(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.struct(
-            x["h"].alias("h"), i.alias("i"), F.xxhash64(
-                F.coalesce(F.get(h, i - 1)["h"], F.lit(0)), F.coalesce(F.get(h, i + 1)["h"], F.lit(0))
-            ).alias("around"), x["n"].alias("n")
-        ))
-
+    """A record for each worded line: hash of its normal form, number of words; first: no earlier same line."""
     hashed = F.transform(worded_lines(text), lambda line: F.struct(
         F.xxhash64(normal_line(line)).alias("h"), F.size(words_of(line)).alias("n")
     ))
-    return let(F.sort_array(let(hashed, records)), lambda s: F.transform(s, lambda x, i: F.struct(
-        x["h"].alias("h"), x["around"].alias("around"), x["n"].alias("n"),
-        F.coalesce(F.get(s, i - 1)["h"] != x["h"], F.lit(True)).alias("first"),
+    return let(F.sort_array(hashed), lambda s: F.transform(s, lambda x, i: F.struct(
+        x["h"].alias("h"), x["n"].alias("n"), F.coalesce(F.get(s, i - 1)["h"] != x["h"], F.lit(True)).alias("first"),
     )))
 
 
@@ -115,30 +105,26 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(
-    lines: DataFrame, hosts: DataFrame, host_rows: int, min_docs: int, max_share: float, min_context_share: float
-) -> DataFrame:
-    """host, h of the lines that too many documents of their host carry. ``lines``: row, host, h, around, n, first."""
-    counted = (
-        lines.where("first").groupBy("host", "h", "around").agg(F.count("*").alias("docs"))
-        .groupBy("host", "h").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts"))
-        .where((F.col("docs") > min_docs) & (F.col("contexts") >= min_context_share * F.col("docs")))
-    )
-    limited = join_counted(counted, hosts, ["host"], "inner", host_rows, F.col("h"))
+def frequent_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """host, h of the lines that too many different documents of their host carry."""
+    # a text is counted once: by the first of its rows
+    texts = base.groupBy("key").agg(F.min("row").alias("row")).select("row")
+    different = base.join(texts, "row", "left_semi")
+    hosts = stored(different.groupBy("host").agg(F.count("*").alias("host_docs")), "hosts")
+    lines = different.select("host", F.inline("lines")).where("first")
+    counted = lines.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    limited = join_counted(counted, hosts, ["host"], "inner", hosts.count(), F.col("h"))
     return limited.where(F.col("docs") > max_share * F.col("host_docs")).select("host", "h")
 
 
 def quality_verdicts(
     docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_docs: int = MIN_DOCS,
-    max_share: float = MAX_HOST_SHARE, min_context_share: float = MIN_CONTEXT_SHARE, min_left_share: float = MIN_LEFT_SHARE,
+    max_share: float = MAX_HOST_SHARE, min_left_share: float = MIN_LEFT_SHARE,
 ) -> DataFrame:
     """One row for each document: its counts, base_failed, n_removed words, removed line hashes, kept; and key, to find the row again."""
     base = stored(base_counts(docs).withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = base.select("row", "host", F.inline("lines"))
-    hosts = base.groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = stored(
-        frequent_lines(lines, hosts, hosts.count(), min_docs, max_share, min_context_share), "common-lines"
-    )
+    common = stored(frequent_lines(base, min_docs, max_share), "common-lines")
     removed = (
         join_counted(lines, common, ["host", "h"], "inner", common.count(), F.col("row"))
         .groupBy("row").agg(F.sum("n").alias("n_removed"), F.collect_set("h").alias("removed"))

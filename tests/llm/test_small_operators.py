@@ -36,18 +36,10 @@ def normal(line):
 def quality_by_hand(rows):
     lines = [[line for line in (r.text or "").split("\n") if WORD.search(line)] for r in rows]
     normals = [[normal(line) for line in own] for own in lines]
-    hosts = Counter(r.source or "" for r in rows)
-    seen, around = Counter(), {}
-    for r, own in zip(rows, normals, strict=True):
-        for line in set(own):
-            k = own.index(line)
-            key = (r.source or "", line)
-            seen[key] += 1
-            around.setdefault(key, set()).add((own[k - 1] if k else None, own[k + 1] if k + 1 < len(own) else None))
-    common = {
-        k for k, n in seen.items()
-        if n > quality_lines.MIN_DOCS and n > quality_lines.MAX_HOST_SHARE * hosts[k[0]] and len(around[k]) >= quality_lines.MIN_CONTEXT_SHARE * n
-    }
+    different = {(r.source or "", r.text or ""): set(own) for r, own in zip(rows, normals, strict=True)}
+    hosts = Counter(host for host, _ in different)
+    seen = Counter((host, line) for (host, _), own in different.items() for line in own)
+    common = {k for k, n in seen.items() if n > quality_lines.MIN_DOCS and n > quality_lines.MAX_HOST_SHARE * hosts[k[0]]}
     out = []
     for r, own, norm in zip(rows, lines, normals, strict=True):
         ws = words(r.text)
@@ -81,6 +73,29 @@ def test_quality_applied(docs, rows):
     assert got.where("row != 'clash'").isEmpty()
 
 
+HEADER = "Home of good news and of things to buy\nAbout us, our shops, our people\nContact: call 555 1234 or come by"
+
+
+def test_boilerplate_of_several_lines(spark):
+    """A header of three lines goes whole from every page of its host, pages that are hardly more go too, and copies do not count."""
+    rng = random.Random(4)
+    body = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    pages = [(k, f"{HEADER}\n{body(30 if k < 40 else 2)}", "host") for k in range(50)]
+    others = [(100 + k, f"{HEADER}\n{body(30)}", "other") for k in range(5)]
+    copied = [(200 + k, "one line of a text that was copied very often indeed\n" + "and its other line with enough words to count as a text", "host") for k in range(30)]
+    numbers = [(300 + k, f"{HEADER}\n{k} {k} {k} {k}", "host") for k in range(10)]
+    docs = spark.createDataFrame(pages + others + copied + numbers, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in quality_lines.quality_verdicts(docs).collect()}
+    removed = len(words(HEADER))
+    assert {got[k].n_removed for k in range(50)} == {removed}
+    assert all(got[k].kept for k in range(40)) and not any(got[k].kept for k in range(40, 50))
+    assert {got[k].n_removed for k in range(100, 105)} == {0} and {got[k].n_removed for k in range(200, 230)} == {0}
+    assert not any(got[k].kept for k in range(300, 310)) and {got[k].n_removed for k in range(300, 310)} == {removed + 4}
+    left = {r.doc_id: r.text for r in quality_lines.apply_rules(docs).collect()}
+    assert set(left) == {*range(40), *range(100, 105), *range(200, 230)}
+    assert all(left[k] == pages[k][1].split("\n")[3] for k in range(40))
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://net", "http://net/", "https://a.b.NET/x?y#z", "https://example.net/en/1", "https://example.net/en",
     "https://www.example.com/de/1", "https://example.com/fr/", "https://x.org/fr/2", "https://notnet.com/", "https://spam-farm.example.org/fr/1",
