@@ -1,8 +1,13 @@
-"""Input-output multipliers by iterated edge joins, for any number of tables at once."""
+"""Input-output multipliers of any number of tables at once, by doubling over square blocks.
+
+The rows 1'L, v'L and w'L of L = I + A + A^2 + ... are x (I + A)(I + A^2)(I + A^4)...: each step adds x A^(2^k) and squares the power, so
+five steps reach 32 terms. Tables are cut into blocks of a fixed edge, held as arrays; x is one more row of blocks, so a step is one
+join of blocks on the inner index and one sum by the outer ones. A table leaves the iteration when its last change is small.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.numeric import rnd
@@ -20,6 +25,8 @@ SECTOR_WEIGHTS = {
 }
 MEASURES = ["type1_output", "type1_gva", "type2_output", "type2_gva"]
 FALLBACK_YEARS = [2021, 2020, 2019]
+EDGE = 32  # rows and columns of a block
+VECTORS = ["r", "g", "h"]
 
 
 def coefficients(edges: DataFrame, sectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,48 +46,135 @@ def coefficients(edges: DataFrame, sectors: DataFrame) -> tuple[DataFrame, DataF
     return links, nodes
 
 
-def iterate(links: DataFrame, nodes: DataFrame, rounds: int = 200, tolerance: float = 1e-8, checkpoint_every: int = 5) -> DataFrame:
-    """(year, j, r, g, h): the row vectors 1'L, v'L and w'L, as the limit of x <- b + A'x.
+def placed(nodes: DataFrame, edge: int = EDGE) -> DataFrame:
+    """The sectors with their block ``bj`` and place ``p`` in it."""
+    order = Window.partitionBy("year").orderBy("j")  # the sectors of one table
+    at = F.row_number().over(order) - 1
+    return nodes.withColumn("_at", at).withColumns(
+        {"bj": F.floor(F.col("_at") / edge).cast("int"), "p": (F.col("_at") % edge).cast("int")}
+    ).drop("_at")
 
-    Each round is one join on the supplying sector and one aggregate by the buying sector for all three vectors and
-    all tables together. Every few rounds the vectors are checkpointed; there the largest change is read and the loop
-    ends once it is below ``tolerance``. Tables that have not converged after ``rounds`` are an error.
-    """
-    base = nodes.select("year", "j", F.lit(1.0).alias("b_r"), F.col("v").alias("b_g"), F.col("w").alias("b_h"))
-    current = base.select("year", "j", F.col("b_r").alias("r"), F.col("b_g").alias("g"), F.col("b_h").alias("h"))
-    for step in range(1, rounds + 1):
-        supply = current.select("year", F.col("j").alias("i"), "r", "g", "h")
-        pulled = links.join(supply, ["year", "i"]).groupBy("year", "j").agg(
-            *[F.sum(F.col("a") * F.col(x)).alias(f"p_{x}") for x in "rgh"]
+
+def blocks_of(links: DataFrame, places: DataFrame, edge: int = EDGE) -> DataFrame:
+    """year, bi, bj, height, m (row by row) of A, and of the vectors 1, v and w as the block row -1."""
+
+    def arrays(cells: DataFrame, height: int) -> DataFrame:
+        """Cells (year, bi, bj, at, a) as one array for each block that has any; a place without a cell holds 0."""
+        grid = cells.select("year", "bi", "bj").distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(height * edge - 1))))
+        full = grid.join(cells, ["year", "bi", "bj", "at"], "left").groupBy("year", "bi", "bj").agg(
+            F.sort_array(F.collect_list(F.struct("at", F.coalesce("a", F.lit(0.0)).alias("a")))).alias("m")  # edge x edge entries
         )
-        following = base.join(pulled, ["year", "j"], "left").select(
-            "year", "j", *[(F.col(f"b_{x}") + F.coalesce(F.col(f"p_{x}"), F.lit(0.0))).alias(x) for x in "rgh"]
+        return full.select("year", "bi", "bj", F.lit(height).alias("height"), F.col("m")["a"].alias("m"))
+
+    sells = places.select("year", F.col("j").alias("i"), F.col("bj").alias("bi"), F.col("p").alias("pi"))
+    cells = links.join(sells, ["year", "i"]).join(places.select("year", "j", "bj", "p"), ["year", "j"]).select(
+        "year", "bi", "bj", (F.col("pi") * edge + F.col("p")).alias("at"), "a"
+    )
+    starts = [F.lit(1.0), F.col("v"), F.col("w")]
+    rows = places.select("year", F.lit(-1).alias("bi"), "bj", F.inline(F.array(*[
+        F.struct((F.col("p") + k * edge).alias("at"), x.alias("a")) for k, x in enumerate(starts)
+    ])))
+    return arrays(cells, edge).unionByName(arrays(rows, len(starts)))
+
+
+def _product(left: Column, right: Column, height: Column, edge: int) -> Column:
+    """The block left x right, row by row."""
+
+    def entry(at: Column) -> Column:
+        row, column = F.floor(at / edge) * edge, at % edge
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(edge - 1)), F.lit(0.0),
+            lambda sum_, k: sum_ + F.get(left, (row + k).cast("int")) * F.get(right, (k * edge + column).cast("int")),
         )
-        if step % checkpoint_every == 0 or step == rounds:
-            following = cut_lineage(following)
-            old = current.select("year", "j", *[F.col(x).alias(f"o_{x}") for x in "rgh"])
-            moved = F.greatest(*[F.abs(F.col(x) - F.col(f"o_{x}")) for x in "rgh"])
-            if (following.join(old, ["year", "j"]).agg(F.max(moved)).first()[0] or 0.0) < tolerance:
-                return following
-        current = following
-    raise ValueError(f"multipliers have not converged to {tolerance} after {rounds} rounds")
+
+    return F.transform(F.sequence(F.lit(0), height * edge - 1), entry)
 
 
-def multipliers(edges: DataFrame, sectors: DataFrame, rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
-    """Type I and Type II output and value-added multipliers of every sector of every table.
+def _sum(arrays: Column) -> Column:
+    """Entry by entry; a null entry makes the sum null."""
+    return F.aggregate(F.slice(arrays, 2, F.size(arrays)), arrays[0], lambda s, m: F.zip_with(s, m, lambda x, y: x + y))
+
+
+def _step(blocks: DataFrame, edge: int, keep: bool) -> DataFrame:
+    """Every power squared and x <- x + x A^(2^k); ``keep`` leaves the x before as the block row -2."""
+    right = blocks.where("bi >= 0").select("year", F.col("bi").alias("bj"), F.col("bj").alias("_bj"), F.col("m").alias("_m"))
+    # the powers are left and right side, x is a left side only and one of its own summands
+    products = blocks.join(right, ["year", "bj"]).select(
+        "year", "bi", F.col("_bj").alias("bj"), "height", _product(F.col("m"), F.col("_m"), F.col("height"), edge).alias("m")
+    )
+    x = blocks.where("bi = -1")
+    parts = products.unionByName(x)
+    if keep:
+        parts = parts.unionByName(x.withColumn("bi", F.lit(-2)))
+    return parts.groupBy("year", "bi", "bj", "height").agg(_sum(F.collect_list("m")).alias("m"))  # one entry a block row
+
+
+def doubled(blocks: DataFrame, steps: int = 12, tolerance: float = 1e-8, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
+    """(year, bj, x of the tables that converged; year, steps, last_change, converged of all tables) from the blocks of A and x.
+
+    Two doublings go into one checkpoint, after which the number of tables that are ready is read. Tables whose last change is below
+    ``tolerance`` leave, and so do those whose change is no number any more. What is left after ``steps`` has not converged: 2^12 terms are
+    enough for any table that is not next to divergence.
+    """
+    blocks, finished, statuses = cut_lineage(blocks), [], []
+    for step in range(2, steps + 2, 2):
+        blocks = cut_lineage(_step(_step(blocks, edge, False), edge, True))
+        x = blocks.where("bi = -1").select("year", "bj", F.col("m").alias("x"))
+        before = blocks.where("bi = -2").select("year", "bj", F.col("m").alias("b"))
+        # null and NaN are beyond every tolerance
+        moved = F.array_max(F.zip_with("x", "b", lambda new, old: F.coalesce(F.abs(new - old), F.lit(float("inf")))))
+        status = x.join(before, ["year", "bj"]).groupBy("year").agg(F.max(moved).alias("last_change")).select(
+            "year", F.lit(step).alias("steps"), "last_change", (F.col("last_change") < tolerance).alias("converged")
+        )
+        leaves = F.col("converged") | (F.col("last_change") >= float("inf"))
+        ready, left = status.agg(F.count_if(leaves), F.count_if(~leaves)).first()
+        if not left or step >= steps:
+            statuses.append(status)
+            finished.append(x.join(status.where("converged"), "year", "left_semi"))
+            break
+        if ready:
+            status = cut_lineage(status)
+            statuses.append(status.where(leaves))
+            finished.append(x.join(status.where("converged"), "year", "left_semi"))
+            blocks = blocks.join(status.where(~leaves), "year", "left_semi")
+        blocks = blocks.where("bi > -2")
+    rows, table = finished[0], statuses[0]
+    for more in finished[1:]:
+        rows = rows.unionByName(more)
+    for more in statuses[1:]:
+        table = table.unionByName(more)
+    return rows, table
+
+
+def all_multipliers(
+    edges: DataFrame, sectors: DataFrame, steps: int = 12, tolerance: float = 1e-8, edge: int = EDGE
+) -> tuple[DataFrame, DataFrame]:
+    """(Type I and Type II output and value-added multipliers of every sector of every table that converges, status of all tables).
 
     Households close the table: with hc = h.c the Type II rows are r + (r.c) h / (1 - hc) and g + (g.c) h / (1 - hc).
     """
     links, nodes = coefficients(edges, sectors)
-    links, nodes = cut_lineage(links), cut_lineage(nodes)
-    limit = iterate(links, nodes, rounds, tolerance).join(nodes.select("year", "j", "c"), ["year", "j"])
-    closed = limit.groupBy("year").agg(*[F.sum(F.col(x) * F.col("c")).alias(f"{x}c") for x in "rgh"])
+    places = cut_lineage(placed(nodes, edge))
+    rows, status = doubled(blocks_of(links, places, edge), steps, tolerance, edge)
+    limit = rows.join(places, ["year", "bj"]).select(
+        "year", "j", "c", *[F.get("x", F.col("p") + k * edge).alias(name) for k, name in enumerate(VECTORS)]
+    )
+    closed = limit.groupBy("year").agg(*[F.sum(F.col(x) * F.col("c")).alias(f"{x}c") for x in VECTORS])
     lift = F.col("h") / (1.0 - F.col("hc"))
     return limit.join(closed, "year").select(
         "year", "j",
         F.col("r").alias("type1_output"), F.col("g").alias("type1_gva"),
         (F.col("r") + F.col("rc") * lift).alias("type2_output"), (F.col("g") + F.col("gc") * lift).alias("type2_gva"),
-    )
+    ), status
+
+
+def multipliers(edges: DataFrame, sectors: DataFrame, steps: int = 12, tolerance: float = 1e-8) -> DataFrame:
+    """The multipliers of all tables; one that does not converge is an error."""
+    table, status = all_multipliers(edges, sectors, steps, tolerance)
+    failed = [r["year"] for r in status.where("NOT converged").select("year").orderBy("year").limit(10).collect()]
+    if failed:
+        raise ValueError(f"multipliers of {failed} have not converged to {tolerance}")
+    return table
 
 
 def composite(table: DataFrame, weights: DataFrame, sector: str = "j") -> DataFrame:
@@ -91,6 +185,17 @@ def composite(table: DataFrame, weights: DataFrame, sector: str = "j") -> DataFr
     )
 
 
+def documents(table: DataFrame, totals: DataFrame) -> DataFrame:
+    """``value``: one nested document for each year, {year: {composite_tourism, sectors: {sector: measures}}}."""
+    sector = F.struct(F.col("j").cast("string").alias("name"), *MEASURES)
+    nested = table.groupBy("year").agg(F.map_from_entries(F.collect_list(F.struct(F.col("j").cast("string"), sector))).alias("sectors"))
+    composite_ = F.struct(*[F.col(f"{m}_multiplier") for m in MEASURES])
+    whole = nested.join(totals.select("year", composite_.alias("composite_tourism")), "year").select(
+        F.create_map(F.col("year").cast("string"), F.struct("composite_tourism", "sectors")).alias("tables")
+    )
+    return whole.select(F.to_json("tables").alias("value"))
+
+
 def for_years(requests: DataFrame, table: DataFrame, year: str = "year") -> DataFrame:
     """Rows of the requested year, else of the preferred fallback year that exists; nulls where neither does."""
     years = table.select(F.col("year").alias("_have")).distinct()

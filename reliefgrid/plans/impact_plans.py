@@ -11,7 +11,9 @@ from reliefgrid.operators import impact, market, multipliers
 from reliefgrid.plans.mapping import customer_nation, money, places, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import PLACES, r
-from reliefgrid.session import cut_lineage
+from reliefgrid.session import cut_lineage, shared_path
+from reliefgrid.sources import sinks
+from reliefgrid.sources.readers import multiplier_json
 
 # raw: long spending table; markets are customer nations, categories are order priorities
 CATEGORY_NAMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -246,3 +248,49 @@ def sector_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         multipliers.sector_rows(every, 2000, "FRANCE").withColumn("whole_year", F.lit(False))
     )
     return rows.select("year", "j", rnd("type1_output", 6).alias("type1_output"), "whole_year")
+
+
+# a copy of every table a thousand years on whose buyers spend three times as much on the same output: each round adds more than the last
+_LATER, _TOO_MUCH, _STEPS = 1000, 3.0, 8
+
+
+def _with_diverging(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges, sectors = _trade(spark, sf_dir)
+    later = (F.col("year") + _LATER).alias("year")
+    return (
+        edges.unionByName(edges.select(later, "i", "j", (F.col("z") * _TOO_MUCH).alias("z"))),
+        sectors.unionByName(sectors.select(later, "j", "x", "gva", "wages", "consumption")),
+    )
+
+
+@query(
+    "multiplier_status",
+    f"""WITH {_IO} SELECT year, 6::INTEGER AS steps, true AS converged, count(*) AS sector_count, {r('sum(type1_output)', 6)} AS total_type1 FROM m GROUP BY year
+    UNION ALL SELECT DISTINCT (year+{_LATER})::INTEGER, {_STEPS}::INTEGER, false, 0::BIGINT, NULL FROM z""",
+)
+def multiplier_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables solved together; those that diverge are reported, the others are there."""
+    rows, status = multipliers.all_multipliers(*_with_diverging(spark, sf_dir), steps=_STEPS)
+    sums = rows.groupBy("year").agg(F.count(F.lit(1)).alias("sector_count"), rnd(F.sum("type1_output"), 6).alias("total_type1"))
+    return status.join(sums, "year", "left").select(
+        "year", "steps", "converged", F.coalesce("sector_count", F.lit(0)).alias("sector_count"), "total_type1"
+    )
+
+
+@query(
+    "multiplier_documents",
+    f"""WITH {_IO}, w AS (SELECT n_name AS j, n_nationkey+1e0 AS weight FROM nation),
+    y AS (SELECT year, {r('sum(weight*type2_output)/sum(weight)', 4)} AS composite_type2_output FROM m JOIN w USING (j) GROUP BY year)
+    SELECT year, j, {', '.join(f'{r(c, 6)} AS {c}' for c in multipliers.MEASURES)}, composite_type2_output FROM m JOIN y USING (year)""",
+)
+def multiplier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that converge, written as nested documents into the shared folder and read back by sector and as totals."""
+    rows = multipliers.all_multipliers(*_with_diverging(spark, sf_dir), steps=_STEPS)[0].select(
+        "year", "j", *[rnd(c, 6).alias(c) for c in multipliers.MEASURES]
+    )
+    weights = table(spark, sf_dir, "nation").select(F.col("n_name").alias("j"), (F.col("n_nationkey") + 1.0).alias("weight"))
+    rows = cut_lineage(rows)
+    folder = shared_path(spark, "multipliers")
+    sinks.write_documents(multipliers.documents(rows, multipliers.composite(rows, weights)), folder)
+    sectors, totals = multipliers.from_json(multiplier_json(spark, folder, lines=True))
+    return sectors.join(totals, "year").select("year", "j", *multipliers.MEASURES, F.col("type2_output_multiplier").alias("composite_type2_output"))

@@ -63,9 +63,9 @@ def cell_table(spark: SparkSession, path: str) -> DataFrame:
     return csv_table(spark, path, schemas.CELLS)
 
 
-def multiplier_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row with ``tables``: map(year -> struct(composite_tourism, sectors))."""
-    text = spark.read.text(path, wholetext=True)
+def multiplier_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``tables``: map(year -> struct(composite_tourism, sectors)), a row for each file, or for each line of files of documents."""
+    text = spark.read.text(path, wholetext=not lines)
     tables = F.from_json("value", schemas.MULTIPLIER_TABLES)
     return text.select(F.map_filter(tables, lambda k, v: k != "metadata").alias("tables"))
 

@@ -21,6 +21,11 @@ def write_routes(routes: DataFrame, path: str) -> None:
     routes.withColumn("waypoints", pairs).write.mode("overwrite").json(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Nested documents (column ``value``), one a line."""
+    documents.select("value").write.mode("overwrite").text(path)
+
+
 def round_trip(df: DataFrame, path: str) -> DataFrame:
     """Write, then read back under the same schema."""
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)

@@ -139,10 +139,37 @@ def test_composite_and_fallback_year(spark):
 def test_multipliers_say_when_they_do_not_converge(spark):
     edges = spark.createDataFrame([(2020, "a", "b", 9.0), (2020, "b", "a", 9.0)], "year int, i string, j string, z double")
     sectors = spark.createDataFrame([(2020, s, 10.0, 3.0, 2.0, 1.0) for s in "ab"], "year int, j string, x double, gva double, wages double, consumption double")
-    exact = {r.j: r.type1_output for r in multipliers.multipliers(edges, sectors, rounds=400).collect()}
+    exact = {r.j: r.type1_output for r in multipliers.multipliers(edges, sectors).collect()}
     assert exact == {"a": pytest.approx(10.0), "b": pytest.approx(10.0)}
     with pytest.raises(ValueError, match="converged"):
-        multipliers.multipliers(edges, sectors, rounds=10)
+        multipliers.multipliers(edges, sectors, steps=3)
+
+
+def test_multipliers_over_many_blocks_and_failing_years(spark):
+    """Years of different sizes, one that diverges slowly, one fast, one with a missing number, one without trade."""
+    rng, edges, sectors, expected = np.random.default_rng(5), [], [], {}
+    for year, n, scale in ((2001, 9, 0.9), (2002, 4, 0.5), (2003, 5, 1.02), (2004, 5, 1e9), (2005, 3, 0.5), (2006, 2, 0.0)):
+        a = rng.uniform(0, 1, (n, n)) * (rng.random((n, n)) < 0.6)
+        a = a / max(np.abs(np.linalg.eigvals(a)).max(), 1e-3) * scale
+        x = rng.uniform(9, 14, n)
+        gva, wages, cons = rng.uniform(1, 3, n), rng.uniform(0.1, 0.4, n), rng.uniform(0, 0.1, n)
+        edges += [(year, f"s{i}", f"s{j}", float(a[i, j] * x[j])) for i in range(n) for j in range(n) if a[i, j]]
+        sectors += [(year, f"s{j}", float(x[j]), float(gva[j]), float(wages[j]), float(cons[j])) for j in range(n)]
+        closed = np.zeros((n + 1, n + 1))
+        closed[:n, :n], closed[:n, n], closed[n, :n] = a, cons / wages.sum(), wages / x
+        one, two = np.linalg.inv(np.eye(n) - a), np.linalg.inv(np.eye(n + 1) - closed)[:n, :n]
+        for j in range(n):
+            expected[year, f"s{j}"] = (one[:, j].sum(), gva / x @ one[:, j], two[:, j].sum(), gva / x @ two[:, j])
+    edges.append((2005, "s0", "s9", 1.0))
+    sectors.append((2005, "s9", float("nan"), 1.0, 1.0, 1.0))
+    trade = spark.createDataFrame(edges, "year int, i string, j string, z double")
+    made = spark.createDataFrame(sectors, "year int, j string, x double, gva double, wages double, consumption double")
+    rows, status = multipliers.all_multipliers(trade, made, edge=3)
+    assert {r.year: r.converged for r in status.collect()} == {2001: True, 2002: True, 2003: False, 2004: False, 2005: False, 2006: True}
+    got = {(r.year, r.j): [r[m] for m in multipliers.MEASURES] for r in rows.collect()}
+    assert set(got) == {k for k in expected if k[0] in (2001, 2002, 2006)}
+    for key, values in got.items():
+        assert values == pytest.approx(expected[key], rel=1e-6)
 
 
 def test_a_year_without_table_keeps_its_row(spark):
