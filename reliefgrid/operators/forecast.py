@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.calendar import month_label, month_start, month_year_label
 from reliefgrid.functions.geo import is_east_coast
 from reliefgrid.functions.numeric import or_default, rnd
+from reliefgrid.operators.normal import Fitted, logistic, ridge
 
 # Month curves (January to December) of each archetype; beaches follow their coast.
 BASIS_CURVES = {
@@ -57,6 +52,8 @@ FEATURES = [
     "base_demand", "base_capacity", "base_pressure", "scaled_demand", "min_inv", "min_exp", "near_count",
     "is_school_peak", "is_long_weekend", "month_sin", "month_cos", "aor_t1", "aor_ma3",
 ]
+# Noise levels of the training table.
+NOISE = (0.96, 1.0, 1.04)
 
 
 def _curve(name: str, month_no: Column, curves: dict[str, list[float]]) -> Column:
@@ -135,7 +132,7 @@ def feature_table(df: DataFrame, demand: str = "daily_demand_peak", capacity: st
     )
 
 
-def training_table(features: DataFrame, noise: tuple[float, ...] = (0.96, 1.0, 1.04)) -> DataFrame:
+def training_table(features: DataFrame, noise: tuple[float, ...] = NOISE) -> DataFrame:
     """Repeat each feature row per noise level with the demand it stands for and the spike label."""
     levels = F.explode(F.array(*[F.lit(n) for n in noise]))
     return features.withColumn("noise", levels).withColumns(
@@ -143,61 +140,33 @@ def training_table(features: DataFrame, noise: tuple[float, ...] = (0.96, 1.0, 1
     ).withColumn("is_spike", F.when(F.col("actual_demand") >= F.col("base_capacity") * 1.05, 1.0).otherwise(0.0))
 
 
-FIT_ROWS = 20_000  # rows of a task in the passes of a fit, at least
-
-
-@dataclass(frozen=True)
-class Fitted:
-    """Weights of the features as plain numbers, so that scoring is column arithmetic and no model goes into a plan."""
-
-    weights: dict[str, float]
-    intercept: float
-
-    def margin(self) -> Column:
-        return sum((_feature(f) * w for f, w in self.weights.items()), start=F.lit(self.intercept))
+def condensed(features: DataFrame, noise: tuple[float, ...] = NOISE) -> DataFrame:
+    """What the fits need of ``training_table`` without its repeated rows: the demand and the spikes of all noise levels together."""
+    spikes = sum(
+        (F.when(F.col("scaled_demand") * n >= F.col("base_capacity") * 1.05, 1.0).otherwise(0.0) for n in noise), start=F.lit(0.0)
+    )
+    demand = sum((F.col("scaled_demand") * n for n in noise), start=F.lit(0.0))
+    return features.withColumns({"actual_demand": demand, "is_spike": spikes})
 
 
 def _feature(name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _vectors(training: DataFrame, label: str) -> DataFrame:
-    numbers = training.select(F.col(label).alias("label"), *[_feature(f).alias(f) for f in FEATURES])
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(numbers).select("label", "features")
-
-
-def _plain(model) -> Fitted:
-    return Fitted(dict(zip(FEATURES, model.coefficients.toArray().tolist(), strict=True)), float(model.intercept))
-
-
-def fit_volume(training: DataFrame, alpha: float = 0.5) -> Fitted:
+def fit_volume(training: DataFrame, alpha: float = 0.5, levels: int = 1) -> Fitted:
     """Ridge on standardised features with a free intercept: ``alpha`` on the diagonal of the standardised normal matrix.
 
-    The normal-equation solver is one aggregation pass. Its penalty is scaled by the label deviation.
+    A row of ``training`` is one observation, or with ``levels`` the sum of so many (``condensed``).
     """
-    n, spread, mean = training.agg(F.count(F.lit(1)), F.stddev_pop("actual_demand"), F.avg("actual_demand")).first()
-    if not n or not spread:
-        return Fitted(dict.fromkeys(FEATURES, 0.0), mean or 0.0)
-    return _plain(LinearRegression(
-        solver="normal", elasticNetParam=0.0, standardization=True, regParam=alpha / n * spread
-    ).fit(_vectors(training, "actual_demand")))
+    return ridge(training, FEATURES, "actual_demand", alpha, levels)
 
 
-def fit_spike(training: DataFrame, alpha: float = 0.5, iterations: int = 1000) -> Fitted:
+def fit_spike(training: DataFrame, alpha: float = 0.5, levels: int = 1, iterations: int = 30) -> Fitted:
     """Logistic fit with the same penalty on standardised features, which also keeps separable samples finite.
 
-    A fit that ends on the limit of ``iterations`` has not converged and is an error. One class alone gives its share.
+    One class alone gives its share.
     """
-    n, spikes = training.agg(F.count(F.lit(1)), F.sum("is_spike")).first()
-    if not n or spikes in (0, n):
-        share = min(max((spikes or 0.0) / max(n, 1), 1e-6), 1 - 1e-6)
-        return Fitted(dict.fromkeys(FEATURES, 0.0), math.log(share / (1 - share)))
-    model = LogisticRegression(
-        maxIter=iterations, regParam=alpha / n, elasticNetParam=0.0, standardization=True, tol=1e-9
-    ).fit(_vectors(training, "is_spike").coalesce(1 + n // FIT_ROWS))
-    if model.summary.totalIterations >= iterations:
-        raise ValueError(f"the spike model has not converged after {iterations} iterations")
-    return _plain(model)
+    return logistic(training, FEATURES, "is_spike", alpha, levels, iterations)
 
 
 def chance(margin: Column) -> Column:

@@ -236,12 +236,63 @@ def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("ridge_forecast")
+_LEVELS, _ALPHA, _N = len(forecast.NOISE), 0.5, len(forecast.FEATURES)
+_NEWTON_STEPS = 16  # the SQL takes a fixed number; past the optimum a step moves nothing
+_X = f"""month_no,(month_no-1)//3+1,cuti,hols,wknd,mult,base_demand,base_capacity,base_demand/greatest(1e0,base_capacity),base_demand*mult,
+  1e0/(1e0+days_to_next),exp(-days_to_next/30e0),near_count,CASE WHEN cuti>=9 THEN 1e0 ELSE 0e0 END,CASE WHEN wknd>=2 THEN 1e0 ELSE 0e0 END,
+  sin(month_no*(2e0*pi()/12e0)),cos(month_no*(2e0*pi()/12e0)),aor_t1,aor_ma3"""
+
+
+def _solved(name: str, size: int) -> str:
+    """Gauss and Jordan over the matrix of ``{name}_m``, a column a round; the solution is ``{name}_s``."""
+    return f"""{name}_e(k, m) AS (SELECT 0, m FROM {name}_m UNION ALL SELECT k+1, list_transform(range(1,{size + 1}), lambda i: list_transform(range(1,{size + 2}), lambda c:
+      CASE WHEN i=k+1 THEN m[i][c]/m[k+1][k+1] ELSE m[i][c]-m[i][k+1]*(m[k+1][c]/m[k+1][k+1]) END)) FROM {name}_e WHERE k<{size}),
+    {name}_s AS (SELECT list_transform(m, lambda row: row[{size + 1}]) AS s FROM {name}_e WHERE k={size})"""
+
+
+def _matrix(name: str, size: int, source: str, product: str, right: str, penalty: str, pull: str) -> str:
+    return f"""{name}_g AS (SELECT i, j, sum(CASE WHEN j={size + 1} THEN {right} ELSE {product} END) AS v FROM {source}, range(1,{size + 1}) a(i), range(1,{size + 2}) b(j) GROUP BY i, j),
+    {name}_m AS (SELECT list(v ORDER BY i) AS m FROM (SELECT i, list(v+CASE WHEN i=j THEN {penalty} WHEN j={size + 1} THEN -({pull}) ELSE 0e0 END ORDER BY j) AS v FROM {name}_g GROUP BY i))"""
+
+
+_MODELS = f"""f AS (SELECT *, [{_X}]::DOUBLE[] AS x, {'+'.join(f'base_demand*mult*{n}e0' for n in forecast.NOISE)} AS ys,
+    {'+'.join(f'CASE WHEN base_demand*mult*{n}e0>=base_capacity*1.05e0 THEN 1e0 ELSE 0e0 END' for n in forecast.NOISE)} AS s
+  FROM (SELECT elastic.*, days_to_next, near_count, aor_t1, aor_ma3, coalesce(daily_demand_peak,8000e0) AS base_demand, coalesce(sustainable_capacity,10000e0) AS base_capacity
+    FROM elastic JOIN prox ON prox.month=elastic.month JOIN lags ON lags.state=elastic.state_name AND lags.mon=elastic.month)),
+st AS (SELECT count(*) AS n, [{','.join(f'avg(x[{k}])' for k in range(1, _N + 1))}] AS m, [{','.join(f'stddev_pop(x[{k}])' for k in range(1, _N + 1))}] AS sd,
+  sum(ys)/({_LEVELS}*count(*)) AS my, sum(s)/({_LEVELS}*count(*)) AS ms FROM f),
+z AS MATERIALIZED (SELECT f.*, my, list_transform(range(1,{_N + 1}), lambda k: CASE WHEN sd[k]>0 THEN (x[k]-m[k])/sd[k] ELSE 0e0 END)||[1e0] AS z FROM f, st),
+{_matrix('vol', _N, 'z', f'{_LEVELS}*z[i]*z[j]', f'z[i]*(ys-{_LEVELS}*my)', f'{_ALPHA}e0', '0e0')},
+{_solved('vol', _N)},
+w0 AS (SELECT list_transform(range(1,{_N + 2}), lambda k: CASE WHEN k<={_N} THEN 0e0 ELSE ln(ms/(1e0-ms)) END) AS w FROM st),""" + ",".join(
+    f"""
+p{t} AS MATERIALIZED (SELECT z, s, w, 1e0/(1e0+exp(-list_inner_product(z,w))) AS p FROM z, w{t}),
+{_matrix(f'n{t}', _N + 1, f'p{t}', f'{_LEVELS}*p*(1e0-p)*z[i]*z[j]', f'z[i]*(s-{_LEVELS}*p)', f'CASE WHEN i<={_N} THEN {_ALPHA}e0 ELSE 0e0 END', f'CASE WHEN i<={_N} THEN {_ALPHA}e0*(SELECT w[i] FROM w{t}) ELSE 0e0 END')},
+{_solved(f'n{t}', _N + 1)},
+w{t + 1} AS MATERIALIZED (SELECT list_transform(range(1,{_N + 2}), lambda k: w[k]+s[k]) AS w FROM w{t}, n{t}_s)"""
+    for t in range(_NEWTON_STEPS)
+) + f""",
+scored AS (SELECT z.*, my+list_inner_product(z[1:{_N}], vol_s.s) AS volume0, 1e0/(1e0+exp(-list_inner_product(z,w))) AS prob0 FROM z, vol_s, w{_NEWTON_STEPS}),
+predicted AS (SELECT *, {r('greatest(500e0, volume0)')} AS v FROM scored),
+judged AS (SELECT *, {r('v/greatest(1e0,base_capacity)*100e0',1)} AS stress FROM predicted)"""
+
+
+def _joined_sql() -> str:
+    return f"""{PLACES},{PROFILES},{RATES},{CALENDAR},{_PANEL},{_ELASTIC}, spine AS (SELECT DISTINCT month FROM elastic),
+    {_PROXIMITY.replace('FROM calendar', 'FROM spine')},{_LAGS.replace('FROM rates, calendar)', 'FROM rates, spine)')}"""
+
+
+@query(
+    "ridge_forecast",
+    f"""WITH RECURSIVE {_joined_sql()},{_MODELS}
+    SELECT destination_id, month, strftime((month||'-01')::DATE,'%b') AS month_label, strftime((month||'-01')::DATE,'%b %Y') AS month_name, v AS predicted_daily_demand,
+      base_capacity AS sustainable_capacity, stress AS capacity_stress_pct, {_PROB} AS spike_probability_pct, {_RISK_LABEL.format('stress')} AS risk_level, event_title FROM judged""",
+)
 def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models fitted on the scenario table and applied to every place and month."""
     features = cut_lineage(_features(spark, sf_dir))
-    training = forecast.training_table(features)
-    scored = forecast.model_scores(features, forecast.fit_volume(training), forecast.fit_spike(training))
+    rows, levels = forecast.condensed(features), len(forecast.NOISE)
+    scored = forecast.model_scores(features, forecast.fit_volume(rows, levels=levels), forecast.fit_spike(rows, levels=levels))
     return forecast.forward_curve(forecast.spike_risk(scored))
 
 
@@ -256,7 +307,7 @@ def _certified(training: DataFrame, slopes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("is_spike") == 1.0).alias("spike_count"), rnd(F.avg("actual_demand"), 3).alias("mean_demand")
     ).first()
     return slopes.select(
-        "feature", F.abs(rnd("gradient", 4)).alias("gradient"), F.lit(counts["row_count"]).cast("long").alias("row_count"),
+        "feature", F.abs(rnd("gradient", 8)).alias("gradient"), F.lit(counts["row_count"]).cast("long").alias("row_count"),
         F.lit(counts["spike_count"]).cast("long").alias("spike_count"), F.lit(counts["mean_demand"]).alias("mean_demand"),
     )
 
@@ -265,7 +316,7 @@ def _certified(training: DataFrame, slopes: DataFrame) -> DataFrame:
 def volume_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ridge is strictly convex, so a gradient of zero for every feature is its solution."""
     training = cut_lineage(forecast.training_table(_features(spark, sf_dir)))
-    model = forecast.fit_volume(training)
+    model = forecast.fit_volume(forecast.condensed(training.where("noise = 1.0")), levels=len(forecast.NOISE))
     return _certified(training, forecast.optimality(training, model, "actual_demand", model.margin()))
 
 
@@ -273,5 +324,5 @@ def volume_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spike_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The penalised logistic fit is strictly convex too."""
     training = cut_lineage(forecast.training_table(_features(spark, sf_dir)))
-    model = forecast.fit_spike(training)
+    model = forecast.fit_spike(forecast.condensed(training.where("noise = 1.0")), levels=len(forecast.NOISE))
     return _certified(training, forecast.optimality(training, model, "is_spike", forecast.chance(model.margin())))

@@ -35,7 +35,8 @@ def test_spike_fit_is_the_optimum(spark):
     df.observe(seen, F.count(F.lit(1)).alias("n")).count()
     model = forecast.fit_spike(df)
     probability = forecast.chance(model.margin())
-    assert max(abs(r.gradient) for r in forecast.optimality(df, model, "is_spike", probability).collect()) < 1e-4
+    assert max(abs(r.gradient) for r in forecast.optimality(df, model, "is_spike", probability).collect()) < 1e-9
+    assert len(model.steps) <= 8 and [k for k, *_ in model.steps] == list(range(1, len(model.steps) + 1))
     scored = forecast.model_scores(df, model, model).select("spike_raw_prob", "is_spike").toPandas()
     assert ((scored.spike_raw_prob > 0.5) == (scored.is_spike == 1.0)).mean() > 0.7
     with pytest.raises(ValueError, match="converged"):
