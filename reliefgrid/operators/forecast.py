@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.calendar import month_label, month_start, month_year_label
@@ -38,12 +38,16 @@ PLACE_RULES = [
     (["kampar"], [([3, 8], 1.20)]),
     (["kubang pasu", "muallim", "hulu langat"], [([10, 11], 1.15)]),
 ]
-# State rules, applied on top (state, name word that must match or None, word that must not, months, factor).
+# State rules, applied on top (state, name word that must match or None, word that must not, months, factor, and what the
+# heritage measure adds to it): the first is 1 + 0.30 (0.5 + 0.5 heritage).
 STATE_RULES = [
-    ("Sarawak", None, "samarahan", [6], 1.20),
-    ("Sarawak", "mukah", None, [4], 1.35),
-    ("Sarawak", "sri aman", None, [9, 10], 1.28),
+    ("Sabah", None, None, [5], 1.15, 0.15),
+    ("Sarawak", None, "samarahan", [6], 1.20, 0.0),
+    ("Sarawak", "mukah", None, [4], 1.35, 0.0),
+    ("Sarawak", "sri aman", None, [9, 10], 1.28, 0.0),
 ]
+RULE_SCHEMA = "kind string, priority int, state string, word string, unless string, month_no int, factor double, per_heritage double"
+NAME_ENDS = ("\u0002", "\u0003")  # stand before and after a name, so that a rule's word can ask for its beginning or its end
 # Places whose forecast carries an ecological margin.
 FRAGILE_WORDS = ["cameron", "langkawi", "ranau", "tioman"]
 
@@ -64,38 +68,71 @@ def _any_word(name: Column, words: list[str]) -> Column:
     return F.lower(name).rlike("|".join(words))
 
 
-def place_factor(name: Column, month_no: Column, rules: list | None = None) -> Column:
-    """Factor of the first matching place rule; 1 in months the rule does not list."""
-    out = F.lit(1.0)
-    for words, seasons in reversed(PLACE_RULES if rules is None else rules):
-        factor = F.lit(1.0)
-        for months, value in reversed(seasons):
-            factor = F.when(month_no.isin(*months), F.lit(value)).otherwise(factor)
-        out = F.when(_any_word(name, words), factor).otherwise(out)
-    return out
+def rule_table(spark: SparkSession, place_rules: list | None = None, state_rules: list | None = None) -> DataFrame:
+    """The rules as rows, one for each word and month. Of the place rules the one of least priority whose word a name holds decides."""
+    rows = []
+    for priority, (words, seasons) in enumerate(PLACE_RULES if place_rules is None else place_rules):
+        given = {month: factor for months, factor in reversed(seasons) for month in months}
+        rows += [("place", priority, None, w, None, m, given.get(m, 1.0), 0.0) for w in words for m in range(1, 13)]
+    for priority, (state, word, unless, months, factor, per_heritage) in enumerate(STATE_RULES if state_rules is None else state_rules):
+        rows += [("state", priority, state, word, unless, m, factor, per_heritage) for m in months]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def state_factor(state: Column, name: Column, month_no: Column, heritage: Column) -> Column:
-    out = F.when((state == "Sabah") & (month_no == 5), (heritage * 0.5 + 0.5) * 0.30 + 1.0).otherwise(F.lit(1.0))
-    for rule_state, must, must_not, months, value in STATE_RULES:
-        hit = (state == rule_state) & month_no.isin(*months)
-        if must:
-            hit = hit & _any_word(name, [must])
-        if must_not:
-            hit = hit & ~_any_word(name, [must_not])
-        out = out * F.when(hit, F.lit(value)).otherwise(F.lit(1.0))
-    return out
+def held_words(names: DataFrame, words: DataFrame) -> DataFrame:
+    """name, held: which of the words (column ``word``, lower case) each distinct name holds anywhere.
+
+    Every piece of a name that is as long as some word is looked up among the words: an equi-join, whatever the number of words.
+    """
+    words = words.where("word IS NOT NULL").select("word").distinct()
+    lengths = words.agg(F.collect_set(F.length("word"))).scalar()  # a few lengths
+    marked = F.concat(F.lit(NAME_ENDS[0]), F.lower("name"), F.lit(NAME_ENDS[1]))
+    spread = names.select("name").where("name IS NOT NULL").distinct().select("name", marked.alias("_marked"), F.explode(lengths).alias("_n"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_marked") - F.col("_n") + 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("_marked"), at, F.col("_n"))))
+    found = spread.select("name", F.explode(pieces).alias("word")).join(words, "word")
+    return found.groupBy("name").agg(F.collect_set("word").alias("held"))  # words of one name
+
+
+def with_rule_factors(df: DataFrame, rules: DataFrame, heritage: Column) -> DataFrame:
+    """Add ``place_rule`` and ``state_rule`` to place x month rows (destination_name, state_name, month_no)."""
+    held = held_words(df.select(F.col("destination_name").alias("name")), rules)
+    by_place = rules.where("kind = 'place'")
+    # the first rule of each name, then its factor in each month
+    order = held.select("name", F.explode("held").alias("word")).join(by_place.select("word", "priority").distinct(), "word")
+    first = order.groupBy("name").agg(F.min("priority").alias("priority"))
+    factors = by_place.groupBy("priority", "month_no").agg(F.min("factor").alias("place_rule"))
+    chosen = first.join(factors, "priority").select(F.col("name").alias("destination_name"), "month_no", "place_rule")
+    # state rules of a month as one list, tested against the words of the name
+    listed = rules.where("kind = 'state'").groupBy(F.col("state").alias("state_name"), "month_no").agg(
+        F.collect_list(F.struct("word", "unless", "factor", "per_heritage")).alias("_rules")
+    )
+    out = df.join(chosen, ["destination_name", "month_no"], "left").join(listed, ["state_name", "month_no"], "left").join(
+        held.select(F.col("name").alias("destination_name"), F.col("held").alias("_held")), "destination_name", "left"
+    )
+    holds = F.coalesce("_held", F.array().cast("array<string>"))
+    applies = F.filter("_rules", lambda x: (x["word"].isNull() | F.array_contains(holds, x["word"])) & (
+        x["unless"].isNull() | ~F.array_contains(holds, x["unless"])
+    ))
+    product = F.aggregate(applies, F.lit(1.0), lambda a, x: a * (x["factor"] + x["per_heritage"] * heritage))
+    return out.withColumns(
+        {"place_rule": F.coalesce("place_rule", F.lit(1.0)), "state_rule": F.coalesce(product, F.lit(1.0))}
+    ).drop("_rules", "_held")
 
 
 def elasticity(
     df: DataFrame,
     season_index: str = "season_index",
-    rules: list | None = None,
+    rules: DataFrame | None = None,
     curves: dict[str, list[float]] | None = None,
     east_coast: Column | None = None,
 ) -> DataFrame:
-    """Add ``demand_multiplier`` to place x month rows that hold archetypes, calendar days and the state index."""
+    """Add ``demand_multiplier`` to place x month rows that hold archetypes, calendar days and the state index.
+
+    ``rules`` is a table as of ``rule_table``, by default the fixed one.
+    """
     curves = curves or BASIS_CURVES
+    rules = rule_table(df.sparkSession) if rules is None else rules
     month = F.col("month_no")
     mix = {a: or_default(a, d) for a, d in ARCHETYPE_DEFAULTS.items()}
     total = F.greatest(F.lit(0.01), sum(mix.values(), start=F.lit(0.0)))
@@ -106,11 +143,9 @@ def elasticity(
         shape = shape + mix[name] / total * _curve(name, month, curves)
     state_part = F.coalesce(F.col(season_index), F.lit(1.0)) * 0.18 + 0.82
     calendar_part = F.col("cuti_sekolah_days") / 15.0 * 0.10 + F.col("public_holidays") / 3.0 * 0.08 + 1.0
-    name, state = F.col("destination_name"), F.col("state_name")
-    return df.withColumn(
-        "demand_multiplier",
-        shape * state_part * calendar_part * place_factor(name, month, rules) * state_factor(state, name, month, mix["arch_heritage"]),
-    )
+    ruled = with_rule_factors(df, rules, mix["arch_heritage"])
+    factor = shape * state_part * calendar_part * F.col("place_rule") * F.col("state_rule")
+    return ruled.withColumn("demand_multiplier", factor).select(*df.columns, "demand_multiplier")
 
 
 def place_months(places: DataFrame, year: int) -> DataFrame:

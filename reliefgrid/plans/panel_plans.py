@@ -90,7 +90,8 @@ def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # place rules over supplier names, to exercise the same rule table shape
-RULES = [(["7$"], [([1, 2, 12], 1.16), ([9, 10], 0.86)]), (["[37]$"], [([2], 1.18), ([12], 1.15)]), (["0$"], [([6], 1.38)])]
+_LAST = forecast.NAME_ENDS[1]
+RULES = [([f"7{_LAST}"], [([1, 2, 12], 1.16), ([9, 10], 0.86)]), ([f"3{_LAST}", f"7{_LAST}"], [([2], 1.18), ([12], 1.15)]), ([f"0{_LAST}"], [([6], 1.38)])]
 _CURVES = ", ".join(f"('{n}',{i + 1},{v}e0)" for n, values in forecast.BASIS_CURVES.items() for i, v in enumerate(values))
 _RULE_SQL = """CASE WHEN regexp_matches(lower(destination_name),'7$') THEN CASE WHEN month_no IN (1,2,12) THEN 1.16e0 WHEN month_no IN (9,10) THEN 0.86e0 ELSE 1e0 END
   WHEN regexp_matches(lower(destination_name),'[37]$') THEN CASE WHEN month_no=2 THEN 1.18e0 WHEN month_no=12 THEN 1.15e0 ELSE 1e0 END
@@ -120,7 +121,7 @@ def _place_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = forecast.place_months(full_places(spark, sf_dir), YEAR)
     timed = panel.calendar_encodings(panel.with_calendar(months, calendar(spark, sf_dir)))
     joined = timed.join(index, ["state_name", "quarter"], "left")
-    return forecast.elasticity(joined, rules=RULES, east_coast=F.col("lon") > 109.0)
+    return forecast.elasticity(joined, rules=forecast.rule_table(spark, RULES), east_coast=F.col("lon") > 109.0)
 
 
 @query(
@@ -132,6 +133,46 @@ def month_elasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("destination_id", "month_no", "event_title", rnd("demand_multiplier", 6).alias("demand_multiplier"))
 
 
+# places under the names that the fixed rules know, and under others; states likewise
+_NAMED = ["Gombak", "Langkawi", "Kinta", "Cameron Highlands", "Melaka Tengah", "Timur Laut", "Miri", "Limbang", "Johor Bahru", "Mersing",
+          "Samarahan", "Kampar", "Kubang Pasu", "Muallim", "Hulu Langat", "Mukah", "Sri Aman", "Kuching", "Miri Kampar", "Tuaran"]
+_STATES = ["Sabah", "Sarawak", "Pahang", "Johor", "Kelantan", "Terengganu", "Kedah"]
+
+
+def _place_rule_sql() -> str:
+    out = "1e0"
+    for words, seasons in reversed(forecast.PLACE_RULES):
+        months = " ".join(f"WHEN month_no IN ({','.join(map(str, m))}) THEN {v}e0" for m, v in seasons)
+        hit = " OR ".join(f"contains(lower(place),'{w}')" for w in words)
+        out = f"CASE WHEN {hit} THEN CASE {months} ELSE 1e0 END ELSE {out} END"
+    return out
+
+
+@query(
+    "fixed_elasticity",
+    f"""WITH {PLACES},{PROFILES},{RATES},{CALENDAR},{_ELASTIC}, named AS (SELECT *, [{','.join(f"'{x}'" for x in _NAMED)}][(destination_id%{len(_NAMED)}+1)::INTEGER]||' '||destination_name AS place,
+      [{','.join(f"'{x}'" for x in _STATES)}][((destination_id//3)%{len(_STATES)}+1)::INTEGER] AS st, lon-5e0 AS elon FROM elastic),
+    m AS (SELECT *, ((arch_nature*{_curve_sql('arch_nature')}+arch_urban*{_curve_sql('arch_urban')}+arch_heritage*{_curve_sql('arch_heritage')}+arch_food*{_curve_sql('arch_food')}
+      +arch_beach*CASE WHEN st IN ('Kelantan','Terengganu') OR (st IN ('Pahang','Johor') AND elon>102.8e0) THEN {_curve_sql('arch_beach_east')} ELSE {_curve_sql('arch_beach_west')} END)/{_TOTAL})
+      *(1e0+0.10e0*(cuti/15e0)+0.08e0*(hols/3e0))*{_place_rule_sql()}
+      *CASE WHEN st='Sabah' AND month_no=5 THEN 1e0+0.30e0*(0.5e0+0.5e0*arch_heritage) ELSE 1e0 END
+      *CASE WHEN st='Sarawak' AND month_no=6 AND NOT contains(lower(place),'samarahan') THEN 1.20e0 ELSE 1e0 END
+      *CASE WHEN st='Sarawak' AND month_no=4 AND contains(lower(place),'mukah') THEN 1.35e0 ELSE 1e0 END
+      *CASE WHEN st='Sarawak' AND month_no IN (9,10) AND contains(lower(place),'sri aman') THEN 1.28e0 ELSE 1e0 END AS mult2 FROM named)
+    SELECT destination_id, place AS destination_name, st AS state_name, month_no, {r('mult2',6)} AS demand_multiplier FROM m""",
+)
+def fixed_elasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed place, state and coast rules over all places, which take turns at the names and states that the rules know."""
+    key = F.col("destination_id")
+    named = full_places(spark, sf_dir).withColumns({
+        "destination_name": F.concat(F.get(F.lit(_NAMED), (key % len(_NAMED)).cast("int")), F.lit(" "), F.col("destination_name")),
+        "state_name": F.get(F.lit(_STATES), (F.floor(key / 3) % len(_STATES)).cast("int")), "lon": F.col("lon") - 5.0,
+    })
+    months = panel.calendar_encodings(panel.with_calendar(forecast.place_months(named, YEAR), calendar(spark, sf_dir)))
+    out = forecast.elasticity(months.withColumn("season_index", F.lit(None).cast("double")))
+    return out.select("destination_id", "destination_name", "state_name", "month_no", rnd("demand_multiplier", 6).alias("demand_multiplier"))
+
+
 @query(
     "calendar_fallback",
     f"""WITH {CALENDAR}, want AS (SELECT '20'||y||'-'||lpad(m::VARCHAR,2,'0') AS month FROM (SELECT unnest(range(1,13)) AS m) a, (SELECT unnest(['01','05']) AS y) b),

@@ -47,10 +47,23 @@ def test_spike_fit_is_the_optimum(spark):
 
 def test_elasticity_rules(spark):
     rows = [("Langkawi", "Kedah", m) for m in (1, 5, 9)] + [("Kuching", "Sarawak", 6), ("Samarahan", "Sarawak", 6), ("Tuaran", "Sabah", 5)]
-    df = spark.createDataFrame(rows, "destination_name string, state_name string, month_no int")
-    name, month = F.col("destination_name"), F.col("month_no")
-    out = df.select(forecast.place_factor(name, month).alias("p"), forecast.state_factor(F.col("state_name"), name, month, F.lit(1.0)).alias("s")).collect()
-    assert [(r.p, pytest.approx(r.s)) for r in out] == [(1.16, 1.0), (1.0, 1.0), (0.86, 1.0), (1.0, 1.2), (1.0, 1.0), (1.0, 1.3)]
+    df = spark.createDataFrame(rows + [(None, "Sarawak", 6), ("Miri Kampar", None, 7), ("x", "Sarawak", None)], "destination_name string, state_name string, month_no int")
+    out = forecast.with_rule_factors(df, forecast.rule_table(spark), F.lit(1.0))
+    got = {(r.destination_name, r.state_name, r.month_no): (r.place_rule, pytest.approx(r.state_rule)) for r in out.collect()}
+    assert [got[k] for k in rows] == [(1.16, 1.0), (1.0, 1.0), (0.86, 1.0), (1.0, 1.2), (1.0, 1.0), (1.0, 1.3)]
+    assert got[None, "Sarawak", 6] == (1.0, 1.2) and got["Miri Kampar", None, 7] == (1.28, 1.0) and got["x", "Sarawak", None] == (1.0, 1.0)
+    assert len(got) == len(rows) + 3
+
+
+def test_rules_of_any_number(spark):
+    """A thousand rules: names are looked up, not tested rule by rule; words may ask for the end of a name."""
+    last = forecast.NAME_ENDS[1]
+    rules = [([f"word{k:03d}"], [([1], 1.0 + k / 1000)]) for k in range(1000)] + [([f"7{last}"], [([1], 3.0)])]
+    df = spark.createDataFrame([("a word500 and word017", "s", 1), ("word999", "s", 2), ("no 7", "s", 1), ("7 no", "s", 1), ("", "s", 1)],
+                               "destination_name string, state_name string, month_no int")
+    out = forecast.with_rule_factors(df, forecast.rule_table(spark, rules, []), F.lit(0.0))
+    assert {r.destination_name: r.place_rule for r in out.collect()} == {
+        "a word500 and word017": pytest.approx(1.017), "word999": 1.0, "no 7": 3.0, "7 no": 1.0, "": 1.0}
 
 
 def test_holiday_proximity(spark):
