@@ -54,13 +54,14 @@ _CAPS = ", ".join([f"total_rooms*{master.ROOM_CAPACITY}e0 AS cc_accommodation",
 _LOW = "least(" + ", ".join(f"greatest({c},1e0)" for c, _ in MASTER_SUBSYSTEMS) + ")"
 _BINDING = "CASE " + " ".join(f"WHEN greatest({c},1e0)=low THEN '{t}'" for c, t in MASTER_SUBSYSTEMS) + " END"
 
-MASTER = f"""WITH d AS (SELECT {STATES!r}[s_suppkey%16+1] AS state_name, {DISTRICTS!r}[s_suppkey%{len(DISTRICTS)}+1] AS district_name, min(s_suppkey) AS k FROM supplier GROUP BY 1,2),
+MASTER = f"""WITH known AS (SELECT {STATES!r}[s_suppkey%16+1] AS state_name, {DISTRICTS!r}[s_suppkey%{len(DISTRICTS)}+1] AS district_name, min(s_suppkey) AS k FROM supplier GROUP BY 1,2),
+d AS (SELECT * FROM known UNION ALL SELECT n_name, 'New '||n_name, n_nationkey FROM nation UNION ALL SELECT DISTINCT state_name, 'New '||state_name, 7 FROM known),
 p AS (SELECT state_name, district_name, (k%10)/10e0 AS p_arch_urban, (k%7)/7e0 AS p_arch_heritage, (k%5)/5e0 AS p_arch_beach, NULL::DOUBLE AS p_arch_nature, (k%9)/9e0 AS p_arch_food,
-  array_to_string({TAGS!r}[1:k%4+1],' | ') AS tags FROM d WHERE k%3=0),
-e AS (SELECT {STATES!r}[c_custkey%16+1] AS state_name, {r('avg(abs(c_acctbal))/1000e0',4)} AS poverty, {r('avg(c_acctbal)+5000e0',2)} AS income_mean, min(c_acctbal)+6000e0 AS income_median FROM customer WHERE c_custkey%16<12 GROUP BY 1),
+  array_to_string({TAGS!r}[1:k%4+1],' | ') AS tags FROM known),
+e AS (SELECT {STATES!r}[c_custkey%16+1] AS state_name, {r('avg(abs(c_acctbal))/1000e0',4)} AS poverty, {r('avg(c_acctbal)+5000e0',2)} AS income_mean, min(c_acctbal)+6000e0 AS income_median FROM customer GROUP BY 1),
 y AS (SELECT l_suppkey%16 AS s, year(l_shipdate)+24 AS year, count(*)*10e0 AS rooms, sum(l_quantity)/count(*)*2e0 AS rate FROM lineitem GROUP BY 1,2),
-o AS (SELECT {STATES!r}[s+1] AS state_name, avg(rate) AS rate FROM y WHERE year>=2023 AND s<>3 GROUP BY 1),
-i AS (SELECT {STATES!r}[s+1] AS state_name, avg(rooms) AS rooms FROM y WHERE year>=2023 AND s<>5 GROUP BY 1),
+o AS (SELECT {STATES!r}[s+1] AS state_name, avg(rate) AS rate FROM y WHERE year>=2023 GROUP BY 1),
+i AS (SELECT {STATES!r}[s+1] AS state_name, avg(rooms) AS rooms FROM y WHERE year>=2023 GROUP BY 1),
 b AS (SELECT d.*, 1e0+(k*37%600)/100e0 AS lat, 100e0+(k*53%1900)/100e0 AS lon, p.* EXCLUDE (state_name, district_name), coalesce(poverty,{master.DEFAULT_POVERTY}e0) AS poverty,
   coalesce(income_mean,{master.DEFAULT_MEAN_INCOME}e0) AS income_mean, coalesce(income_median,{master.DEFAULT_MEDIAN_INCOME}e0) AS income_median,
   coalesce(rate,{master.DEFAULT_OCCUPANCY}e0) AS rate, coalesce(rooms,{master.DEFAULT_ROOMS}e0) AS rooms
@@ -73,7 +74,7 @@ l AS (SELECT *, {_LOW} AS low FROM c)
 SELECT state_name, district_name, total_rooms, {r('peak')} AS daily_demand_peak, {', '.join(f'{r(c)} AS {c}' for c, _ in MASTER_SUBSYSTEMS)}, {_BINDING} AS binding_constraint,
   {r('low')} AS sustainable_capacity, {r('peak/low',3)} AS continuous_pressure, {r('greatest(0e0,peak-low)')} AS excess_demand_daily, {r('(low-peak)/low',3)} AS capacity_gap, {r('poverty',2)} AS poverty_rate,
   {r('income_mean')} AS mean_household_income, {r('income_median')} AS median_household_income, {r('rate',1)} AS latest_aor_pct, {', '.join(f'{r(a,3)} AS {a}' for a in ('arch_heritage','arch_nature','arch_beach','arch_food','arch_urban'))},
-  poi_tags, CASE WHEN lat<6e0 AND lon<101.5e0 AND lat>3e0 THEN 'KTM ETS & Rail' ELSE 'Federal Road & Express Coach' END AS transit_mode, CASE WHEN k%2=0 THEN 'Majlis '||district_name END AS pbt_name FROM l"""
+  poi_tags, CASE WHEN lat<6e0 AND lon<101.5e0 AND lat>3e0 THEN 'KTM ETS & Rail' ELSE 'Federal Road & Express Coach' END AS transit_mode, CASE WHEN (state_name, district_name) IN (SELECT (state_name, district_name) FROM known) THEN 'Majlis '||district_name END AS pbt_name FROM l"""
 
 
 def _of(names: list[str], key: Column) -> Column:
@@ -82,20 +83,24 @@ def _of(names: list[str], key: Column) -> Column:
 
 @query("master_table", MASTER)
 def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Districts with profiles for a third of them, and state tables that lack some states and spell others with blanks."""
+    """All districts of the tables, with new districts in each state and in states that no table knows; the state tables spell with blanks."""
     key = F.col("s_suppkey")
     keyed = cut_lineage(table(spark, sf_dir, "supplier").groupBy(
         _of(STATES, key).alias("state_name"), _of(DISTRICTS, key).alias("district_name")
     ).agg(F.min("s_suppkey").alias("k")))
     k = F.col("k")
-    districts = keyed.select("state_name", "district_name", ((k * 37 % 600) / 100.0 + 1.0).alias("lat"), ((k * 53 % 1900) / 100.0 + 100.0).alias("lon"))
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("state_name"), F.concat(F.lit("New "), "n_name").alias("district_name"), F.col("n_nationkey").alias("k")
+    )
+    fresh = keyed.select("state_name").distinct().select("state_name", F.concat(F.lit("New "), "state_name").alias("district_name"), F.lit(7).alias("k"))
+    districts = keyed.unionByName(nations).unionByName(fresh).select("state_name", "district_name", ((k * 37 % 600) / 100.0 + 1.0).alias("lat"), ((k * 53 % 1900) / 100.0 + 100.0).alias("lon"))
     tags = F.array_join(F.slice(F.array(*[F.lit(t) for t in TAGS]), F.lit(1), (k % 4 + 1).cast("int")), " | ")
-    profiles = keyed.where(k % 3 == 0).select(
+    profiles = keyed.select(
         "state_name", "district_name", (k % 10 / 10.0).alias("arch_urban"), (k % 7 / 7.0).alias("arch_heritage"), (k % 5 / 5.0).alias("arch_beach"),
         F.lit(None).cast("double").alias("arch_nature"), (k % 9 / 9.0).alias("arch_food"), F.when(k % 4 >= 0, tags).alias("poi_tags"),
     )
     customer = F.col("c_custkey")
-    economy = table(spark, sf_dir, "customer").where(customer % 16 < 12).groupBy(_of(STATES, customer).alias("state")).agg(
+    economy = table(spark, sf_dir, "customer").groupBy(_of(STATES, customer).alias("state")).agg(
         (F.floor(F.avg(F.abs("c_acctbal")) / 1000.0 * 10000.0 + 0.5) / 10000.0).alias("poverty"),
         (F.floor((F.avg("c_acctbal") + 5000.0) * 100.0 + 0.5) / 100.0).alias("income_mean"), (F.min("c_acctbal") + 6000.0).alias("income_median"),
     )
@@ -104,9 +109,9 @@ def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.count(F.lit(1)) * 10.0).alias("rooms_count"), (F.sum("l_quantity") / F.count(F.lit(1)) * 2.0).alias("average_occupancy_rate_pct")
     ))  # states x years
     spelled = F.concat(F.lit(" "), _of(STATES, F.col("s")), F.lit(" ")).alias("state")
-    occupancy = yearly.where("s <> 3").select(spelled, "year", "average_occupancy_rate_pct")
-    inventory = yearly.where("s <> 5").select(spelled, "year", "rooms_count")
-    authorities = keyed.where(k % 2 == 0).select("state_name", "district_name", F.concat(F.lit("Majlis "), "district_name").alias("pbt_name"))
+    occupancy = yearly.select(spelled, "year", "average_occupancy_rate_pct")
+    inventory = yearly.select(spelled, "year", "rooms_count")
+    authorities = keyed.select("state_name", "district_name", F.concat(F.lit("Majlis "), "district_name").alias("pbt_name"))
     out = master.build_master(districts, profiles, economy, occupancy, inventory, authorities)
     return out.drop("destination_name", "lat", "lon")
 

@@ -21,25 +21,29 @@ from reliefgrid.sources.readers import csv_table, hotel_series, land, parquet_ta
 
 @query(
     "household_profile",
-    f"""WITH c AS (SELECT n_name AS state, CASE WHEN c_custkey%3=0 THEN '2022-01-01' ELSE '2024-01-01' END AS date, {r('avg(c_acctbal)', 4)} AS income_mean, count(*) AS households
-      FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2),
+    f"""WITH orderless AS (SELECT n_name||' Federal Territory' AS state, '2024-01-01' AS date, n_nationkey*1e0 AS income_mean, 0::BIGINT AS households FROM nation),
+    c AS (SELECT n_name AS state, CASE WHEN c_custkey%3=0 THEN '2022-01-01' ELSE '2024-01-01' END AS date, {r('avg(c_acctbal)', 4)} AS income_mean, count(*) AS households
+      FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2 UNION ALL SELECT * FROM orderless),
     g AS (SELECT n_name AS state, year(o_orderdate) AS year, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS services_gdp FROM orders JOIN customer ON o_custkey=c_custkey
-      JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey<>0 GROUP BY 1,2)
+      JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2)
     SELECT c.state, date, income_mean, households, services_gdp FROM c LEFT JOIN (SELECT * FROM g WHERE year=(SELECT max(year) FROM g)) g USING (state) WHERE date='2024-01-01'""",
 )
 def household_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two survey dates, and services GDP for all but one region, by year."""
+    """Two survey dates and services GDP by year; the survey also asks in states that have no orders."""
     nations = table(spark, sf_dir, "nation")
     date = F.when(F.col("c_custkey") % 3 == 0, "2022-01-01").otherwise("2024-01-01").alias("date")
     survey = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
         F.col("n_name").alias("state"), date
     ).agg(rnd(F.avg("c_acctbal"), 4).alias("income_mean"), F.count(F.lit(1)).alias("households"))
     per = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.sum(money("o_totalprice")).alias("v"))
-    others = nations.where("n_regionkey <> 0").select(F.col("n_name").alias("market"))
-    gdp = per.join(customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).join(others, "market").groupBy(
+    orderless = nations.select(
+        F.concat("n_name", F.lit(" Federal Territory")).alias("state"), F.lit("2024-01-01").alias("date"),
+        F.col("n_nationkey").cast("double").alias("income_mean"), F.lit(0).cast("long").alias("households"),
+    )
+    gdp = per.join(customer_nation(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).groupBy(
         F.col("market").alias("state"), "year"
     ).agg(F.sum("v").cast("double").alias("services_gdp"))
-    return baseline.household_profile(survey, gdp)
+    return baseline.household_profile(survey.unionByName(orderless), gdp)
 
 
 _MEMBERS = {**REGION_CLUSTERS, "West Coast": [s for c in ("Northern", "Central", "Southern") for s in REGION_CLUSTERS[c]], "All": STATES}
