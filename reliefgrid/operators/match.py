@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.capacity import (
-    FRICTION_FREE_KM,
-    FRICTION_PER_KM,
     access_score,
     clip_null,
     community_score,
@@ -22,6 +20,7 @@ from reliefgrid.functions.capacity import (
 from reliefgrid.functions.geo import MOUNTAIN_PATTERN, corridor, haversine_km, is_mountain, nearest_station
 from reliefgrid.functions.numeric import clip, or_default, rnd
 from reliefgrid.functions.similarity import ARCHETYPES, archetype_vector, cosine_with_norms, dot, hybrid, tag_set
+from reliefgrid.operators import bounds
 from reliefgrid.operators.nearby import GROUP_ROWS, has_at_most, radius_join
 from reliefgrid.session import cut_lineage
 
@@ -39,10 +38,8 @@ REGIONAL_KM = 180.0
 FEASIBLE_KM = 350.0
 # The lowest road factor is 1.25 and factors never fall below it, so road limits give these straight-line reaches.
 ROAD_FACTOR_MIN = 1.25
-# Beyond 60 + 100 / 0.08 road km the friction penalty exceeds any score, so every such pair scores exactly 0.
-ZERO_SCORE_KM = 1310.0
-# Rings (km by road) for hotspots that nothing within the feasible reach settles.
-WIDER_KM = (500.0, 700.0, 950.0, ZERO_SCORE_KM)
+SEED_LEAVES = 5  # leaves beyond ``top_n`` that give a hotspot its first floor
+LEAST_SCORE = 0.05  # scores are tenths, so a bound below this means 0
 
 # Shortlist classes of a pair: feasible and regional, feasible, regional only, neither.
 FEASIBLE_REGIONAL, FEASIBLE_FAR, REGIONAL_ONLY, OTHER = 1, 2, 3, 4
@@ -203,8 +200,7 @@ def _near_pairs(hotspots: DataFrame, candidates: DataFrame, road_km: float, grou
 def _zero_score_fill(hotspots: DataFrame, candidates: DataFrame, top_n: int) -> DataFrame:
     """Pairs for hotspots that may need candidates at any distance.
 
-    Beyond the zero-score distance all candidates tie at 0 and the lowest id wins, so the lowest ids overall are
-    enough: with at most ``top_n`` + 1 rows kept per name, the first 2 * ``top_n`` + 2 rows still hold ``top_n`` others
+    All candidates of score 0 tie and the lowest id wins, so the lowest ids overall are enough: with at most ``top_n`` + 1 rows kept per name, the first 2 * ``top_n`` + 2 rows still hold ``top_n`` others
     after a hotspot drops its own id and its own name. That list has a fixed size and rides as one array.
     """
     by_name = Window.partitionBy(F.lower(F.trim(F.col("c_name")))).orderBy("c_id")
@@ -221,31 +217,49 @@ def _zero_score_fill(hotspots: DataFrame, candidates: DataFrame, top_n: int) ->
     )
 
 
-def _beyond_reach(
-    shortlist: DataFrame, waiting: DataFrame, h: DataFrame, c: DataFrame, top_n: int, score: Callable[[DataFrame], DataFrame], group_rows: int, small: bool
+def _search(
+    h: DataFrame, cells: list[DataFrame], placed: DataFrame, top_n: int, weights: dict[str, float], alpha: float,
+    score: Callable[[DataFrame], DataFrame], within_km: float | None,
 ) -> DataFrame:
-    """The shortlist, with that of the ``waiting`` hotspots (no feasible candidate, short regional list) over any distance.
+    """(h_id, c_id, _class, score): every pair that may be among the ``top_n`` best of its hotspot, within a road distance or anywhere.
 
-    All their candidates compete. The reach grows by rings and a hotspot leaves once its last listed score exceeds what
-    friction allows anyone further away, so few hotspots see many candidates; past the last ring all scores are 0.
+    Pairs of score 0 may be missing where there is no limit.
     """
-    done = shortlist.join(waiting, "h_id", "left_anti")
-    found, reach = shortlist.join(waiting, "h_id", "left_semi"), FEASIBLE_KM
+    size = len(placed.select("c_vec").first()[0])
+    plain = F.col("h_raw_tags").isNull() | (F.size("h_tags") == 0)
+    asked = cut_lineage(h.select(
+        "h_id", "h_lat", "h_lon", "h_need", "h_norm", "h_vec", bounds.tag_bits(F.col("h_tags")).alias("h_bits"), plain.alias("h_plain"),
+        F.col("h_station").isNotNull().alias("h_rail"), F.lit(float("-inf") if within_km else LEAST_SCORE).alias("floor"),
+    ))
+
+    def scored(leaves: DataFrame) -> DataFrame:
+        pairs = leaves.join(placed, ["_x", "_y"]).drop("_x", "_y").join(h, "h_id").where(~same_place())
+        found = score(pairs.withColumn("straight_km", haversine_km("h_lat", "h_lon", "c_lat", "c_lon")))
+        return found.where(F.col("_class").isin(FEASIBLE_REGIONAL, REGIONAL_ONLY)) if within_km else found
+
+    first = scored(bounds.descend(asked, cells, weights, alpha, size, within_km, top_n + SEED_LEAVES))
     scores = F.sort_array(F.collect_list("final_wsm_score"), asc=False)  # at most top_n scores for each class
-    for wider in WIDER_KM:
-        best_beyond = 100.0 - (reach - FRICTION_FREE_KM) * FRICTION_PER_KM
-        last = found.groupBy("h_id").agg(F.get(scores, F.lit(top_n - 1)).alias("_last"))
-        filled = cut_lineage(last.where(F.col("_last") > best_beyond + 0.1).select("h_id"))
-        done = done.unionByName(found.join(filled, "h_id", "left_semi"))
-        waiting = cut_lineage(waiting.join(filled, "h_id", "left_anti"))
-        if waiting.isEmpty():
-            return done
-        hotspots = h.join(waiting, "h_id", "left_semi")
-        pairs = _near_pairs(hotspots, c, wider, group_rows, small)
-        if wider == ZERO_SCORE_KM:
-            pairs = pairs.unionByName(_zero_score_fill(hotspots, c, top_n)).dropDuplicates(["h_id", "c_id"])
-        found, reach = cut_lineage(score(pairs)), wider
-    return done.unionByName(found)
+    floors = first.groupBy("h_id").agg(F.get(scores, F.lit(top_n - 1)).alias("_floor"))
+    asked = cut_lineage(asked.join(floors, "h_id", "left").withColumn("floor", F.greatest("floor", "_floor")).drop("_floor"))
+    return scored(bounds.descend(asked, cells, weights, alpha, size, within_km, None))
+
+
+def _stranded(
+    shortlist: DataFrame, stranded: DataFrame, h: DataFrame, c: DataFrame, top_n: int, weights: dict[str, float], alpha: float,
+    score: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """The shortlist with that of the hotspots without any feasible candidate: regional ones if they fill the list, else all compete."""
+    cells, placed = bounds.pyramid(c, weights)
+    own = h.join(stranded, "h_id", "left_semi")
+    regional = cut_lineage(_search(own, cells, placed, top_n, weights, alpha, score, REGIONAL_KM))
+    filled = regional.groupBy("h_id").count().where(F.col("count") >= top_n)
+    short = cut_lineage(own.join(filled, "h_id", "left_anti"))
+    if short.isEmpty():
+        return shortlist.unionByName(regional)
+    anywhere = _search(short, cells, placed, top_n, weights, alpha, score, None)
+    lowest = score(_zero_score_fill(short, c, top_n))
+    others = anywhere.unionByName(lowest).unionByName(regional.join(short, "h_id", "left_semi")).dropDuplicates(["h_id", "c_id"])
+    return shortlist.unionByName(regional.join(filled, "h_id", "left_semi")).unionByName(others)
 
 
 def match_all(
@@ -258,9 +272,9 @@ def match_all(
 ) -> DataFrame:
     """Best ``top_n`` candidates of every hotspot; both inputs come from ``prepare_places``.
 
-    Three tiers of growing reach, each a grid join: the regional reach for all hotspots, the feasible reach only for
-    hotspots the first tier did not fill, and a search by growing rings only for those still without a feasible candidate
-    and a full regional list. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
+    Two tiers of growing reach, each a grid join with the places that can be feasible at all: the regional reach for all hotspots, the
+    feasible reach for those the first tier did not fill. Hotspots without a feasible candidate are settled by branch and bound over
+    a pyramid of cells. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
     tables behind the places are read once. Shortlists carry ids and scores only; the columns of the chosen pairs are
     worked out at the end. Ids must be unique.
     """
@@ -281,16 +295,20 @@ def match_all(
     def count_of(*groups: int) -> Column:
         return F.sum(F.when(F.col("_class").isin(*groups), 1).otherwise(0))
 
-    shortlist = cut_lineage(score(_near_pairs(h, c, REGIONAL_KM, group_rows, small)))
+    def feasible(hotspots: DataFrame, road_km: float) -> DataFrame:
+        found = score(_near_pairs(hotspots, able, road_km, group_rows, small))
+        return found.where(F.col("_class").isin(FEASIBLE_REGIONAL, FEASIBLE_FAR))
+
+    able = c.where((F.col("c_gap") > MIN_GAP) & (F.col("c_demand") < F.col("c_eco")))
+    shortlist = cut_lineage(feasible(h, REGIONAL_KM))
     unfilled = lacking(shortlist, count_of(FEASIBLE_REGIONAL) >= top_n)
     if not unfilled.isEmpty():
-        wider = score(_near_pairs(unfilled, c, FEASIBLE_KM, group_rows, small))
+        wider = feasible(unfilled, FEASIBLE_KM)
         done = shortlist.join(unfilled.select("h_id"), "h_id", "left_anti")
         shortlist = cut_lineage(done.unionByName(wider))
-    settled = (count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0) | (count_of(REGIONAL_ONLY) >= top_n)
-    waiting = cut_lineage(lacking(shortlist, settled).select("h_id"))
-    if not waiting.isEmpty():
-        shortlist = cut_lineage(_beyond_reach(shortlist, waiting, h, c, top_n, score, group_rows, small))
+    stranded = cut_lineage(lacking(shortlist, count_of(FEASIBLE_REGIONAL, FEASIBLE_FAR) > 0).select("h_id"))
+    if not stranded.isEmpty():
+        shortlist = cut_lineage(_stranded(shortlist, stranded, h, c, top_n, weights or WEIGHTS, alpha, score))
     chosen = _pick_pool(shortlist, top_n).drop("final_wsm_score")
     sides = chosen.join(h, "h_id").join(F.broadcast(c) if small else c, "c_id")
     return _scored(sides.withColumn("straight_km", haversine_km("h_lat", "h_lon", "c_lat", "c_lon")), steps).drop("_class")

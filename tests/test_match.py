@@ -97,7 +97,8 @@ def brute(rows, n):
 
 @pytest.mark.parametrize(
     "seed,n,spread,feasible,group_rows",
-    [(1, 60, (0.6, 0.6), 0.5, 20_000), (2, 60, (2.5, 6.0), 0.2, 8), (3, 40, (25.0, 60.0), 0.1, 8), (4, 50, (0.05, 0.05), 0.6, 5), (5, 4, (30.0, 70.0), 0.0, 2)],
+    [(1, 60, (0.6, 0.6), 0.5, 20_000), (2, 60, (2.5, 6.0), 0.2, 8), (3, 40, (25.0, 60.0), 0.1, 8), (4, 50, (0.05, 0.05), 0.6, 5), (5, 4, (30.0, 70.0), 0.0, 2),
+     (6, 250, (1.5, 2.0), 0.0, 20_000), (8, 90, (12.0, 40.0), 0.0, 8)],
 )
 def test_match_equals_brute_force(spark, seed, n, spread, feasible, group_rows):
     rows = make(seed, n, spread, feasible)
