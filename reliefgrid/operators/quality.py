@@ -175,3 +175,36 @@ def observed(df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
 
 def type_name(number: Column) -> Column:
     return F.try_element_at(literal_map({str(k): v for k, v in ZONE_TYPES.items()}), number.cast("string"))
+
+
+def table_digest(df: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
+    """_bucket, _rows, _sum, _xor: a fingerprint of each bucket of keys that no order of the rows changes.
+
+    Rows are hashed in the tasks and only sums are shuffled, a row for each bucket.
+    """
+    row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(df.columns)])
+    marked = df.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket"), row.alias("_h"))
+    return marked.groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("_sum"), F.bit_xor("_h").alias("_xor")
+    )
+
+
+def differences(left: DataFrame, right: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
+    """keys, change ('removed', 'added', 'changed') of two tables with unique keys; only rows of differing buckets are joined."""
+    marks = ["_rows", "_sum", "_xor"]
+    a, b = table_digest(left, keys, buckets), table_digest(right, keys, buckets).withColumnsRenamed({m: f"{m}b" for m in marks})
+    same = F.lit(True)
+    for m in marks:
+        same = same & F.col(m).eqNullSafe(F.col(f"{m}b"))
+    # at most ``buckets`` rows
+    differing = F.broadcast(a.join(b, "_bucket", "full").where(~same).select("_bucket"))
+
+    def suspects(df: DataFrame, side: str) -> DataFrame:
+        rest = sorted(c for c in df.columns if c not in keys)
+        row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(True)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        return df.withColumn("_bucket", bucket).join(differing, "_bucket", "left_semi").select(*keys, row.alias(side), F.lit(True).alias(f"_in_{side}"))
+
+    both = suspects(left, "_l").join(suspects(right, "_r"), keys, "full")
+    change = F.when(F.col("_in__r").isNull(), "removed").when(F.col("_in__l").isNull(), "added").when(~F.col("_l").eqNullSafe(F.col("_r")), "changed")
+    return both.select(*keys, change.alias("change")).where("change IS NOT NULL")

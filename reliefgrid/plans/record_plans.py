@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions import text as tx
 from reliefgrid.functions.numeric import rnd
 from reliefgrid.functions.text import CLUSTER_NAMES, REGION_CLUSTERS, STATES
-from reliefgrid.operators import baseline, lookup, ranking, reports
+from reliefgrid.operators import baseline, lookup, quality, ranking, reports, survey
 from reliefgrid.plans.mapping import customer_nation, hotel_rates, money, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import RATES, r
-from reliefgrid.session import ensure_checkpoint_dir
-from reliefgrid.sources import sinks
-from reliefgrid.sources.readers import csv_table, hotel_series, land, parquet_table
+from reliefgrid.session import ensure_checkpoint_dir, shared_path
+from reliefgrid.sources import landing, sinks
+from reliefgrid.sources.readers import BOM, csv_table, csv_text, hotel_series, land, parquet_table
 
 
 @query(
@@ -155,3 +155,74 @@ def landed_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_table(spark, f"{folder}/curated").where("year >= 1998").groupBy("year").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(money("o_totalprice")).cast("double").alias("total")
     )
+
+
+@query("landed_snapshot", "SELECT o_orderpriority AS priority, count(*) AS row_count, 1::BIGINT AS snapshots, true AS fell_back FROM orders GROUP BY 1")
+def landed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed twice; the second landing breaks half way, so the first is read."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    folder = shared_path(spark, "snapshots")
+    landing.land_snapshot(rows, folder)
+    last = rows.agg(F.max("o_orderkey")).scalar()
+    bad = rows.withColumn("o_orderkey", F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("the source broke off")).cast("long")).otherwise(F.col("o_orderkey")))
+    read, broken = landing.fetch_or_last(spark, folder, lambda: bad, rows.schema)
+    count = landing.commits(spark, folder).agg(F.count(F.lit(1))).scalar()
+    return read.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("row_count")).select(
+        "priority", "row_count", count.alias("snapshots"), F.lit(broken is not None).alias("fell_back")
+    )
+
+
+_FIRST_DAY, _LAST_DAY = "(SELECT min(o_orderdate::DATE) FROM orders)", "(SELECT max(o_orderdate::DATE) FROM orders)"
+
+
+@query(
+    "table_differences",
+    f"""SELECT o_orderkey, CASE WHEN o_orderdate::DATE={_LAST_DAY} THEN 'removed' ELSE 'changed' END AS change FROM orders
+    WHERE o_orderdate::DATE IN ({_FIRST_DAY},{_LAST_DAY}) UNION ALL SELECT -s_suppkey-1, 'added' FROM supplier""",
+)
+def table_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders against a copy in the shared folder that lacks the last day, has the first day changed and rows of its own."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    first, last = rows.agg(F.min("day")).scalar(), rows.agg(F.max("day")).scalar()
+    changed = F.when(F.col("day") == first, F.lit(None).cast("double")).otherwise(F.col("o_totalprice"))
+    added = table(spark, sf_dir, "supplier").select(
+        (-F.col("s_suppkey") - 1).alias("o_orderkey"), F.lit("2000-01-01").cast("date").alias("day"), F.lit(0.0).alias("o_totalprice")
+    )
+    copy = rows.where(F.col("day") != last).withColumn("o_totalprice", changed).unionByName(added)
+    folder = shared_path(spark, "copy")
+    sinks.write_table(copy, folder)
+    return quality.differences(rows, parquet_table(spark, folder), ["o_orderkey"])
+
+
+@query(
+    "side_by_side_lists",
+    """SELECT 2024 AS year, n_name AS state, 1 AS rank, n_name||' Park' AS attraction FROM nation UNION ALL SELECT 2024, n_name, 2, n_name||' Hill' FROM nation
+    UNION ALL SELECT 2024, n_name||' '||r_name, 1, r_name||' Bay' FROM nation JOIN region ON n_regionkey=r_regionkey""",
+)
+def side_by_side_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a sheet with two tables beside each other, under headers, stacked into one."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own, beside = F.col("n_name"), F.concat("n_name", F.lit(" "), "r_name")
+
+    def cell(col: int, value: Column) -> Column:
+        return F.struct(F.lit(col).alias("col"), value.alias("value"))
+
+    listed = F.concat(F.lit("1. "), own, F.lit(" Park\n2) "), own, F.lit(" Hill\n3. x"))
+    cells = rows.select((F.col("n_nationkey").cast("int") + 2).alias("row"), F.inline(F.array(
+        cell(1, own), cell(2, listed), cell(6, beside), cell(7, F.concat(F.lit("1. "), "r_name", F.lit(" Bay")))
+    )))
+    heads = rows.agg(F.lit(1).alias("row")).select("row", F.inline(F.array(
+        cell(1, F.lit("Negeri")), cell(2, F.lit("1. Tarikan")), cell(6, F.lit("Jumlah")), cell(7, F.lit("1. Tarikan"))
+    )))
+    sheet = cells.unionByName(heads).withColumns({"year": F.lit(2024), "sheet": F.lit("8a")})
+    return survey.ranked_lists(sheet, "8a", "attraction")
+
+
+@query("marked_csv", "SELECT n_name AS market, CASE WHEN count(*)%2=0 THEN count(*)::VARCHAR END AS searches FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1")
+def marked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts stored as CSV whose header starts with a byte-order mark and whose gaps read N/A."""
+    n = F.count(F.lit(1))
+    rows = customer_nation(spark, sf_dir).groupBy("market").agg(F.when(n % 2 == 0, n.cast("string")).otherwise("N/A").alias("searches"))
+    folder = shared_path(spark, "marked")
+    sinks.write_csv(rows.toDF(f"{BOM}market", "searches"), folder)
+    return csv_text(spark, folder)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reliefgrid import schemas
 from reliefgrid.operators import multipliers, quality, survey
 from reliefgrid.plans import queries
-from reliefgrid.sources import readers, sinks
+from reliefgrid.sources import landing, readers, sinks
 from reliefgrid.streaming import feeds
 
 
@@ -136,3 +137,29 @@ def test_rolling_mean_of_a_stream(spark, tmp_path):
     assert len(got) >= 4 and all(want[k] == v for k, v in got.items())
     hand = [v for t, _, v in rows if datetime(2024, 1, 2) <= t < datetime(2024, 1, 5)]
     assert want[datetime(2024, 1, 2)] == (round(sum(hand) / len(hand), 9), len(hand))
+
+
+def test_a_broken_landing_is_not_read(spark, tmp_path):
+    folder, good = str(tmp_path / "land"), spark.range(5).toDF("a")
+    with pytest.raises(FileNotFoundError):
+        landing.last_snapshot(spark, folder, good.schema)
+    assert landing.commits(spark, folder).count() == 0
+    read, broken = landing.fetch_or_last(spark, folder, lambda: good, good.schema)
+    assert broken is None and read.count() == 5
+    half = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("gone")).cast("long")).otherwise(F.col("id")).alias("a"))
+    read, broken = landing.fetch_or_last(spark, folder, lambda: half, good.schema)
+    assert broken and read.count() == 5 and landing.commits(spark, folder).count() == 1
+    read, broken = landing.fetch_or_last(spark, folder, lambda: spark.read.parquet(f"{folder}/nowhere"), good.schema)
+    assert broken == "PATH_NOT_FOUND" and read.count() == 5
+    landing.land_snapshot(spark.range(7).toDF("a"), folder)
+    assert landing.last_snapshot(spark, folder, good.schema).count() == 7
+
+
+def test_differences_of_tables(spark):
+    left = spark.createDataFrame([(k, f"v{k}", None if k % 2 else 1.0) for k in range(300)], "k long, v string, x double")
+    assert quality.differences(left, left.repartition(7), ["k"], buckets=16).count() == 0
+    right = left.where("k <> 5").withColumn("x", F.when(F.col("k") == 8, F.lit(None)).otherwise(F.col("x"))).union(
+        spark.createDataFrame([(900, "new", 1.0)], left.schema))
+    assert {(r.k, r.change) for r in quality.differences(left, right, ["k"], buckets=16).collect()} == {(5, "removed"), (8, "changed"), (900, "added")}
+    assert quality.differences(left.limit(0), left.limit(0), ["k"]).count() == 0
+    assert quality.differences(left, left.limit(0), ["k"]).count() == 300
