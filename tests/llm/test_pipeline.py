@@ -29,5 +29,5 @@ def test_stages(spark, docs, tmp_path):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
-    assert {"op1_quality_rules", "op2_url_filter", "op6_mix_sources", "op7_top_k", "op8_substring_dedup"} <= set(__spark_entry__.oracle_sql())
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names} and "pipeline" in names
+    assert {"op1_quality_rules", "op2_url_filter", "op6_mix_sources", "op7_top_k", "op8_substring_dedup", "op11_ranked_search", "op13_near_vectors"} <= set(__spark_entry__.oracle_sql())
