@@ -11,6 +11,7 @@ from reliefgrid.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 500_000  # a side is broadcast only after it was counted and has at most so many narrow rows
 SALTS = 16
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -23,14 +24,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet and read back: they outlive any executor, and later steps read only what they need."""
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """The rows written once as Parquet and read back: they outlive any executor, and later steps read only what they need.
+
+    ``free`` lets Spark delete the shuffle files of the write when it ends, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    if free:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that no later step reads."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def join_counted(
     large: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, spread: Column, salts: int = SALTS
 ) -> DataFrame:

@@ -10,7 +10,9 @@ words (the context) and their last words (the suffix), and divergence and smooth
 What the tree adds to a word's own frequency is a sum over the sequences that end there: each sequence of the tree has a weight, and a
 document's score is the root's plus the weights of all sequences it holds. The most frequent weights and words, at most HEAD_ROWS of
 each, travel to the tasks; all others are looked up by a join. Sequences are told apart by 64-bit hashes. Bit arrays of bounded size
-keep most sequences that are in no table from being dealt out; a fuller array lets more through, never fewer.
+keep most sequences that are in no table from being dealt out; a fuller array lets more through, never fewer. Sequences are dealt out
+by ranges of their keys, many of one range in a row; their number follows the corpus, so a range fits a task at any size. Tables go as
+soon as their successors are written, and so do the shuffle files behind them.
 
 Defined results: a null text has only its end; a null id counts as empty text in the split; each row is scored by itself, also when
 rows repeat; without training rows every count is 0; an empty table gives an empty table; columns other than ``doc_id`` and ``text``
@@ -19,7 +21,6 @@ are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.stored import join_counted, stored
+from reliefgrid.llm.stored import discard, join_counted, stored
 from reliefgrid.llm.suffix_repeats import bit_arrays
 from reliefgrid.llm.words import Reader, Words
 
@@ -37,7 +38,8 @@ MIN_DIVERGENCE = 0.02  # nats
 HEAD_ROWS = 1_000_000
 COUNTED_AT_ONCE = 1 << 21  # sequences a task holds before it hands on their counts
 END = np.uint64(0x5DEECE66D1234567)
-SHIFT = 20  # bits of a word's number in a key of Tree
+RANGE_TOKENS = 1 << 18  # training tokens for each range of keys
+PARTITION_RANGES, MOST_PARTITIONS = 8, 8_192
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,39 +129,83 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 keys, counts = np.unique(Tokens(words).hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "c"])
 
-    return stored(training(docs).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    return stored(training(docs).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "words", free=True)
 
 
-def sequence_counts(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+def range_bits(n: int) -> int:
+    """Leading bits of a key that name its range, where training text has n tokens."""
+    return max(1, (n // RANGE_TOKENS).bit_length())
+
+
+def sequence_counts(docs: DataFrame, filters: list[np.ndarray], n: int) -> DataFrame:
     """key, ctx, suf, c of the sequences one word longer than the last filter's that occur MIN_COUNT times in training text."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most MAX_BITS for each length
+    shift = np.uint64(64 - range_bits(n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, filters, held = Reader(lower=True), shared.value, []
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, filters, held, many = Reader(lower=True), shared.value, [], 0
         for batch in batches:
             for _, words in reader.slices(batch.column(0)):
                 keys, good = Tokens(words).sequences(filters)
                 at = np.flatnonzero(good[-1])
                 held.append((keys[-1][at], keys[-2][at - 1], keys[-2][at]))
-                if sum(len(own) for own, *_ in held) >= COUNTED_AT_ONCE:
-                    yield counted(held)
-                    held = []
-        if held:
-            yield counted(held)
-
-    def counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+                many += len(at)
+                if many >= COUNTED_AT_ONCE:
+                    yield dealt(held)
+                    held, many = [], 0
+        if many:
+            yield dealt(held)
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Counted sequences, a row for each range of their keys."""
         keys, ctx, suf = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        columns = (ctx[first].view(np.int64), suf[first].view(np.int64), counts.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["ctx", "suf", "c"])
-
-    sums = training(docs).mapInArrow(run, "ctx long, suf long, c long").groupBy("ctx", "suf").agg(F.sum("c").alias("c"))
-    return stored(sums.where(F.col("c") >= MIN_COUNT).select(F.xxhash64("ctx", "suf").alias("key"), "ctx", "suf", "c"), "sequences")
-
+        held.clear()
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        counts = np.diff(np.append(first, len(keys))).astype(np.uint32)
+        keys, ctx, suf = keys[first] >> shift, ctx[order[first]], suf[order[first]]
+        edges = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys))
+
+        def cut(values: np.ndarray) -> pa.Array:
+            offsets = pa.py_buffer(edges * values.itemsize)
+            return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(values)]).cast(pa.binary())
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[edges[:-1]].astype(np.int64)), cut(ctx), cut(suf), cut(counts)], names=["range", "ctx", "suf", "c"]
+        )
 
-def release(docs: DataFrame) -> None:
-    """Shuffle files of finished steps go when the driver's JVM collects garbage, which it would not do for long."""
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their range; one range is held at a time."""
+        at, held = None, []
+        for batch in batches:
+            for at_row, *blobs in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                if at_row != at and held:
+                    yield added(held)
+                    held = []
+                at = at_row
+                held.append([x.as_py() for x in blobs])
+        if held:
+            yield added(held)
+
+    def added(held: list[list[bytes]]) -> pa.RecordBatch:
+        ctx, suf, c = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint64, np.uint64, np.uint32), strict=True))
+        keys = pair_key(ctx, suf)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sums = np.add.reduceat(c[order].astype(np.int64), first)
+        first, sums = first[sums >= MIN_COUNT], sums[sums >= MIN_COUNT]
+        own = order[first]
+        columns = (keys[first].view(np.int64), ctx[own].view(np.int64), suf[own].view(np.int64), sums)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "ctx", "suf", "c"])
+
+    rows = training(docs).mapInArrow(count, "range long, ctx binary, suf binary, c binary")
+    parts = min(max(1, (1 << range_bits(n)) // PARTITION_RANGES), MOST_PARTITIONS)
+    rows = rows.repartition(parts, "range").sortWithinPartitions("range")
+    table = stored(rows.mapInArrow(add, "key long, ctx long, suf long, c long"), "sequences", free=True)
+    shared.destroy()
+    return table
 
 
 def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[DataFrame, list[np.ndarray]]:
@@ -172,16 +218,16 @@ def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[Dat
     """
     level = stored(vocabulary.where(F.col("c") >= MIN_COUNT).select(
         F.col("word").alias("key"), "c", F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("value"), F.lit(0.0).alias("below")
-    ), "root")
-    filters, parts = [], []
+    ), "root", free=True)
+    filters, parts, gone, levels = [], [], [], []
     for depth in range(1, DEPTH + 1):
         filters.append(bits_of(level))
-        longer, rows = sequence_counts(docs, filters), level.count()
-        release(docs)
+        longer, rows = sequence_counts(docs, filters, n), level.count()
         of = level.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("below").alias("kept"))
         suffix = level.select(F.col("key").alias("suf"), F.col("value").alias("short"))
         joined = join_counted(longer, of, ["ctx"], "inner", rows, F.col("key"))
-        joined = stored(join_counted(joined, suffix, ["suf"], "inner", rows, F.col("key")), "next-words")
+        joined = stored(join_counted(joined, suffix, ["suf"], "inner", rows, F.col("key")), "next-words", free=True)
+        discard(longer)
         p, q = F.col("c") / F.col("total"), F.pow(F.lit(10.0), F.col("kept") + F.col("short"))
         sums = joined.groupBy("ctx").agg(
             F.first("total").alias("total"), F.first("kept").alias("kept"), F.count("*").alias("follow"), F.sum("c").alias("own"),
@@ -192,24 +238,30 @@ def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[Dat
         size = F.col("total") + F.col("follow") + 1
         states = stored(sums.where(divergence >= MIN_DIVERGENCE).select(
             "ctx", F.log10((1.0 - F.col("own") / size) / F.col("rest_below")).alias("left"), size.alias("size"), "total"
-        ), "states")
+        ), "states", free=True)
         count = states.count()
         parts.append(states.select(F.col("ctx").alias("key"), F.col("left").alias("weight"), F.col("total").alias("c")))
         held = join_counted(joined, states.select("ctx", "left", "size"), ["ctx"], "left", count, F.col("key"))
         own = F.log10(F.col("c") / F.col("size")) - F.col("left") - F.col("kept")
         held = held.select("key", "suf", "c", F.coalesce(own, "short").alias("value"), F.coalesce(own - F.col("short"), F.lit(0.0)).alias("weight"))
+        done = [joined]
         if depth < DEPTH:
             keeps = level.select(F.col("key").alias("suf"), "below").join(states.select(F.col("ctx").alias("suf"), "left"), "suf", "left")
-            keeps = stored(keeps.select("suf", (F.col("below") + F.coalesce("left", F.lit(0.0))).alias("below")), "kept")
+            keeps = stored(keeps.select("suf", (F.col("below") + F.coalesce("left", F.lit(0.0))).alias("below")), "kept", free=True)
+            done.append(keeps)
             held = join_counted(held, keeps, ["suf"], "inner", rows, F.col("key"))
-        level = stored(held.drop("suf"), "level")
+        level, shorter = stored(held.drop("suf"), "level", free=True), level
+        levels.append(level)
+        gone.append(states)
         parts.append(level.select("key", "weight", "c"))
-        release(docs)
+        discard(*done, *([shorter] if depth == 1 else []))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     table = table.where("weight <> 0").groupBy("key").agg(F.sum("weight").alias("weight"), F.max("c").alias("c"))
-    return stored(table, "weights"), filters
+    table = stored(table, "weights", free=True)
+    discard(*gone, *levels)
+    return table, filters
 
 
 def head_of(table: DataFrame) -> tuple[DataFrame, int]:
@@ -227,61 +279,6 @@ def sorted_head(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.
     return keys[order], values[order]
 
 
-class Tree:
-    """The same tree in memory, for small tables. States by level: for each sequence whether it is a state, the log10 of what its missing words keep, and log10 of each last word."""
-
-    def __init__(self, counts: list[np.ndarray], levels: list[np.ndarray], root: np.ndarray):
-        """``counts[k]``: of the sequences of level k; ``levels[k - 1]``: their keys; ``root``: probability of each frequent word."""
-        self.is_state = [np.zeros(len(c), bool) for c in counts[:-1]]
-        self.left = [np.zeros(len(c)) for c in counts[:-1]]
-        self.last = [np.zeros(len(c)) for c in counts]
-        self.last[0] = np.log10(root) if len(root) else root
-        words = [(k,) for k in range(len(counts[0]))]
-        states: dict[tuple, tuple[dict[int, float], float, tuple]] = {}  # next words, what is left, suffix state
-        for level in range(1, len(counts)):
-            keys, named = levels[level - 1], []
-            for key in keys.tolist():
-                named.append((*words[key >> SHIFT], key & ((1 << SHIFT) - 1)))
-            edges = np.searchsorted(keys >> SHIFT, np.arange(len(words) + 1))
-            for s in range(len(words)):
-                low, high = int(edges[s]), int(edges[s + 1])
-                if low == high:
-                    continue
-                total, own = float(counts[level - 1][s]), counts[level][low:high].astype(float)
-                follow = [w[-1] for w in named[low:high]]
-                below = self.suffix(states, words[s])
-                q = np.array([self.chance(states, below, w, root) for w in follow])
-                p = own / total
-                rest, rest_below = max(1.0 - p.sum(), 1e-12), max(1.0 - q.sum(), 1e-12)
-                divergence = float((p * np.log(p / q)).sum() + rest * math.log(rest / rest_below))
-                if divergence < MIN_DIVERGENCE:
-                    continue
-                smooth = own / (total + len(own) + 1)
-                left = (1.0 - smooth.sum()) / rest_below
-                self.is_state[level - 1][s], self.left[level - 1][s] = True, math.log10(left)
-                self.last[level][low:high] = np.log10(smooth)
-                states[words[s]] = (dict(zip(follow, smooth.tolist(), strict=True)), left, below)
-            words = named
-
-    @staticmethod
-    def suffix(states: dict, words: tuple) -> tuple:
-        """The longest state that ends the words and is shorter; () is the root."""
-        for k in range(1, len(words)):
-            if words[k:] in states:
-                return words[k:]
-        return ()
-
-    @staticmethod
-    def chance(states: dict, state: tuple, word: int, root: np.ndarray) -> float:
-        factor = 1.0
-        while state:
-            follow, left, below = states[state]
-            if word in follow:
-                return factor * follow[word]
-            factor, state = factor * left, below
-        return factor * float(root[word])
-
-
 def log10_root(c, n: int, v: int):
     return np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
@@ -345,7 +342,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
             "others array<long>, other_times array<int>"
         ).withColumn("row", F.monotonically_increasing_id()), "scores",
     )
-    release(docs)
     # words and sequences that are not among the most frequent have few training places each, so no key of these joins is large
     rare = scored.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))))
     rare = rare.join(vocabulary.where(F.col("c") < head_least), "word", "left")
