@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.stored import discard, join_counted, stored
+from reliefgrid.llm.stored import discard, stored
 from reliefgrid.llm.suffix_repeats import bit_arrays
 from reliefgrid.llm.words import Reader, Words
 
@@ -36,8 +36,9 @@ DEPTH = 3
 MIN_COUNT = 4
 MIN_DIVERGENCE = 0.02  # nats
 HEAD_ROWS = 1_000_000
-COUNTED_AT_ONCE = 1 << 21  # sequences a task holds before it hands on their counts
+COUNTED_AT_ONCE = 1 << 20  # sequences a task holds before it hands on their counts
 END = np.uint64(0x5DEECE66D1234567)
+HEAVY_PARTS = 50_000  # a sequence is heavy that makes up this part of all training tokens; so at most as many of a length are
 RANGE_TOKENS = 1 << 18  # training tokens for each range of keys
 PARTITION_RANGES, MOST_PARTITIONS = 8, 8_192
 
@@ -208,6 +209,18 @@ def sequence_counts(docs: DataFrame, filters: list[np.ndarray], n: int) -> DataF
     return table
 
 
+def join_by_count(large: DataFrame, small: DataFrame, key: str, n: int) -> DataFrame:
+    """Inner join with sequences of one length, unique by ``key``, whose column ``times`` counts their training places.
+
+    Heavy ones are broadcast, at most HEAVY_PARTS rows of them. Another one is extended by at most a quarter of its places, since only
+    sequences of MIN_COUNT places are rows, so no key of the shuffled join is large.
+    """
+    heavy = F.col("times") >= n / HEAVY_PARTS
+    of_heavy = large.join(F.broadcast(small.where(heavy).drop("times")), key)
+    others = large.join(F.broadcast(small.where(heavy).select(key)), key, "left_anti")
+    return of_heavy.unionByName(others.join(small.where(~heavy).drop("times").hint("merge"), key))
+
+
 def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[DataFrame, list[np.ndarray]]:
     """key, weight, c of the sequences that change a score, and the filters of frequent sequences by length.
 
@@ -222,11 +235,11 @@ def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[Dat
     filters, parts, gone, levels = [], [], [], []
     for depth in range(1, DEPTH + 1):
         filters.append(bits_of(level))
-        longer, rows = sequence_counts(docs, filters, n), level.count()
-        of = level.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("below").alias("kept"))
-        suffix = level.select(F.col("key").alias("suf"), F.col("value").alias("short"))
-        joined = join_counted(longer, of, ["ctx"], "inner", rows, F.col("key"))
-        joined = stored(join_counted(joined, suffix, ["suf"], "inner", rows, F.col("key")), "next-words", free=True)
+        longer = sequence_counts(docs, filters, n)
+        of = level.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("below").alias("kept"), F.col("c").alias("times"))
+        suffix = level.select(F.col("key").alias("suf"), F.col("value").alias("short"), F.col("c").alias("times"))
+        joined = join_by_count(longer, of, "ctx", n)
+        joined = stored(join_by_count(joined, suffix, "suf", n), "next-words", free=True)
         discard(longer)
         p, q = F.col("c") / F.col("total"), F.pow(F.lit(10.0), F.col("kept") + F.col("short"))
         sums = joined.groupBy("ctx").agg(
@@ -239,22 +252,20 @@ def weights(docs: DataFrame, vocabulary: DataFrame, n: int, v: int) -> tuple[Dat
         states = stored(sums.where(divergence >= MIN_DIVERGENCE).select(
             "ctx", F.log10((1.0 - F.col("own") / size) / F.col("rest_below")).alias("left"), size.alias("size"), "total"
         ), "states", free=True)
-        count = states.count()
         parts.append(states.select(F.col("ctx").alias("key"), F.col("left").alias("weight"), F.col("total").alias("c")))
-        held = join_counted(joined, states.select("ctx", "left", "size"), ["ctx"], "left", count, F.col("key"))
+        of_states = states.select(F.col("ctx").alias("key"), "left", "size")
+        ends = level.select("key", F.col("c").alias("times"), "below").join(of_states, "key", "left")
+        ends = stored(ends.select("key", "times", "left", "size", (F.col("below") + F.coalesce("left", F.lit(0.0))).alias("below")), "ends", free=True)
+        held = join_by_count(joined, ends.select(F.col("key").alias("ctx"), "left", "size", "times"), "ctx", n)
         own = F.log10(F.col("c") / F.col("size")) - F.col("left") - F.col("kept")
         held = held.select("key", "suf", "c", F.coalesce(own, "short").alias("value"), F.coalesce(own - F.col("short"), F.lit(0.0)).alias("weight"))
-        done = [joined]
         if depth < DEPTH:
-            keeps = level.select(F.col("key").alias("suf"), "below").join(states.select(F.col("ctx").alias("suf"), "left"), "suf", "left")
-            keeps = stored(keeps.select("suf", (F.col("below") + F.coalesce("left", F.lit(0.0))).alias("below")), "kept", free=True)
-            done.append(keeps)
-            held = join_counted(held, keeps, ["suf"], "inner", rows, F.col("key"))
+            held = join_by_count(held, ends.select(F.col("key").alias("suf"), "below", "times"), "suf", n)
         level, shorter = stored(held.drop("suf"), "level", free=True), level
         levels.append(level)
         gone.append(states)
         parts.append(level.select("key", "weight", "c"))
-        discard(*done, *([shorter] if depth == 1 else []))
+        discard(joined, ends, *([shorter] if depth == 1 else []))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
