@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reliefgrid.llm import ball_tree, components, minmax_dedup, suffix_repeats, suffix_tree_lm, surrogates
@@ -109,10 +110,11 @@ def repeats_by_hand(rows, window):
     return starts
 
 
-@pytest.mark.parametrize("groups", [(512, 4096), (2, 6)])
+@pytest.mark.parametrize("groups", [(512, 4096, 8 << 20), (2, 6, 8 << 20), (2, 6, 1), (512, 4096, 1)])
 def test_repeats(spark, docs, monkeypatch, groups):
     monkeypatch.setattr(suffix_repeats, "LONG_GROUP", groups[0])
     monkeypatch.setattr(suffix_repeats, "SALTED_GROUP", groups[1])
+    monkeypatch.setattr(suffix_repeats, "PIECE_BYTES", groups[2])
     # ids that repeat with other texts have no order by hand; rows that repeat whole do
     table = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text", "row").cache()
     rows = table.collect()
@@ -141,6 +143,52 @@ def test_repeats(spark, docs, monkeypatch, groups):
     assert suffix_repeats.without_repeats(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups", [(512, 4096, 8 << 20), (1, 2, 1)])
+def test_maximal_repeats(spark, monkeypatch, groups):
+    monkeypatch.setattr(suffix_repeats, "LONG_GROUP", groups[0])
+    monkeypatch.setattr(suffix_repeats, "SALTED_GROUP", groups[1])
+    monkeypatch.setattr(suffix_repeats, "PIECE_BYTES", groups[2])
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(90)] for _ in range(4)]
+    texts = [*base, base[0][10:60] + base[1][20:70], base[2][:40] + base[2][5:50], ["a"] * 70, base[3][60:] + ["a"] * 45]
+    texts += [base[0][rng.randrange(30):][:50] for _ in range(12)]
+    # the end of one passage and the start of the next: neighbouring marks with sources in two documents
+    texts.append(base[0][30:60] + base[3][10:40])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    first: dict = {}
+    want, last = [], None
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 19):
+            source = first.setdefault(tuple(t[i : i + 20]), (k, i))
+            if source == (k, i):
+                last = None
+            elif last == (k, i, *source):
+                want[-1][2] += 1
+            else:
+                want.append([k, i, 20, *source])
+            last = None if source == (k, i) else (k, i + 1, source[0], source[1] + 1)
+    got = sorted([r.doc_id, r.start, r.length, r.s_doc_id, r.s_start] for r in suffix_repeats.maximal_repeats(table).collect())
+    assert got == sorted(want) and len(want) > 15
+
+
+def test_suffixes_of_one_hash_are_told_apart_by_their_words():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("ab") for _ in range(23)) for _ in range(200)]
+    texts += ["x\t" + texts[3][2:], texts[5][:-1] + "c"]
+    n = len(texts)
+    run = pa.RecordBatch.from_arrays(
+        [pa.array([7] * n), pa.array(range(n)), pa.array([1] * n), pa.array([0] * n, pa.int32()), pa.array([False] * n), pa.array(texts)],
+        names=["key", "doc_id", "tie", "start", "salted", "words"],
+    )
+    ((piece, going_on),) = suffix_repeats.pieces(iter([run.slice(0, 90), run.slice(90)]), 20)
+    seen: dict = {}
+    for row, offset, leader in zip(piece.row.tolist(), piece.offset.tolist(), piece.leader.tolist(), strict=True):
+        own = (row, offset)
+        assert seen.setdefault(tuple(texts[row].split()[offset : offset + 20]), own) == (piece.row[leader], piece.offset[leader])
+    assert going_on.all() and sorted(piece.texts(piece.leaders(going_on)).to_pylist()) == sorted(" ".join(w) for w in seen)
+
+
 def test_repeats_with_null_and_repeated_ids(docs, rows):
     got = suffix_repeats.without_repeats(docs).collect()
     assert Counter((r.doc_id, r.n_words) for r in got) == Counter((r.doc_id, len(words(r.text))) for r in rows)
