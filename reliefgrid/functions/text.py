@@ -146,17 +146,6 @@ def state_key(raw: Column | str) -> Column:
     return F.lower(F.trim(F.replace(as_col(raw), F.lit("W.P. "), F.lit(""))))
 
 
-def has_word(line: Column | str, phrase: str) -> Column:
-    """Case-insensitive whole-word match; the plain substring test spares most lines the pattern."""
-    escaped = phrase.replace(".", r"\.")
-    return F.lower(as_col(line)).contains(phrase.lower()) & as_col(line).rlike(rf"(?i)(^|\W){escaped}(\W|$)")
-
-
-def first_alias(line: Column | str, aliases: list[tuple[str, str]]) -> Column:
-    """Canonical name of the first alias, in list order, that the line mentions."""
-    return F.coalesce(*[F.when(has_word(line, alias), F.lit(name)) for alias, name in aliases])
-
-
 def words(line: Column | str) -> Column:
     return F.filter(F.split(as_col(line), r"\s+"), lambda w: w != "")
 

@@ -18,12 +18,12 @@ from reliefgrid.functions.text import (
     file_month,
     file_period,
     file_year,
-    first_alias,
     line_counts,
     line_numbers,
     occupancy_value,
     rejoin_split_name,
 )
+from reliefgrid.operators.aliases import with_first_alias
 from reliefgrid.operators.ranking import keep_first
 
 _ORDER = ["file_name", "line_no"]
@@ -44,8 +44,8 @@ def _state_pairs() -> list[tuple[str, str]]:
 
 
 def occupancy_rates(texts: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
-    lines = report_lines(texts, rejoin=True).withColumn("state", first_alias("line", aliases or REPORT_STATE_ALIASES))
-    found = lines.where(F.col("state").isNotNull()).withColumn("_v", occupancy_value(F.col("year"), line_numbers("line")))
+    lines = with_first_alias(report_lines(texts, rejoin=True), aliases or REPORT_STATE_ALIASES, "state")
+    found = lines.withColumn("_v", occupancy_value(F.col("year"), line_numbers("line")))
     rows = found.where(F.col("_v").isNotNull()).withColumn("average_occupancy_rate_pct", rnd("_v", 1))
     kept = keep_first(rows.drop("line", "_v"), ["year", "period", "state"], _ORDER)
     return kept.select(F.col("file_name").alias("source_file"), "year", "period", "state", "average_occupancy_rate_pct")
@@ -53,8 +53,8 @@ def occupancy_rates(texts: DataFrame, aliases: list[tuple[str, str]] | None = No
 
 def hotel_inventory(texts: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
     """Last whole number = rooms, the one before = hotels (null when there is only one)."""
-    lines = report_lines(texts).withColumns({"state": first_alias("line", aliases or _state_pairs()), "_n": line_counts("line")})
-    rows = lines.where(F.col("state").isNotNull() & (F.size("_n") > 0)).withColumns(
+    lines = with_first_alias(report_lines(texts), aliases or _state_pairs(), "state").withColumn("_n", line_counts("line"))
+    rows = lines.where(F.size("_n") > 0).withColumns(
         {
             "hotels_count": F.try_element_at("_n", F.lit(-2)),
             "rooms_count": F.try_element_at("_n", F.lit(-1)),
@@ -66,14 +66,12 @@ def hotel_inventory(texts: DataFrame, aliases: list[tuple[str, str]] | None = No
 
 def hotel_guests(texts: DataFrame, aliases: list[tuple[str, str]] | None = None, above: int = 1000) -> DataFrame:
     """First count = domestic, second = foreign, third = total (their sum when absent)."""
-    lines = report_lines(texts).withColumns(
-        {"state": first_alias("line", aliases or _state_pairs()), "_n": line_counts("line", above)}
-    )
+    lines = with_first_alias(report_lines(texts), aliases or _state_pairs(), "state").withColumn("_n", line_counts("line", above))
 
     def at(i: int) -> Column:
         return F.get("_n", F.lit(i))
 
-    rows = lines.where(F.col("state").isNotNull() & (F.size("_n") >= 2)).withColumns(
+    rows = lines.where(F.size("_n") >= 2).withColumns(
         {"domestic_guests": at(0), "foreign_guests": at(1), "total_guests": F.coalesce(at(2), at(0) + at(1))}
     )
     kept = keep_first(rows.drop("line", "_n"), ["year", "period", "state"], _ORDER)
@@ -85,15 +83,14 @@ def hotel_guests(texts: DataFrame, aliases: list[tuple[str, str]] | None = None,
 def arrivals(texts: DataFrame, markets: list[str] | None = None, above: int = 500) -> DataFrame:
     """First count above the bound per market line; type and month come from the file name."""
     pairs = [(m, m.title()) for m in (markets or REPORT_MARKETS)]
-    lines = report_lines(texts).withColumns(
+    lines = with_first_alias(report_lines(texts), pairs, "origin_market").withColumns(
         {
-            "origin_market": first_alias("line", pairs),
             "arrivals_count": F.get(line_counts("line", above), F.lit(0)),
             "month": file_month("file_name"),
             "arrival_type": file_arrival_type("file_name"),
         }
     )
-    rows = lines.where(F.col("origin_market").isNotNull() & F.col("arrivals_count").isNotNull())
+    rows = lines.where(F.col("arrivals_count").isNotNull())
     kept = keep_first(rows.drop("line"), ["year", "month", "arrival_type", "origin_market"], _ORDER)
     return kept.select(F.col("file_name").alias("source_file"), "year", "month", "arrival_type", "origin_market", "arrivals_count")
 
