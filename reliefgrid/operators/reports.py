@@ -29,9 +29,12 @@ from reliefgrid.operators.ranking import keep_first
 _ORDER = ["file_name", "line_no"]
 
 
-def report_lines(texts: DataFrame, rejoin: bool = False) -> DataFrame:
-    """(file_name, year, period, line_no, line) of every line of every dated file."""
-    text = rejoin_split_name("text") if rejoin else F.col("text")
+SPLIT_NAME = ("NEGERI", "SEMBILAN")
+
+
+def report_lines(texts: DataFrame, split_name: tuple[str, str] | None = None) -> DataFrame:
+    """(file_name, year, period, line_no, line) of every line of every dated file; a name that reports break over lines is put together."""
+    text = rejoin_split_name("text", *split_name) if split_name else F.col("text")
     return (
         texts.select("file_name", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
         .withColumns({"year": file_year("file_name"), "period": file_period("file_name")})
@@ -43,8 +46,10 @@ def _state_pairs() -> list[tuple[str, str]]:
     return [(s.upper(), s) for s in STATES]
 
 
-def occupancy_rates(texts: DataFrame, aliases: list[tuple[str, str]] | None = None) -> DataFrame:
-    lines = with_first_alias(report_lines(texts, rejoin=True), aliases or REPORT_STATE_ALIASES, "state")
+def occupancy_rates(
+    texts: DataFrame, aliases: list[tuple[str, str]] | None = None, split_name: tuple[str, str] = SPLIT_NAME
+) -> DataFrame:
+    lines = with_first_alias(report_lines(texts, split_name), aliases or REPORT_STATE_ALIASES, "state")
     found = lines.withColumn("_v", occupancy_value(F.col("year"), line_numbers("line")))
     rows = found.where(F.col("_v").isNotNull()).withColumn("average_occupancy_rate_pct", rnd("_v", 1))
     kept = keep_first(rows.drop("line", "_v"), ["year", "period", "state"], _ORDER)

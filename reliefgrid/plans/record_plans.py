@@ -16,7 +16,7 @@ from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import RATES, r
 from reliefgrid.session import ensure_checkpoint_dir, shared_path
 from reliefgrid.sources import landing, sinks
-from reliefgrid.sources.readers import BOM, csv_table, csv_text, hotel_series, land, parquet_table
+from reliefgrid.sources.readers import BOM, csv_table, csv_text, hotel_series, land, parquet_table, report_texts
 
 
 @query(
@@ -226,3 +226,37 @@ def marked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "marked")
     sinks.write_csv(rows.toDF(f"{BOM}market", "searches"), folder)
     return csv_text(spark, folder)
+
+
+_LEVELS = [(p.upper(), p) for p in ("Urgent", "High", "Medium", "Not Specified", "Low")]
+
+
+@query(
+    "report_folder",
+    """WITH o AS (SELECT year(o_orderdate)::INTEGER AS year, 'Q'||quarter(o_orderdate) AS period, o_orderpriority[3:] AS level, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT 'AOR_'||year||'_'||period AS source_file, year, period, CASE WHEN level='NOT SPECIFIED' THEN 'Not Specified' ELSE level[1]||lower(level[2:]) END AS state,
+      n::DOUBLE AS average_occupancy_rate_pct, NULL::VARCHAR AS reason FROM o
+    UNION ALL SELECT DISTINCT 'AOR_undated_'||period, NULL, NULL, NULL, NULL, 'no year in file name' FROM o""",
+)
+def report_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly order counts as report files in the shared folder, one name broken over lines, with reports that cannot be dated."""
+    date = F.col("o_orderdate")
+    orders = table(spark, sf_dir, "orders").select(
+        F.year(date).alias("year"), F.concat(F.lit("Q"), F.quarter(date).cast("string")).alias("period"), F.substring("o_orderpriority", 3, 20).alias("level")
+    )
+    counts = orders.groupBy("year", "period", "level").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    broken = F.concat(F.lit("NOT\n 7.5 "), F.col("n"), F.lit("\nSPECIFIED"))
+    lines = counts.withColumn("line", F.when(F.col("level") == "NOT SPECIFIED", broken).otherwise(F.concat_ws(" ", "level", F.lit("7.5"), "n")))
+
+    def written(name, *keys: str) -> DataFrame:
+        text = F.array_join(F.sort_array(F.collect_list("line")), "\n")  # five lines a quarter
+        return lines.groupBy(*keys).agg(text.alias("text")).select(name.alias("report"), "text")
+
+    dated = written(F.concat_ws("_", F.lit("AOR"), F.col("year").cast("string"), "period"), "year", "period")
+    undated = written(F.concat_ws("_", F.lit("AOR_undated"), "period"), "period")
+    path = shared_path(spark, "reports")
+    dated.unionByName(undated).write.partitionBy("report").text(path)
+    texts = report_texts(spark, path, "report")
+    rates = reports.occupancy_rates(texts, _LEVELS, ("NOT", "SPECIFIED")).withColumn("reason", F.lit(None).cast("string"))
+    failed = reports.failed_files(texts).withColumnRenamed("file_name", "source_file")
+    return rates.unionByName(failed, allowMissingColumns=True)

@@ -53,10 +53,10 @@ def read_available(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[st
     return tables, failures
 
 
-def report_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, text): one row per report file, read whole."""
+def report_texts(spark: SparkSession, path: str, name: str = "_metadata.file_name") -> DataFrame:
+    """(file_name, text): one row per report file, read whole. ``name``: the column that names a report kept in a folder of its own."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return whole.select(F.col(name).alias("file_name"), F.col("value").alias("text"))
 
 
 def cell_table(spark: SparkSession, path: str) -> DataFrame:
