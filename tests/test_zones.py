@@ -61,3 +61,22 @@ def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     ).withColumn("task", F.spark_partition_id())
     sizes = [r["count"] for r in pairs.groupBy("task").count().collect()]
     assert sum(sizes) == 160_000 and len(sizes) >= 8 and max(sizes) <= 40_000
+
+
+@pytest.mark.parametrize("group_rows", [10, 20_000])
+def test_nearest_covering_zone(spark, group_rows):
+    spots, rings, places, circles = tables(spark, ["a"], 1000)
+    circles = circles.where("key IS NOT NULL").withColumn("reach", F.col("radius_m") / 1000.0)
+    circles = circles.withColumnsRenamed({"lat": "z_lat", "lon": "z_lon"})
+    found = nearby.nearest_covering(
+        places, circles, "destination_id", ("lat", "lon"), "key", ("z_lat", "z_lon"), "reach", group_rows=group_rows
+    )
+    got = {r.destination_id: (r.key, r.dist_m) for r in found.collect()}
+    expected = {}
+    for s in spots:
+        hits = [(km(s[2:4], r[3:5]), r[0]) for r in rings if r[0] is not None and held(s, r)]
+        if hits:
+            expected[s[0]] = min(hits)
+    assert set(got) == set(expected)
+    for i, (dist, key) in expected.items():
+        assert got[i][0] == key and got[i][1] == pytest.approx(dist * 1000.0, abs=1e-3)
