@@ -80,3 +80,31 @@ def test_nearest_covering_zone(spark, group_rows):
     assert set(got) == set(expected)
     for i, (dist, key) in expected.items():
         assert got[i][0] == key and got[i][1] == pytest.approx(dist * 1000.0, abs=1e-3)
+
+
+def test_display_joins_only_zones_that_no_watch_shows(spark, monkeypatch):
+    spots, rings, places, circles = tables(spark, [f"n{i}" for i in range(200)], 1000)
+    circles, rings = circles.where("key IS NOT NULL"), [r for r in rings if r[0] is not None]
+    alerts, watched = zones.hotspot_alerts(places, circles), zones.watch_list(places, circles)
+    joined = []
+    plain = zones.radius_join
+
+    def seen(left, right, *args, **kwargs):
+        joined.append({r.z_key for r in right.collect()})
+        return plain(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(zones, "radius_join", seen)
+    shown = {tuple(r) for r in zones.display_zones(places, circles, alerts, watched).select("destination_id", "key", "is_alert").collect()}
+    watch = {r[0] for r in rings if any(s[4] >= 1.0 and held(s, r) for s in spots)}
+    assert watch and joined == [{r[0] for r in rings} - watch]
+    alert = {}
+    for s in spots:
+        hits = [(km(s[2:4], r[3:5]), r[0]) for r in rings if held(s, r)]
+        if hits:
+            alert[s[0]] = min(hits)[1]
+    expected = {(None, k, True) for k in watch}
+    for s in spots:
+        for r in rings:
+            if r[0] not in watch and (km(s[2:4], r[3:5]) <= 150.0 or alert.get(s[0]) == r[0]):
+                expected.add((s[0], r[0], alert.get(s[0]) == r[0]))
+    assert shown == expected
