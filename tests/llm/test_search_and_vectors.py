@@ -245,6 +245,21 @@ def test_links_in_cells_and_parts(spark):
     assert {(i, found[i]["component_id"]) for i in range(2000, 2030)} == {(i, c) for i, _, c, _ in truth if 2000 <= i < 2030}
 
 
+def test_links_do_not_depend_on_the_size_of_a_block(spark):
+    """Pairs at the threshold, one label: the same rows whether one block holds the label or many."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        u = rng.standard_normal(24)
+        w = rng.standard_normal(24)
+        u, w = u / np.linalg.norm(u), w - (w @ u) / (u @ u) * u
+        near = 0.931 * u + math.sqrt(1 - 0.931**2) * w / np.linalg.norm(w)
+        rows += [(2 * i, [float(c) for c in u], 1), (2 * i + 1, [float(c) for c in near], 1)]
+    truth = linked_by_hand(rows)
+    for block_rows in (8_192, 100, 7):
+        assert sorted(map(tuple, collision_links.linked_vectors(with_clashes(spark, rows), block_rows=block_rows).collect())) == truth
+
+
 def test_links_of_repeated_ids_null_ids_and_empty_tables(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (None, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [0.0, 1.0], 2)]
     frame = with_clashes(spark, rows)
