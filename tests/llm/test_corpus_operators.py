@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from reliefgrid.llm import ball_tree, components, minmax_dedup, suffix_repeats, suffix_tree_lm, surrogates
 
@@ -365,6 +366,44 @@ def test_tree_grows_with_the_corpus(spark, monkeypatch, head):
         assert got[i].score == pytest.approx(want, rel=1e-9)
 
 
+def test_light_contexts_need_no_join(spark, monkeypatch):
+    """Where most contexts are light: scores by hand, no join of sequences by shuffling, and small tables in the tasks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(suffix_tree_lm, "HEAVY_PARTS", 300)
+    sides, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda a, b, *rest: sides.append(b._jdf.queryExecution().logical().toString()) or join(a, b, *rest))
+    rng = random.Random(12)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = [(k, " ".join(f"w{min(rng.randrange(60), rng.randrange(400))}" for _ in range(120))) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = suffix_tree_lm.word_counts(table)
+    n, v = counts.agg(F.sum("c"), F.count("*")).first()
+    weights, _ = suffix_tree_lm.weights(table, counts, n, v)
+    assert weights.count() > 500
+    assert sides and all("broadcast" in side for side in sides)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(table).collect()}
+    for (i, _), want in zip(rows, scores_by_hand(rows, held), strict=True):
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_places():
+    rng = np.random.default_rng(3)
+    table = np.unique(np.append(rng.integers(0, 2**64, 5000, dtype=np.uint64), np.arange(40, dtype=np.uint64)))
+    for t in (table, table[:0], np.append(table, ~np.uint64(0))):
+        keys = np.concatenate((t, rng.integers(0, 2**64, 100, dtype=np.uint64), [~np.uint64(0)])).astype(np.uint64)
+        want = {int(k): i for i, k in enumerate(t)}
+        assert suffix_tree_lm.Places(t).of(keys).tolist() == [want.get(int(k), -1) for k in keys]
+
+
+def test_head_is_filled(spark, monkeypatch):
+    """As many of the most frequent rows as fit."""
+    monkeypatch.setattr(suffix_tree_lm, "HEAD_ROWS", 30)
+    table = spark.range(1, 41).selectExpr("id AS key", "id + 4 AS c")
+    head, least = suffix_tree_lm.head_of(table)
+    assert (head.count(), least) == (30, 15)
+
+
 def test_sequence_keys(spark):
     pairs = [(1, 2), (-5, 7), (2**62, -(2**63))]
     table = spark.createDataFrame(pairs, "a long, b long").selectExpr("a", "b", "xxhash64(a, b) AS h").collect()
