@@ -219,11 +219,11 @@ def _zero_score_fill(hotspots: DataFrame, candidates: DataFrame, top_n: int) ->
 
 def _search(
     h: DataFrame, cells: list[DataFrame], placed: DataFrame, top_n: int, weights: dict[str, float], alpha: float,
-    score: Callable[[DataFrame], DataFrame], within_km: float | None,
+    score: Callable[[DataFrame], DataFrame], within_km: float | None, classes: tuple[int, ...] = (FEASIBLE_REGIONAL, REGIONAL_ONLY),
 ) -> DataFrame:
     """(h_id, c_id, _class, score): every pair that may be among the ``top_n`` best of its hotspot, within a road distance or anywhere.
 
-    Pairs of score 0 may be missing where there is no limit.
+    Within a distance only pairs of ``classes`` count. Pairs of score 0 may be missing where there is no limit.
     """
     size = len(placed.select("c_vec").first()[0])
     plain = F.col("h_raw_tags").isNull() | (F.size("h_tags") == 0)
@@ -235,7 +235,7 @@ def _search(
     def scored(leaves: DataFrame) -> DataFrame:
         pairs = leaves.join(placed, ["_x", "_y"]).drop("_x", "_y").join(h, "h_id").where(~same_place())
         found = score(pairs.withColumn("straight_km", haversine_km("h_lat", "h_lon", "c_lat", "c_lon")))
-        return found.where(F.col("_class").isin(FEASIBLE_REGIONAL, REGIONAL_ONLY)) if within_km else found
+        return found.where(F.col("_class").isin(*classes)) if within_km else found
 
     first = scored(bounds.descend(asked, cells, weights, alpha, size, within_km, top_n + SEED_LEAVES))
     scores = F.sort_array(F.collect_list("final_wsm_score"), asc=False)  # at most top_n scores for each class
@@ -272,9 +272,9 @@ def match_all(
 ) -> DataFrame:
     """Best ``top_n`` candidates of every hotspot; both inputs come from ``prepare_places``.
 
-    Two tiers of growing reach, each a grid join with the places that can be feasible at all: the regional reach for all hotspots, the
-    feasible reach for those the first tier did not fill. Hotspots without a feasible candidate are settled by branch and bound over
-    a pyramid of cells. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
+    Two tiers of growing reach, each against the places that can be feasible at all: the regional reach for all hotspots, the feasible
+    reach for those the first tier did not fill. Up to ``group_rows`` places are met by a grid join; more would meet a number of others
+    that grows with them, so they are settled by branch and bound over a pyramid of cells, as are hotspots without a feasible candidate. The places and each tier's shortlist (a few rows per hotspot) are checkpointed, so the
     tables behind the places are read once. Shortlists carry ids and scores only; the columns of the chosen pairs are
     worked out at the end. Ids must be unique.
     """
@@ -296,10 +296,15 @@ def match_all(
         return F.sum(F.when(F.col("_class").isin(*groups), 1).otherwise(0))
 
     def feasible(hotspots: DataFrame, road_km: float) -> DataFrame:
+        if cells:
+            classes = (FEASIBLE_REGIONAL,) if road_km == REGIONAL_KM else (FEASIBLE_REGIONAL, FEASIBLE_FAR)
+            return _search(hotspots, cells, placed, top_n, weights or WEIGHTS, alpha, score, road_km, classes)
         found = score(_near_pairs(hotspots, able, road_km, group_rows, small))
         return found.where(F.col("_class").isin(FEASIBLE_REGIONAL, FEASIBLE_FAR))
 
     able = c.where((F.col("c_gap") > MIN_GAP) & (F.col("c_demand") < F.col("c_eco")))
+    bounded = min((weights or WEIGHTS).values()) >= 0 and 0 <= alpha <= 1  # else cells have no bound
+    cells, placed = bounds.pyramid(able, weights or WEIGHTS) if bounded and not small else ([], able)
     shortlist = cut_lineage(feasible(h, REGIONAL_KM))
     unfilled = lacking(shortlist, count_of(FEASIBLE_REGIONAL) >= top_n)
     if not unfilled.isEmpty():

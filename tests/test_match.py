@@ -110,6 +110,20 @@ def test_match_equals_brute_force(spark, seed, n, spread, feasible, group_rows):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in expected.items() if v}
 
 
+def test_many_places_do_not_meet_all_in_reach(spark, monkeypatch):
+    """Above ``group_rows`` places, feasible ones too are found by way of cells, and few of those in reach are scored."""
+    monkeypatch.setattr(match, "_near_pairs", lambda *_: pytest.fail("all places in reach are scored"))
+    met, descend = [], match.bounds.descend
+    monkeypatch.setattr(match.bounds, "descend", lambda *a: met.append(descend(*a)) or met[-1])
+    rows = make(12, 300, (0.4, 0.4), 0.7)
+    ready = prepare_places(spark.createDataFrame(rows, SCHEMA))
+    got = {}
+    for r in match_all(ready, ready, top_n=3, group_rows=20).collect():
+        got.setdefault(r.h_id, []).append((-r.final_wsm_score, r.c_id))
+    assert {k: sorted(v) for k, v in got.items()} == brute(rows, 3)
+    assert len(met) == 2 and met[1].count() * match.bounds.LEAF_PLACES < 300 * 300 / 2
+
+
 def test_match_invariants_and_explanations(spark):
     rows = make(9, 50, (1.0, 1.5), 0.6)
     ready = prepare_places(spark.createDataFrame(rows, SCHEMA))
