@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import bpe_count, mixing, packing, quality_lines, url_filter
+from reliefgrid.llm import bpe_count, minmax_dedup, mixing, packing, quality_lines, url_filter
+from reliefgrid.llm.pieces import Cutter
+from reliefgrid.llm.stored import stored
+from reliefgrid.llm.words import Reader
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NATIVE = re.compile("Python|Pandas|Arrow")
@@ -270,3 +275,27 @@ def test_empty_quality(docs):
     assert quality_lines.quality_verdicts(docs.limit(0)).count() == 0
     assert quality_lines.apply_rules(docs.limit(0)).count() == 0
     assert docs.select(F.count("*")).first()[0] > 0
+
+
+def test_python_tasks_hold_little(spark):
+    """Whole texts reach Python in small batches, are cut in small slices, and the caller's settings come back."""
+    texts = pa.array(["Some words, 12 of them, in a text. " * 120] * 1000)
+    reads = (
+        lambda: [len(minmax_dedup.shingle_sets(reader, w)) for reader in [Reader(lower=True)] for _, w in reader.slices(texts)],
+        lambda: [len(cut.texts) for bare in (False, True) for cut in Cutter(bare, []).slices(texts)],
+    )
+    for read in reads:
+        tracemalloc.start()
+        assert sum(read()) in (1000, 2000)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = stored(spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()
+    assert sum(r.n for r in got) == 2500 and max(r.n for r in got) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
