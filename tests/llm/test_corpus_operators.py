@@ -396,6 +396,38 @@ def test_places():
         assert suffix_tree_lm.Places(t).of(keys).tolist() == [want.get(int(k), -1) for k in keys]
 
 
+def test_weights_meet_sequences_in_ranges(spark, monkeypatch):
+    """Where most weights are in no head: scores by hand, and no row for each sequence that a document holds."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(suffix_tree_lm, "HEAD_ROWS", 20)
+    monkeypatch.setattr(suffix_tree_lm, "COUNTED_AT_ONCE", 3_000)
+    monkeypatch.setattr(suffix_tree_lm, "ANSWERED_AT_ONCE", 500)
+    monkeypatch.setattr(suffix_tree_lm, "RANGE_TOKENS", 1_000)
+    joins, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda a, b, on, *rest: joins.append((on, b.columns)) or join(a, b, on, *rest))
+    rng = random.Random(13)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = [(k, " ".join(f"w{min(rng.randrange(90), rng.randrange(500))}" for _ in range(150))) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(table).collect()}
+    for (i, _), want in zip(rows, scores_by_hand(rows, held), strict=True):
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    assert not any("weight" in columns and "key" in columns for _, columns in joins)
+
+
+def test_heavy_contexts_are_spread():
+    """A context's sequences keep to its range, a heavy one's to as many as its width names, each sequence always to the same."""
+    rng = np.random.default_rng(4)
+    heavy = np.sort(rng.integers(0, 2**64, 3, dtype=np.uint64))
+    ctx = np.repeat(np.append(heavy, rng.integers(0, 2**64, 2, dtype=np.uint64)), 4_000)
+    keys = suffix_tree_lm.pair_key(ctx, rng.integers(0, 2**64, len(ctx), dtype=np.uint64))
+    widths = np.array([1, 3, 5, 0], np.uint64)
+    spots = suffix_tree_lm.spread(ctx, keys, suffix_tree_lm.Places(heavy), widths, 5)
+    assert [len(np.unique(x)) for x in spots.reshape(5, -1)] == [2, 8, 32, 1, 1] and spots.max() < 32
+    assert (spots[::3] == suffix_tree_lm.spread(ctx[::3], keys[::3], suffix_tree_lm.Places(heavy), widths, 5)).all()
+
+
 def test_head_is_filled(spark, monkeypatch):
     """As many of the most frequent rows as fit."""
     monkeypatch.setattr(suffix_tree_lm, "HEAD_ROWS", 30)
