@@ -416,6 +416,48 @@ def test_weights_meet_sequences_in_ranges(spark, monkeypatch):
     assert not any("weight" in columns and "key" in columns for _, columns in joins)
 
 
+def test_answers_come_by_blocks_of_documents(spark, monkeypatch):
+    """Where sequences meet their weights, rows are documents and blocks of sums, not a row for each document and part; scores by hand."""
+    monkeypatch.setattr(suffix_tree_lm, "HEAD_ROWS", 5)
+    monkeypatch.setattr(suffix_tree_lm, "RANGE_TOKENS", 100)
+    made, answered = [], suffix_tree_lm.answered
+    monkeypatch.setattr(suffix_tree_lm, "answered", lambda *a: made.append(answered(*a).count()) or answered(*a))
+    rng = random.Random(17)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = [(k, " ".join(f"w{min(rng.randrange(90), rng.randrange(500))}" for _ in range(100))) for k in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(table).collect()}
+    for (i, _), want in zip(rows, scores_by_hand(rows, held), strict=True):
+        assert got[i] == pytest.approx(want, rel=1e-9)
+    parts = 16  # of 256 ranges
+    assert made[0] <= len(rows) + 2 * parts
+
+
+def test_packed_values():
+    rng = np.random.default_rng(8)
+    edges = np.array([0, 0, 1, 700, 1000])
+    for kind in (np.uint32, np.uint64, np.float64):
+        values = np.sort(rng.integers(0, 2**31, 1000)).astype(kind)
+        blobs = suffix_tree_lm.packed(values, edges).to_pylist()
+        for blob, low, high in zip(blobs, edges[:-1], edges[1:], strict=True):
+            assert suffix_tree_lm.unpacked(blob, kind).tolist() == values[low:high].tolist()
+
+
+def test_bit_arrays_leave_no_tables(spark):
+    """The tables behind the bit arrays go when these are made, not when the application ends."""
+    from pathlib import Path
+
+    from reliefgrid.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.iterdir())
+    bits = suffix_tree_lm.bits_of(spark.range(5_000).selectExpr("xxhash64(id) AS key"))
+    keys = np.array([r.key for r in spark.range(5_000).selectExpr("xxhash64(id) AS key").collect()], np.int64).view(np.uint64)
+    assert suffix_tree_lm.among(bits, keys).all() and np.unpackbits(bits).sum() <= 5_000
+    assert set(folder.iterdir()) == before
+
+
 def test_heavy_contexts_are_spread():
     """A context's sequences keep to its range, a heavy one's to as many as its width names, each sequence always to the same."""
     rng = np.random.default_rng(4)
