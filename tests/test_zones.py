@@ -108,3 +108,31 @@ def test_display_joins_only_zones_that_no_watch_shows(spark, monkeypatch):
             if r[0] not in watch and (km(s[2:4], r[3:5]) <= 150.0 or alert.get(s[0]) == r[0]):
                 expected.add((s[0], r[0], alert.get(s[0]) == r[0]))
     assert shown == expected
+
+
+def test_names_at_several_positions_are_not_made_distinct_pair_by_pair(spark):
+    """Their positions meet a zone together, so that no task holds its pairs."""
+    spots, rings, places, circles = tables(spark, [f"n{i}" for i in range(9)], 1000)
+    circles, rings = circles.where("key IS NOT NULL"), [r for r in rings if r[0] is not None]
+    for group_rows in (50, 20_000):
+        names = zones.watched_names(places, circles, group_rows)
+        found = [tuple(r) for r in names.collect()]
+        assert len(found) == len(set(found)) and set(found) == {(r[0], s[1]) for s in spots for r in rings if s[4] >= 1.0 and held(s, r)}
+        plan = names._jdf.queryExecution().optimizedPlan().toString()
+        assert "z_key" in plan and not [line for line in plan.splitlines() if "Aggregate [" in line and "z_key" in line]
+
+
+def test_blocks_grow_with_the_pairs(spark, monkeypatch):
+    """Rows go to all blocks they meet: twice the rows are sent twice as often only while blocks are few."""
+    monkeypatch.setattr(nearby, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(nearby, "BLOCKS", 4)
+    monkeypatch.setattr(nearby, "TASK_PAIRS", 10_000)
+    a = spark.createDataFrame([(i, 3.0 + i * 1e-5, 101.0) for i in range(400)], "l_id long, l_lat double, l_lon double")
+    b = spark.createDataFrame([(i, 3.0, 101.0 + i * 1e-5) for i in range(400)], "r_id long, r_lat double, r_lon double")
+    pairs = nearby.radius_join(
+        a, b, ("l_lat", "l_lon"), ("r_lat", "r_lon"), right_key="r_id", left_key="l_id", radius_km=5.0, small_right=False
+    ).withColumn("task", F.spark_partition_id())
+    assert pairs.select("l_id", "r_id").distinct().count() == 160_000
+    # each left row is sent to the tasks that hold its pairs: to two blocks, and not to eight
+    assert pairs.groupBy("l_id").agg(F.count_distinct("task").alias("n")).agg(F.max("n")).first()[0] <= 2
+    assert [nearby.block_side(n * 3_000.0**2) for n in (1, 4, 16, 400, 1e9)] == [3_000, 3_000, 6_000, 30_000, 50_000]
