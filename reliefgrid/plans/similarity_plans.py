@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.numeric import rnd
-from reliefgrid.functions.similarity import archetype_vector, cosine, dot, hybrid, jaccard, leading_tags, tag_set
-from reliefgrid.operators.nearby import radius_join
+from reliefgrid.functions.similarity import ARCHETYPES, TagBits, archetype_entries, cosine, cosine_with_norms, dot, hybrid, jaccard, known_tags, leading_tags, tag_set, tag_words
+from reliefgrid.operators.nearby import GROUP_ROWS, has_at_most, radius_join
 from reliefgrid.plans.mapping import full_places, profiles, table
 from reliefgrid.plans.registry import query
 from reliefgrid.plans.sqltext import MATCH, PROFILES, r
@@ -46,17 +46,32 @@ def tag_set_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
       {r('least(1e0,greatest(0e0,0.6e0*cos_sim+0.4e0*jaccard_sim))',6)} AS hybrid_similarity FROM pair WHERE straight_km<=120e0""",
 )
 def hybrid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms and tag bitmaps are worked out once per place; a pair costs compiled arithmetic only."""
+    entries = [f"v{k}" for k in range(len(ARCHETYPES))]
     base = full_places(spark, sf_dir).select(
-        F.col("destination_id").alias("id"), "lat", "lon", archetype_vector().alias("vec"), F.col("poi_tags").alias("raw"), tag_set("poi_tags").alias("tags")
+        F.col("destination_id").alias("id"), "lat", "lon", *[v.alias(name) for name, v in zip(entries, archetype_entries(), strict=True)],
+        F.when(F.col("poi_tags").isNotNull(), F.lit(1)).alias("raw"), tag_set("poi_tags").alias("tags"),
     )
     base = cut_lineage(base)
-    h = base.select(*[F.col(c).alias(f"h_{c}") for c in base.columns])
-    c = base.select(*[F.col(c).alias(f"c_{c}") for c in base.columns])
-    near = radius_join(h, c, ("h_lat", "h_lon"), ("c_lat", "c_lon"), right_key="c_id", left_key="h_id", radius_km=120.0)
-    cos = cosine(F.col("h_vec"), F.col("c_vec"))
+    known = known_tags(base, "tags")
+    base, words = tag_words(base, "tags", known, "w")
+    own = [F.col(name) for name in entries]
+    base = base.withColumns({"norm": F.sqrt(dot(own, own)), "size": F.size("tags")})
+    base = cut_lineage(base if known is None else base.drop("tags"))
+
+    def side(p: str) -> tuple[DataFrame, list[Column], TagBits]:
+        tags = TagBits([F.col(f"{p}_{w}") for w in words], F.col(f"{p}_size"), F.col(f"{p}_tags") if known is None else None)
+        return base.select(*[F.col(x).alias(f"{p}_{x}") for x in base.columns]), [F.col(f"{p}_{v}") for v in entries], tags
+
+    (h, h_vec, h_tags), (c, c_vec, c_tags) = side("h"), side("c")
+    near = radius_join(
+        h, c, ("h_lat", "h_lon"), ("c_lat", "c_lon"), right_key="c_id", left_key="h_id", radius_km=120.0,
+        small_right=has_at_most(base, GROUP_ROWS),
+    )
+    cos = cosine_with_norms(h_vec, c_vec, F.col("h_norm"), F.col("c_norm"))
     return near.where("h_id <> c_id").withColumn("cos", cos).select(
-        "h_id", "c_id", rnd("cos", 6).alias("cosine_similarity"), rnd(jaccard(F.col("h_tags"), F.col("c_tags")), 6).alias("jaccard_similarity"),
-        rnd(hybrid(F.col("cos"), F.col("h_raw"), F.col("c_raw"), F.col("h_tags"), F.col("c_tags")), 6).alias("hybrid_similarity"),
+        "h_id", "c_id", rnd("cos", 6).alias("cosine_similarity"), rnd(jaccard(h_tags, c_tags), 6).alias("jaccard_similarity"),
+        rnd(hybrid(F.col("cos"), F.col("h_raw"), F.col("c_raw"), h_tags, c_tags), 6).alias("hybrid_similarity"),
     )
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from reliefgrid.functions import capacity, geo, numeric, similarity, text
+from reliefgrid.plans.sqltext import ARCH_TYPES
 
 
 def one(spark, column):
@@ -119,3 +121,68 @@ def test_income_retention(spark):
     expected = 0.35 + 0.03 * math.log1p(9.0 / 0.4)
     assert one(spark, capacity.income_retention(F.lit(9.0), F.lit(0.4))) == pytest.approx(expected)
     assert one(spark, capacity.income_retention(F.lit(1e9), F.lit(0.0))) == 0.65
+
+
+@pytest.mark.parametrize("kinds", [3, 64, 150, 700])
+def test_tag_bitmaps_count_as_tag_arrays(spark, kinds):
+    """Also where two words are needed, and where tags share bits."""
+    rng = random.Random(kinds)
+    sets = [[], *([f"t{t}" for t in rng.sample(range(kinds), rng.randint(0, 3))] for _ in range(60)), [f"t{t}" for t in range(kinds)]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tags array<string>")
+    known = similarity.known_tags(df, "tags")
+    assert (known is None) == (kinds > similarity.TAG_BITS)
+    df, words = similarity.tag_words(df, "tags", known, "w")
+    assert len(words) == min(8, -(-kinds // 64))
+    sides = [df.select(*[F.col(c).alias(p + c) for c in df.columns]) for p in "ab"]
+    a, b = (
+        similarity.TagBits([F.col(p + w) for w in words], F.size(p + "tags"), F.col(p + "tags") if known is None else None) for p in "ab"
+    )
+    cos, raw = F.lit(0.5), F.lit("x")
+    pairs = sides[0].crossJoin(sides[1]).select(
+        similarity.jaccard(a, b), similarity.jaccard(F.col("atags"), F.col("btags")),
+        similarity.hybrid(cos, raw, raw, a, b), similarity.hybrid(cos, raw, raw, F.col("atags"), F.col("btags")),
+    ).collect()
+    assert len(pairs) == len(sets) ** 2 and any(0 < r[0] < 1 for r in pairs)
+    assert all(r[0] == r[1] and r[2] == r[3] for r in pairs)
+
+
+def test_hybrid_similarity_costs_a_pair_no_array_functions(spark, tmp_path):
+    from reliefgrid.plans.similarity_plans import hybrid_similarity
+
+    rng = random.Random(5)
+    types = [t for _, t in ARCH_TYPES]
+    keys = [0, 11400, 22800, 5, 11405]  # of two places; those of a place lie together
+    parts = [(i, f"Brand#{i % 70}", rng.choice(types)) for i in range(300)]
+    lines = [(k, rng.randrange(300), float(rng.randint(1, 50))) for k in keys for _ in range(40)]
+    lines += [(11405, i, 500.0) for i in range(5)] + [(5, i, 500.0) for i in range(2, 7)]
+    tables = {
+        "supplier": ([(k, f"Supplier {k}", 1, 10.0) for k in keys], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "nation": ([(1, "N")], "n_nationkey int, n_name string"),
+        "part": (parts, "p_partkey long, p_brand string, p_type string"),
+        "lineitem": (lines, "l_suppkey long, l_partkey long, l_quantity double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = hybrid_similarity(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in ("zip_with", "aggregate(", "array_intersect") if f in plan]
+
+    def place(k):
+        own, brands = [(parts[p], q) for s, p, q in lines if s == k], {}
+        for (_, brand, _), q in own:
+            brands[brand] = brands.get(brand, 0) + q
+        best = sorted(brands, key=lambda b: (-brands[b], b))[:5]
+        total = sum(q for _, q in own)
+        return [min(1.0, 2.5 * sum(q for (_, _, t), q in own if t == kind) / total) for kind in types], set(best)
+
+    expected = {}
+    for h in keys:
+        for c in keys:
+            if h != c and h % 11400 == c % 11400:
+                (v, s), (w, t) = place(h), place(c)
+                cos = sum(x * y for x, y in zip(v, w)) / math.sqrt(sum(x * x for x in v)) / math.sqrt(sum(y * y for y in w))
+                expected[h, c] = (cos, len(s & t) / len(s | t), 0.6 * cos + 0.4 * len(s & t) / len(s | t))
+    got = {(r.h_id, r.c_id): (r.cosine_similarity, r.jaccard_similarity, r.hybrid_similarity) for r in found.collect()}
+    assert set(got) == set(expected) and got[5, 11405][1] == pytest.approx(3 / 7, abs=1e-6)
+    for pair, values in expected.items():
+        assert got[pair] == pytest.approx(values, abs=2e-6)
